@@ -63,7 +63,7 @@ def knn_shapley_truncated(spark, d):
 
 
 @query("shapley_mean", with_(SQL_VEC_SPLIT, sql_index("idx", "te", "tr", 16)) + """
-  select train_id, avg((t.label = q.truth)::int::double / rank) as mean_share from idx join tr t using (train_id) join te q using (prediction_id) group by train_id""")
+  select train_id, round(avg((t.label = q.truth)::int::double / rank), 9) as mean_share from idx join tr t using (train_id) join te q using (prediction_id) group by train_id""")
 def shapley_mean(spark, d):
     """Mean contribution of a training row over the test points that meet it."""
     from dataprobe.operators.vectors import knn_retrieve
@@ -71,7 +71,7 @@ def shapley_mean(spark, d):
     train, test = vec_split(spark, d)
     rows = knn_retrieve(test, train, 16).join(train.select("train_id", F.col("label").alias("known")), "train_id")
     share = (F.col("known") == F.col("label")).cast("double") / F.col("rank")
-    return rows.join(test.select("prediction_id", "label"), "prediction_id").groupBy("train_id").agg(F.avg(share).alias("mean_share"))
+    return rows.join(test.select("prediction_id", "label"), "prediction_id").groupBy("train_id").agg(F.round(F.avg(share), DIGITS).alias("mean_share"))
 
 
 SQL_CANDIDATES = "cand as (select train_id, shapley_value from shap order by shapley_value, train_id limit 20)"

@@ -80,7 +80,7 @@ def collection_reset(spark, d):
 # ---- distances and neighbours ----------------------------------------------------------------------
 
 
-@query("fn_array_distance", "select a.vec_id, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as distance from embeddings a"
+@query("fn_array_distance", "select a.vec_id, round(round(list_distance(a.embedding::double[], b.embedding::double[]), 9), 6) as distance from embeddings a"
        " join embeddings b on b.vec_id = a.vec_id + 1")
 def fn_array_distance(spark, d):
     e = table(spark, d, "embeddings")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.functions.text import words
 from dataprobe.schemas import require
 
 
@@ -16,16 +19,27 @@ def token_bucket(token, dims: int) -> F.Column:
 def bag_features(df: DataFrame, key: str, text: str, dims: int = 32, vector: str = "embedding") -> DataFrame:
     """(key, vector): lower-cased words counted in ``dims`` hash buckets, scaled to length 1.
 
-    The counts fold per task into one row per text before anything is shuffled.  A text without a word gets
-    the zero vector.
+    Row by row, so nothing is shuffled: words are hashed in the JVM, the bucket numbers of a whole Arrow
+    batch are counted at once.  A text without a word (or null) gets the zero vector.
     """
     require(df, "bag_features", key, text)
-    tokens = df.select(key, F.explode_outer(words(F.lower(F.col(text)))).alias("_token"))
-    placed = tokens.select(key, token_bucket(F.col("_token"), dims).alias("_b"))
-    counts = placed.groupBy(key).agg(
-        *[F.sum(F.when(F.col("_b") == i, 1).otherwise(0)).alias(f"_c{i}") for i in range(dims)]
-    )
-    squares = sum((F.col(f"_c{i}") * F.col(f"_c{i}") for i in range(dims)), F.lit(0))
-    norm = F.sqrt(squares.cast("double"))
-    scaled = [F.when(F.col("_n") > 0, F.col(f"_c{i}") / F.col("_n")).otherwise(F.lit(0.0)) for i in range(dims)]
-    return counts.withColumn("_n", norm).select(key, F.array(*scaled).alias(vector))
+    tokens = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    buckets = F.coalesce(F.transform(tokens, lambda w: token_bucket(w, dims)), F.array().cast("array<int>"))
+    narrow = df.select(F.col(key).cast("long").alias(key), buckets.alias(vector))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lists = batch.num_rows, batch.column(1)
+            if not rows:
+                continue
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = np.repeat(np.arange(rows, dtype=np.int64), sizes) * dims + flat
+            counts = np.bincount(cells, minlength=rows * dims).reshape(rows, dims).astype(np.float64)
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            scaled = counts / np.where(norms > 0, norms, 1.0)
+            values = pa.array(scaled.ravel())
+            offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dims)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=[key, vector])
+
+    return narrow.mapInArrow(count, f"{key} long, {vector} array<double>")

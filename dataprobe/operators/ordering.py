@@ -22,35 +22,29 @@ def topk_smallest(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """Exactly floor(n * fraction) rows, chosen by the smallest keyed draws.
+    """Exactly floor(n * fraction) rows: those with the smallest keyed draws.
 
-    The draw range is cut into fixed buckets.  Counting them (at most 65536 numbers) tells which
-    buckets are taken whole and how many rows the one on the border gives, so only that border bucket
-    is ever ranked.  ``key`` must be unique.
+    The draw range is cut into fixed buckets.  Counting them (at most 65536 numbers) tells in which bucket
+    the last chosen row lies; ranking that one bucket gives its (draw, key).  Both passes read the key
+    column only.  The sample itself is then a filter, without a shuffle.  ``key`` must be unique.
     """
     require(df, "sample_exact", key)
     if not 0.0 <= fraction <= 1.0:
         raise ValueError("fraction must be in [0, 1]")
-    drawn = df.withColumn("_draw", seeded_uniform(seed, key)).withColumn(
-        "_bucket", F.floor(F.col("_draw") * _SAMPLE_BUCKETS)
-    )
+    draw = seeded_uniform(seed, key)
+    drawn = df.select(key, draw.alias("_draw")).withColumn("_bucket", F.floor(F.col("_draw") * _SAMPLE_BUCKETS))
     counts = drawn.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     # Windows over the bucket counts only: their number is fixed, whatever the size of the table.
-    in_order = Window.orderBy("_bucket")
+    upto = F.sum("_rows").over(Window.orderBy("_bucket"))
     target = F.floor(F.sum("_rows").over(Window.partitionBy()) * F.lit(float(fraction)))
-    before = F.sum("_rows").over(in_order) - F.col("_rows")
-    takes = (
-        counts.select("_bucket", "_rows", target.alias("_target"), before.alias("_before"))
-        .filter(F.col("_before") < F.col("_target"))
-        .select("_bucket", "_rows", F.least(F.col("_rows"), F.col("_target") - F.col("_before")).alias("_take"))
-    )
-    # Both sides hold at most 65536 narrow rows.
-    whole = F.broadcast(takes.filter(F.col("_take") == F.col("_rows")).select("_bucket"))
-    border = F.broadcast(takes.filter(F.col("_take") < F.col("_rows")).select("_bucket", "_take"))
-    taken = drawn.join(whole, "_bucket", "left_semi").select(df.columns)
+    placed = counts.select("_bucket", (upto - F.col("_rows")).alias("_before"), upto.alias("_upto"), target.alias("_target"))
+    last = placed.filter((F.col("_before") < F.col("_target")) & (F.col("_target") <= F.col("_upto")))
+    # One row: the bucket of the last chosen draw.
+    border = F.broadcast(last.select("_bucket", (F.col("_target") - F.col("_before")).alias("_take")))
     nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", key))
-    partly = drawn.join(border, "_bucket").withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_take"))
-    return taken.unionByName(partly.select(df.columns))
+    cut = drawn.join(border, "_bucket").withColumn("_nth", nth).filter(F.col("_nth") == F.col("_take"))
+    # No cut (nothing to choose) makes the comparison null and the sample empty.
+    return df.filter(F.struct(draw.alias("_draw"), F.col(key)) <= cut.select(F.struct("_draw", key)).scalar())
 
 
 def sample_bernoulli(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:

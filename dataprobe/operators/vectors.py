@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from dataprobe.functions.draws import seeded_uniform
 from dataprobe.functions.vectors import DISTANCE_DIGITS, array_distance
 from dataprobe.schemas import require, require_type
+from dataprobe.session import written
 
 # Largest query side (in numbers) that is sent to every executor: 4M doubles = 32 MB.
 BROADCAST_NUMBERS = 4_000_000
@@ -233,11 +234,16 @@ def knn_retrieve(
     """The k nearest training rows of every query: (query_id, rank, train_id, distance), ties by train id."""
     queries, vectors = _prepared(queries, query_id, vector), _prepared(vectors, train_id, vector)
     schema = f"{query_id} long, {train_id} long, distance double"
-    local = local_vectors(queries, query_id, vector, broadcast_numbers)
+    queries = queries.persist()  # measured and then read: whatever computes the vectors runs once
+    try:
+        local = local_vectors(queries, query_id, vector, broadcast_numbers)
+        stored = written(queries, "queries") if local is None else None
+    finally:
+        queries.unpersist()
     if local is not None:
         hits = _broadcast_hits(vectors, local, k, query_id, train_id, vector, schema)
     else:
-        hits = _pivot_hits(queries, vectors, k, query_id, train_id, vector, schema, block_rows)
+        hits = _pivot_hits(stored, written(vectors, "vectors"), k, query_id, train_id, vector, schema, block_rows)
     order = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(train_id).asc())
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(query_id, "rank", train_id, "distance")

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from dataprobe.schemas import ledger_schema
 
-# The file name of a run ledger, <experiment>_<scenario>_<variant>_<opt>.csv
-_LEDGER_NAME = r"([^/_]+)_([^/_]+)_([^/_]+)_([^/]+)\.csv$"
+# The name of a run ledger, <experiment>_<scenario>_<variant>_<opt>.csv (a file or a folder of parts)
+_LEDGER_NAME = r"([^/_=]+)_([^/_]+)_([^/_]+)_([^/]+)\.csv(?:/[^/]*)?$"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, spread_by: str | None = None) -> DataFrame:
