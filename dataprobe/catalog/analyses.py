@@ -194,10 +194,13 @@ def slice_mask(spark, d):
 
 
 def _prepared(spark, d):
-    """(train, train vectors, test, base retrieval) of the document classifier, written once."""
+    """(labelled texts, their vectors and labels, test, base retrieval) of the document classifier.
+
+    Vectors and labels of the training texts come out of one pass and are written once.
+    """
     train, test = doc_train(spark, d), doc_test(spark, d)
-    vectors = written(doc_features(train, "train_id"), "train_vectors")
-    base = classify(test.select("prediction_id", "text"), vectors, train.select("train_id", "label"), features_of)
+    vectors = written(doc_features(train, "train_id", keep=("label",)), "train_vectors")
+    base = classify(test.select("prediction_id", "text"), vectors, vectors, features_of)
     return train, vectors, test, base
 
 
@@ -240,9 +243,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _robust(spark, d):
     train, vectors, test, base = _prepared(spark, d)
-    vocab = wordfix.vocab_counts(train, "text", VOCAB_MIN)
-    old = train.select("train_id", "label")
-    return train, test, base, robustness.robustness_round(test, vocab, vectors, old, features_of, 0.1, SEED)
+    vocab = written(wordfix.vocab_counts(train, "text", VOCAB_MIN), "vocab")
+    return train, test, base, robustness.robustness_round(test, vocab, vectors, vectors, features_of, 0.1, SEED)
 
 
 @query("robustness_report", with_(sql_robust("label")) + SQL_ROBUST_REPORT)
@@ -303,7 +305,7 @@ SQL_FAIR_REPORT = """
 def _fair(spark, d):
     train, vectors, test, base = _prepared(spark, d)
     enrich = _translate(written(lexicon(spark, d), "lexicon"))
-    state = fairness.fairness_round(test, base.predictions, FEATURES, enrich, vectors, train.select("train_id", "label"), features_of)
+    state = fairness.fairness_round(test, base.predictions, FEATURES, enrich, vectors, vectors, features_of)
     return train, vectors, test, base, enrich, state
 
 

@@ -86,8 +86,8 @@ def doc_test(spark, d) -> DataFrame:
     return out.withColumn("truth", binarize("judged", (True, False))).withColumnRenamed("doc_id", "prediction_id")
 
 
-def doc_features(rows: DataFrame, key: str) -> DataFrame:
-    return bag_features(rows, key, "text", DIMS)
+def doc_features(rows: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return bag_features(rows, key, "text", DIMS, keep=keep)
 
 
 def vec_split(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -311,10 +311,10 @@ def enrich_incremental(spark, d):
 # ---- plug-in functions, prompts and answers --------------------------------------------------------
 
 
-@query("udf_text_transform", "select doc_id, upper(text) as text from documents where lang = 'en'")
+@query("udf_text_transform", "select doc_id, replace(text, 'the', 'THE') as text from documents where lang = 'en'")
 def udf_text_transform(spark, d):
     rows = table(spark, d, "documents", "doc_id").filter(F.col("lang") == "en")
-    return predict.udf_text_transform(rows, "doc_id", "text", lambda batch: [t.upper() for t in batch])
+    return predict.udf_text_transform(rows, "doc_id", "text", lambda batch: [t.replace("the", "THE") for t in batch])
 
 
 @query("udf_predictor", "select doc_id as prediction_id, (length(text) > 1000)::int as prediction from documents")

@@ -165,7 +165,7 @@ def retrieval_index_wide_query(spark, d):
 @query("rag_classify", with_(SQL_DOC_INDEX, sql_vote("pred", "idx", "doc_train")) + "select prediction_id, prediction from pred")
 def rag_classify(spark, d):
     train, test = doc_train(spark, d), doc_test(spark, d)
-    vectors = doc_features(train, "train_id").join(train.select("train_id", "label"), "train_id")
+    vectors = written(doc_features(train, "train_id", keep=("label",)), "train_vectors")
     return predict.rag_classify(doc_features(test, "prediction_id"), vectors)[0]
 
 

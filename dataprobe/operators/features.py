@@ -16,8 +16,10 @@ def token_bucket(token, dims: int) -> F.Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dims).cast("int")
 
 
-def bag_features(df: DataFrame, key: str, text: str, dims: int = 32, vector: str = "embedding") -> DataFrame:
-    """(key, vector): lower-cased words counted in ``dims`` hash buckets, scaled to length 1.
+def bag_features(
+    df: DataFrame, key: str, text: str, dims: int = 32, vector: str = "embedding", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, vector, kept columns): lower-cased words counted in ``dims`` hash buckets, scaled to length 1.
 
     Row by row, so nothing is shuffled: words are hashed in the JVM, the bucket numbers of a whole Arrow
     batch are counted at once.  A text without a word (or null) gets the zero vector.
@@ -25,7 +27,8 @@ def bag_features(df: DataFrame, key: str, text: str, dims: int = 32, vector: str
     require(df, "bag_features", key, text)
     tokens = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
     buckets = F.coalesce(F.transform(tokens, lambda w: token_bucket(w, dims)), F.array().cast("array<int>"))
-    narrow = df.select(F.col(key).cast("long").alias(key), buckets.alias(vector))
+    narrow = df.select(F.col(key).cast("long").alias(key), buckets.alias(vector), *keep)
+    passed = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,6 +43,7 @@ def bag_features(df: DataFrame, key: str, text: str, dims: int = 32, vector: str
             scaled = counts / np.where(norms > 0, norms, 1.0)
             values = pa.array(scaled.ravel())
             offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=[key, vector])
+            columns = [batch.column(0), pa.ListArray.from_arrays(offsets, values), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, vector, *keep])
 
-    return narrow.mapInArrow(count, f"{key} long, {vector} array<double>")
+    return narrow.mapInArrow(count, f"{key} long, {vector} array<double>{passed}")

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from dataprobe.operators.explain import explain_enrichment
+from dataprobe.operators.impact import impact_set
 from dataprobe.operators.keyed import drop_rows, gather_rows
 from dataprobe.operators.memo import enrich_incremental, first_round
+from dataprobe.operators.predict import vote_from_index
 from dataprobe.operators.slices import slice_condition, slice_find
-from dataprobe.plans.retrieval import Featurize, Retrieval, classify, patched_predictions, relabel, share_right
+from dataprobe.operators.vectors import knn_retrieve
+from dataprobe.plans.retrieval import Featurize, Retrieval, classify, patched_predictions, share_right
 from dataprobe.session import written
 
 Enrich = Callable[[DataFrame], DataFrame]
@@ -75,15 +78,14 @@ def fairness_recheck(
     wanted = test.filter(slice_condition(slices, state.features)).select("prediction_id")
     enriched = written(enrich_incremental(wanted, test, state.enriched, enrich, "prediction_id", "text"), "enriched")
     needed = _changed(enriched)
-    seen = state.diffs.index.select("prediction_id").distinct()
-    fresh = classify(drop_rows(needed, seen, "prediction_id"), train_vectors, labels, featurize, k)
-    kept = Retrieval(gather_rows(state.diffs.index, needed, "prediction_id"), gather_rows(state.diffs.predictions, needed, "prediction_id"))
-    kept = relabel(kept, changed, labels)
-    merged = Retrieval(
-        written(kept.index.unionByName(fresh.index), "index"),
-        written(kept.predictions.unionByName(fresh.predictions), "predictions"),
-    )
-    return FairnessState(slices, state.features, enriched, merged)
+    kept = gather_rows(state.diffs.index, needed, "prediction_id")
+    fresh = drop_rows(needed, state.diffs.index.select("prediction_id"), "prediction_id")
+    index = written(kept.unionByName(knn_retrieve(featurize(fresh), train_vectors, k)), "index")
+    # To predict: rows retrieved for the first time, and rows that retrieved an edited training row.
+    todo = impact_set(state.diffs.index, changed).unionByName(fresh.select("prediction_id"))
+    votes = vote_from_index(gather_rows(index, todo, "prediction_id"), labels)
+    reused = drop_rows(gather_rows(state.diffs.predictions, needed, "prediction_id"), todo, "prediction_id")
+    return FairnessState(slices, state.features, enriched, Retrieval(index, written(reused.unionByName(votes), "predictions")))
 
 
 def fairness_report(state: FairnessState, base: DataFrame, test: DataFrame) -> DataFrame:
