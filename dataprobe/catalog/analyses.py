@@ -13,7 +13,7 @@ from dataprobe.catalog.texts import SQL_LEXICON, SQL_REPAIRED, lexicon, sql_rewr
 from dataprobe.operators import explain, keyed, labels, slices, wordfix
 from dataprobe.operators.shapley import knn_shapley, mislabel_candidates
 from dataprobe.plans import fairness, mislabel, robustness
-from dataprobe.plans.retrieval import Retrieval, classify, relabel
+from dataprobe.plans.retrieval import Retrieval, changed_labels, classify, edited_labels, relabel
 from dataprobe.session import written
 
 FEATURES = ["lang", "source"]
@@ -209,9 +209,9 @@ def features_of(rows: DataFrame) -> DataFrame:
 
 
 def _label_edit(train: DataFrame):
-    diff, patched = labels.label_diff(train.drop("label"), "train_id", "text", DOC_RULES, EDITED_INDEX, EDITED_RULE, "weak")
-    changed = diff.filter(F.col("weak") != F.col("old_label")).select("train_id")
-    return written(changed, "changed"), patched.select("train_id", F.when(F.col("weak"), 0).otherwise(1).alias("label"))
+    """(ids whose label the rule edit changed, labels after it)."""
+    edited = edited_labels(train, DOC_RULES, EDITED_INDEX, EDITED_RULE)
+    return changed_labels(edited), edited.select("train_id", "label")
 
 
 def sql_robust(label: str) -> str:

@@ -13,7 +13,7 @@ from dataprobe.functions.draws import seeded_uniform
 from dataprobe.functions.labels import rule_label
 from dataprobe.functions.prompts import parse_response
 from dataprobe.operators import features, memo, noise, predict, wordfix
-from dataprobe.session import scratch_path
+from dataprobe.session import scratch_path, written
 
 CLASSES = ("anhedonia", "regular")
 
@@ -221,15 +221,15 @@ def _corrupt_diff(spark, d) -> DataFrame:
 
 @query("spelling_fixes", with_(SQL_REPAIRED) + "select token, fix from fixes")
 def spelling_fixes(spark, d):
-    vocab = wordfix.vocab_counts(doc_train(spark, d), "text", VOCAB_MIN)
+    vocab = written(wordfix.vocab_counts(doc_train(spark, d), "text", VOCAB_MIN), "vocab")
     unknown = wordfix.vocab_counts(_corrupt_diff(spark, d), "text").join(vocab.select("token"), "token", "left_anti")
-    return wordfix.spelling_fixes(unknown, vocab)
+    return wordfix.spelling_fixes(written(unknown, "unknown"), vocab)
 
 
 @query("repair_text", with_(SQL_REPAIRED) + "select prediction_id, text from repaired")
 def repair_text(spark, d):
-    vocab = wordfix.vocab_counts(doc_train(spark, d), "text", VOCAB_MIN)
-    return wordfix.repair_text(_corrupt_diff(spark, d), "prediction_id", "text", vocab)
+    vocab = written(wordfix.vocab_counts(doc_train(spark, d), "text", VOCAB_MIN), "vocab")
+    return wordfix.repair_text(written(_corrupt_diff(spark, d), "corrupted"), "prediction_id", "text", vocab)
 
 
 # ---- translation and memo tables -------------------------------------------------------------------

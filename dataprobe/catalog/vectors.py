@@ -12,8 +12,9 @@ from dataprobe.catalog.registry import (
 from dataprobe.functions.labels import class_name
 from dataprobe.functions.prompts import prompt_parts
 from dataprobe.functions.vectors import array_distance
-from dataprobe.operators import collection, impact, keyed, labels, ordering, predict
+from dataprobe.operators import collection, impact, keyed, ordering, predict
 from dataprobe.operators.vectors import knn_retrieve, pairwise_distance, retrieval_index_long, retrieval_index_wide
+from dataprobe.plans.retrieval import changed_labels, edited_labels
 from dataprobe.session import written
 
 
@@ -190,10 +191,9 @@ def _edited(spark, d):
     """(index, ids whose label the rule edit changed, old labels, new labels, test) on the documents."""
     train, test = doc_train(spark, d), doc_test(spark, d)
     index = written(knn_retrieve(doc_features(test, "prediction_id"), doc_features(train, "train_id")), "index")
-    diff, patched = labels.label_diff(train.drop("label"), "train_id", "text", DOC_RULES, EDITED_INDEX, EDITED_RULE, "weak")
-    changed = diff.filter(F.col("weak") != F.col("old_label")).select("train_id")
-    new = patched.select("train_id", F.when(F.col("weak"), 0).otherwise(1).alias("label"))
-    return index, changed, train.select("train_id", "label"), new, test
+    edited = edited_labels(train, DOC_RULES, EDITED_INDEX, EDITED_RULE)
+    old = edited.select("train_id", F.col("old_label").alias("label"))
+    return index, changed_labels(edited), old, edited.select("train_id", "label"), test
 
 
 _CHANGED = "changed as (select train_id from doc_train where weak <> weak_new)"

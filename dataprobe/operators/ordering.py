@@ -100,7 +100,17 @@ def adjacent_diff(ranked: DataFrame, query: str, value: str) -> DataFrame:
     return ranked.withColumn("diff", F.col(value) - F.lead(value).over(order))
 
 
+def sum_after(value: str, partition: list[str], order: list[str]) -> Column:
+    """Sum of ``value`` over the rows after this one.
+
+    Total minus running sum: both frames grow row by row, while a frame that ends at the last row is added
+    up anew for every row and costs the square of the group.
+    """
+    whole = Window.partitionBy(*partition)
+    running = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.sum(value).over(whole) - F.sum(value).over(running)
+
+
 def suffix_sum(ranked: DataFrame, query: str, value: str) -> DataFrame:
-    """Sum of ``value`` from this rank to the last one."""
-    order = Window.partitionBy(query).orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranked.withColumn("suffix", F.sum(value).over(order))
+    """Sum of ``value`` (not null) from this rank to the last one."""
+    return ranked.withColumn("suffix", F.col(value) + sum_after(value, [query], ["rank"]))

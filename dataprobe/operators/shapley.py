@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dataprobe.functions.draws import seeded_uniform
 from dataprobe.operators.keyed import flip_labels
-from dataprobe.operators.ordering import topk_smallest
+from dataprobe.operators.ordering import sum_after, topk_smallest
 from dataprobe.operators.vectors import _ids, column_matrix, knn_retrieve, local_vectors, pair_distances
 from dataprobe.schemas import require
 from dataprobe.session import written
@@ -97,10 +97,10 @@ def _exact_scores(train: DataFrame, tests: DataFrame, k: int, total: int, ranges
     n = F.lit(total)
     drop = F.when(rank > 1, _weight(rank - 1, k, n) - _weight(rank, k, n)).otherwise(0.0)
     order = Window.partitionBy("test_id", "range").orderBy("distance", "train_id")
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    later = sum_after("term", ["test_id", "range"], ["distance", "train_id"])
     if ranges == 1:
         ranked = pairs.withColumn("rank", F.row_number().over(order)).withColumn("term", F.col("eq") * drop)
-        tail = F.coalesce(F.sum("term").over(later), F.lit(0.0))
+        tail = later
     else:
         # Rows before a range give its first rank; terms after it give the rest of its tail.  Both tables
         # have (test points x ranges) rows.
@@ -114,9 +114,9 @@ def _exact_scores(train: DataFrame, tests: DataFrame, k: int, total: int, ranges
         )
         ranked = written(ranked.select("test_id", "train_id", "range", "distance", "eq", "rank", "term"), "ranked")
         sums = ranked.groupBy("test_id", "range").agg(F.sum("term").alias("of_range"))
-        after = F.sum("of_range").over(by_range.rowsBetween(1, Window.unboundedFollowing))
-        ranked = ranked.join(sums.select("test_id", "range", F.coalesce(after, F.lit(0.0)).alias("after")), ["test_id", "range"])
-        tail = F.coalesce(F.sum("term").over(later), F.lit(0.0)) + F.col("after")
+        after = sums.select("test_id", "range", sum_after("of_range", ["test_id"], ["range"]).alias("after"))
+        ranked = ranked.join(after, ["test_id", "range"])
+        tail = later + F.col("after")
     return ranked.select("test_id", "train_id", (F.col("eq") * _weight(rank, k, n) - tail).alias("score"))
 
 
@@ -176,9 +176,7 @@ def _truncated(train: DataFrame, test: DataFrame, k: int, epsilon: float, vector
     stepped = labelled.select("test_id", "train_id", "rank", eq.alias("eq")).withColumn("next_eq", F.lead("eq").over(order))
     weight = F.least(F.lit(float(k)), F.col("rank").cast("double")) / (F.lit(float(k)) * F.col("rank"))
     step = F.when(F.col("rank") < last, (F.col("eq") - F.coalesce(F.col("next_eq"), F.lit(0.0))) * weight).otherwise(0.0)
-    scores = stepped.withColumn("step", step).withColumn(
-        "score", F.sum("step").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    )
+    scores = stepped.withColumn("step", step).withColumn("score", F.col("step") + sum_after("step", ["test_id"], ["rank"]))
     points = test.count()
     sums = scores.groupBy("train_id").agg((F.sum("score") / F.lit(max(points, 1))).alias("shapley_value"))
     return train.select("train_id").join(sums, "train_id", "left").select(

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dataprobe.functions.labels import RuleSet, binarize
 from dataprobe.operators.impact import rerun_and_patch
 from dataprobe.operators.keyed import patch_rows
+from dataprobe.operators.labels import label_diff, weak_label
 from dataprobe.operators.predict import vote_from_index
 from dataprobe.operators.vectors import knn_retrieve
 from dataprobe.session import written
@@ -31,6 +33,21 @@ def classify(texts: DataFrame, train_vectors: DataFrame, labels: DataFrame, feat
     return Retrieval(index, written(vote_from_index(index, labels), "predictions"))
 
 
+def edited_labels(texts: DataFrame, rules: RuleSet, edited: int, pattern: str) -> DataFrame:
+    """(train_id, old_label, label) after one rule of the weak labelling was edited; 1 = not positive.
+
+    One pass over (train_id, text); the changed rows and the new labels are both read from its result.
+    """
+    labelled = weak_label(texts.select("train_id", "text"), "text", rules, "weak")
+    _, patched = label_diff(labelled.withColumn("old", F.col("weak")), "train_id", "text", rules, edited, pattern, "weak")
+    encoded = lambda c: binarize(c, (True, False))
+    return written(patched.select("train_id", encoded("old").alias("old_label"), encoded("weak").alias("label")), "labels")
+
+
+def changed_labels(edited: DataFrame) -> DataFrame:
+    return edited.filter(F.col("label") != F.col("old_label")).select("train_id")
+
+
 def relabel(state: Retrieval, changed: DataFrame, labels: DataFrame) -> Retrieval:
     """The same queries after the labels of ``changed`` rows became ``labels``: impacted ones only."""
     patched, _ = rerun_and_patch(state.predictions, state.index, changed, labels)
