@@ -278,7 +278,7 @@ memo as (select distinct md5(text) as input_hash, text as input, 'memo:' || {SLI
 
 @query("udf_cached_transform", with_(SQL_MEMO) + f"select doc_id, coalesce(m.output, {SLIPPED}) as text from documents d left join memo m on m.input_hash = md5(d.text)")
 def udf_cached_transform(spark, d):
-    out, _ = memo.cached_transform(docs(spark, d), "text", _first_memo(spark, d), _slip)
+    out, _ = memo.cached_transform(docs(spark, d), "doc_id", "text", _first_memo(spark, d), _slip)
     return out
 
 

@@ -9,7 +9,7 @@ from dataprobe.functions.draws import as_column, draw_digest, uniform_from_diges
 
 # Letters (with their combining marks) are words; everything between them is kept as is.
 WORD_CLASS = r"[\p{L}\p{M}]"
-PIECE_PATTERN = r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"
+PIECE_PATTERN = r"[\p{L}\p{M}]+[^\p{L}\p{M}]*|[^\p{L}\p{M}]+"
 
 # Neighbouring keys, and the per-character error rates of each error kind.
 KEY_SLIPS = (("n", "m"), ("b", "v"), ("t", "r"), ("o", "p"))
@@ -29,7 +29,7 @@ def split_join_chars(text) -> Column:
 
 
 def text_pieces(text) -> Column:
-    """Alternating words and separators; joining them with '' gives the text back unchanged."""
+    """Words, each with the separator after it; joining them with '' gives the text back unchanged."""
     return F.regexp_extract_all(as_column(text), F.lit(PIECE_PATTERN), F.lit(0))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dataprobe.functions.text import to_key
+from dataprobe.operators.lookup import hot_keys, sampled, spread_lookup
 from dataprobe.schemas import MEMO, require
 from dataprobe.session import written
 
@@ -44,14 +45,14 @@ def cache_table_upsert(memo: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def cached_transform(
-    df: DataFrame, text: str, memo: DataFrame, fn: Callable[[DataFrame], DataFrame], version: int = 1
+    df: DataFrame, row_key: str, text: str, memo: DataFrame, fn: Callable[[DataFrame], DataFrame], version: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """(table with ``text`` replaced by fn's output, memo with the new entries).
 
     ``fn`` maps (input_hash, input) to (input_hash, output) and sees each missing distinct input once.  The
     misses are written before both results use them: the function runs once, whatever happens later.
     """
-    require(df, "cached_transform", text)
+    require(df, "cached_transform", row_key, text)
     asked = df.withColumn("_hash", to_key(text))
     distinct = asked.groupBy(F.col("_hash").alias("input_hash")).agg(F.first(text).alias("input"))
     missing = distinct.join(memo.select("input_hash"), "input_hash", "left_anti")
@@ -61,7 +62,10 @@ def cached_transform(
     updated = cache_table_upsert(memo, fresh)
     known = memo.select("input_hash", "output").unionByName(fresh.select("input_hash", "output"))
     answer = known.select(F.col("input_hash").alias("_hash"), "output")
-    out = asked.join(answer, "_hash", "left").withColumn(text, F.col("output")).select(df.columns)
+    # One text may make up a third of all rows: its rows are dealt over several tasks.
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(sampled(asked, row_key).select("_hash"), "_hash", pieces)
+    out = spread_lookup(asked, answer, "_hash", [row_key], hot).withColumn(text, F.col("output")).select(df.columns)
     return out, updated
 
 

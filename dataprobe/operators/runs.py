@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.schemas import LEDGER_KEYS, require
@@ -13,10 +15,38 @@ VARIANT_ORDER = {"llm": 0, "ml": 1}
 OPT_ORDER = {"original": 0, "naive": 1, "opt": 2, "proxy_opt": 3}
 
 
-def median_by_config(ledger: DataFrame, columns: list[str], keys: tuple[str, ...] = LEDGER_KEYS) -> DataFrame:
-    """Median of each column per configuration; nulls are skipped and an all-null column stays null."""
+def median_by_config(ledger: DataFrame, columns: list[str], keys: tuple[str, ...] = LEDGER_KEYS, accuracy: int = 10_000) -> DataFrame:
+    """Exact median of each column per configuration; nulls are skipped and an all-null column stays null.
+
+    The built-in median gathers every value of a group in one task.  Here a quantile sketch brackets the
+    middle (its rank is off by at most n / accuracy), values below the bracket are only counted, and only
+    the distinct values inside it are put in order.
+    """
     require(ledger, "median_by_config", *keys, *columns)
-    return ledger.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in columns]))
+    long = ledger.select(*keys, named.alias("_m")).select(*keys, "_m.*").filter(F.col("_value").isNotNull())
+    group = [*keys, "_name"]
+    margin = 3.0 / accuracy
+    ends = F.percentile_approx("_value", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy)
+    brackets = long.groupBy(*group).agg(ends.alias("_ends"), F.count(F.lit(1)).alias("_n"))
+    left, right = long.alias("v"), brackets.alias("b")
+    placed = left.join(right, reduce(lambda x, y: x & y, [F.col(f"v.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group])).select(
+        *[F.col(f"v.{c}").alias(c) for c in group], "_value", "_ends", "_n"
+    )
+    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    inside = placed.filter(F.col("_value") <= high).groupBy(
+        *group, "_n", F.when(F.col("_value") >= low, F.col("_value")).alias("_value")
+    ).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(*group).orderBy(F.col("_value").asc_nulls_first()))
+    first, second = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    ranked = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_rows"))
+    holds = lambda nth: F.max(F.when((F.col("_from") < nth) & (nth <= F.col("_upto")), F.col("_value")))
+    medians = ranked.groupBy(*group).agg(((holds(first) + holds(second)) / 2).alias("_median"))
+    # The configurations themselves come from the ledger, so that an all-null one is not lost.
+    blank = ledger.select(*keys).distinct().select(*keys, F.lit(None).cast("string").alias("_name"), F.lit(None).cast("double").alias("_median"))
+    return medians.unionByName(blank).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in columns]
+    )
 
 
 def null_aware_total(round_no: int) -> Column:

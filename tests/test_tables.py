@@ -3,7 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from dataprobe.functions.labels import RuleSet
-from dataprobe.operators import collection, keyed, labels, memo, noise, ordering, runs
+from dataprobe.operators import collection, keyed, labels, lookup, memo, noise, ordering, runs
 from dataprobe.schemas import LEDGER_ROUND_1, require
 from dataprobe.session import scratch_path
 from dataprobe.sources.synthetic import gen_text_tables
@@ -93,13 +93,35 @@ def test_cached_transform_calls_the_function_once_per_missing_text(spark):
         seen.append(missing.count())
         return missing.select("input_hash", F.upper("input").alias("output"))
 
-    out, after = memo.cached_transform(asked, "text", known, upper)
+    out, after = memo.cached_transform(asked, "id", "text", known, upper)
     assert rows(out) == [(1, "A!"), (2, "B"), (3, "B"), (4, "C")] and seen == [2]
     assert rows(after.select("input", "output")) == [("a", "A!"), ("b", "B"), ("c", "C")]
-    again, _ = memo.cached_transform(asked, "text", after, upper)
+    again, _ = memo.cached_transform(asked, "id", "text", after, upper)
     assert rows(again) == rows(out) and seen == [2, 0]
 
 
+def test_spread_lookup_deals_hot_keys_and_loses_nothing(spark):
+    data = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
+    data = data.unionByName(table(spark, [(1000, None), (1001, "absent")], "id long, k string"))
+    dim = data.select("k").distinct().filter("k <> 'absent'").withColumn("v", F.upper("k"))
+    hot = lookup.hot_keys(data.select("k"), "k", 8)
+    assert dict(rows(hot))["hot"] == 3 and hot.count() <= lookup.HOT_KEYS
+    got = lookup.spread_lookup(data, dim, "k", ["id"], hot)
+    assert rows(got.select("id", "k", "v")) == rows(data.join(dim, "k", "left").select("id", "k", "v"))
+
+
+def test_medians_equal_the_built_in_ones(spark):
+    data = spark.range(4000).select(
+        (F.col("id") % 3).alias("g"), F.when(F.col("id") % 4 == 0, 7.0).otherwise((F.col("id") * 7919 % 1009) / 7).alias("a"),
+        F.when(F.col("id") % 3 == 1, None).otherwise(F.col("id").cast("double")).alias("b"),
+    )
+    want = rows(data.groupBy("g").agg(F.median("a").alias("a"), F.median("b").alias("b")))
+    assert rows(runs.median_by_config(data, ["a", "b"], ("g",))) == want
+    assert rows(runs.median_by_config(data, ["a", "b"], ("g",), accuracy=20)) == want
+    few = data.limit(7)
+    assert rows(runs.median_by_config(few, ["a", "b"], ("g",))) == rows(few.groupBy("g").agg(F.median("a").alias("a"), F.median("b").alias("b")))
+
+
 def test_memo_keeps_the_highest_version(spark):
     pairs = lambda *p: table(spark, list(p), "input string, output string")
     old, new = memo.memo_rows(pairs(("a", "1"), ("b", "1")), 1), memo.memo_rows(pairs(("a", "2")), 2)
