@@ -23,7 +23,7 @@ from dataprobe.catalog.registry import SEED, VOCAB_MIN, doc_features, vec_split
 from dataprobe.catalog.texts import lexicon  # noqa: E402
 from dataprobe.operators import wordfix  # noqa: E402
 from dataprobe.plans import fairness, full, mislabel, robustness  # noqa: E402
-from dataprobe.plans.retrieval import relabel  # noqa: E402
+from dataprobe.plans.retrieval import extend, relabel  # noqa: E402
 from dataprobe.session import local_session, written  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -63,8 +63,11 @@ def analyses(spark) -> tuple[dict, dict]:
     old = train.select("train_id", "label")
     featurize_train = lambda rows: doc_features(rows, "train_id")
 
-    robust = robustness.robustness_round(test, vocab, vectors, vectors, A.features_of, 0.1, SEED)
-    fair = fairness.fairness_round(test, base.predictions, A.FEATURES, enrich, vectors, vectors, A.features_of)
+    by_vote = A._by_vote(vectors)
+    update = lambda diffs, needed: extend(diffs, needed, changed, vectors, new, A.features_of)
+
+    robust = robustness.robustness_round(test, vocab, by_vote, 0.1, SEED)
+    fair = fairness.fairness_round(test, base.predictions, A.FEATURES, enrich, by_vote)
     vtrain, vtest = vec_split(spark, FOLDER)
     vtest = vtest.withColumnRenamed("label", "truth")
     vlabels, vtruth = vtrain.select("train_id", "label"), vtest.select("prediction_id", "truth")
@@ -72,23 +75,29 @@ def analyses(spark) -> tuple[dict, dict]:
     wrong = mislabel.mislabel_round(vtrain, vtest)
 
     def robustness_first():
-        state = robustness.robustness_round(test, vocab, vectors, vectors, A.features_of, 0.1, SEED)
+        state = robustness.robustness_round(test, vocab, by_vote, 0.1, SEED)
         drain(robustness.robustness_report(state, base.predictions, test))
 
     def robustness_second():
-        drain(robustness.robustness_report(robustness.robustness_recheck(robust, changed, new), rebased.predictions, test))
+        drain(robustness.robustness_report(robustness.robustness_recheck(robust, lambda diffs: relabel(diffs, changed, new)), rebased.predictions, test))
 
     def fairness_first():
-        state = fairness.fairness_round(test, base.predictions, A.FEATURES, enrich, vectors, vectors, A.features_of)
+        state = fairness.fairness_round(test, base.predictions, A.FEATURES, enrich, by_vote)
         drain(fairness.fairness_report(state, base.predictions, test))
 
     def fairness_second():
-        state = fairness.fairness_recheck(fair, test, rebased.predictions, changed, enrich, vectors, new, A.features_of)
+        state = fairness.fairness_recheck(fair, test, rebased.predictions, enrich, update)
         drain(fairness.fairness_report(state, rebased.predictions, test))
 
     def mislabel_first():
         drain(mislabel.mislabel_report(mislabel.mislabel_round(vtrain, vtest), vbase, vlabels, vtruth))
 
+    value_index = mislabel.value_index(vtrain, vtest)
+
+    def mislabel_second():
+        state = mislabel.mislabel_round_from_index(value_index, vlabels, vtruth)
+        drain(mislabel.mislabel_report(state, vbase, vlabels, vtruth))
+
     quick = {
         "base_pipeline": lambda: A._prepared(spark, FOLDER),
         "rule_edit": lambda: relabel(base, *A._label_edit(train)),
@@ -97,6 +106,7 @@ def analyses(spark) -> tuple[dict, dict]:
         "fairness_first": fairness_first,
         "fairness_second": fairness_second,
         "mislabel_first": mislabel_first,
+        "mislabel_second": mislabel_second,
         "mislabel_fix_only": lambda: drain(mislabel.mislabel_report(wrong, vbase, vlabels, vtruth)),
     }
     slow = {
@@ -120,7 +130,7 @@ def main() -> None:
     times.update({name: median_seconds(run, 1) for name, run in slow.items()})
     ratios = {
         "rule_edit": "rule_edit_full", "robustness_first": "robustness_full", "robustness_second": "robustness_full",
-        "fairness_first": "fairness_full", "fairness_second": "fairness_full", "mislabel_first": "mislabel_full",
+        "fairness_first": "fairness_full", "fairness_second": "fairness_full", "mislabel_first": "mislabel_full", "mislabel_second": "mislabel_full",
     }
     sf = os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")
     line = {

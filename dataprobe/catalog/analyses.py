@@ -12,7 +12,7 @@ from dataprobe.catalog.registry import (
 from dataprobe.catalog.texts import SQL_LEXICON, SQL_REPAIRED, lexicon, sql_rewritten
 from dataprobe.operators import explain, keyed, labels, slices, wordfix
 from dataprobe.operators.shapley import knn_shapley, mislabel_candidates
-from dataprobe.plans import fairness, mislabel, robustness
+from dataprobe.plans import fairness, mislabel, retrieval, robustness
 from dataprobe.plans.retrieval import Retrieval, changed_labels, classify, edited_labels, relabel
 from dataprobe.session import written
 
@@ -95,10 +95,10 @@ SQL_FLIP = (
 
 def _mislabel(spark, d):
     train, test = vec_split(spark, d)
-    retrieval = classify_vectors(test, train)
+    stored = classify_vectors(test, train)
     candidates = written(_candidates(spark, d), "candidates")
     flipped = keyed.flip_labels(train.select("train_id", "label"), candidates, "train_id", "label")
-    return train, test, retrieval, mislabel.MislabelState(candidates, flipped)
+    return train, test, stored, mislabel.MislabelState(candidates, flipped)
 
 
 def classify_vectors(test: DataFrame, train: DataFrame) -> Retrieval:
@@ -110,9 +110,9 @@ def classify_vectors(test: DataFrame, train: DataFrame) -> Retrieval:
          (select count(distinct prediction_id) from idx where train_id in (select train_id from cand)) as rerun_rows, count(*) as total_rows
   from te q join pred p using (prediction_id) join pred_new n using (prediction_id)""")
 def flip_what_if(spark, d):
-    train, test, retrieval, state = _mislabel(spark, d)
+    train, test, stored, state = _mislabel(spark, d)
     truth = test.select("prediction_id", F.col("label").alias("truth"))
-    out = mislabel.mislabel_report(state, retrieval, train.select("train_id", "label"), truth)
+    out = mislabel.mislabel_report(state, stored, train.select("train_id", "label"), truth)
     return out.withColumns({c: F.round(c, DIGITS) for c in ("accuracy_before", "accuracy_after")})
 
 
@@ -138,13 +138,36 @@ def explain_label_flip_train(spark, d):
          p.prediction = q.truth and p.prediction <> n.prediction as broken, p.prediction <> q.truth and n.prediction = q.truth as successfully_fixed
   from te q join pred p using (prediction_id) join pred_new n using (prediction_id) where p.prediction <> n.prediction""")
 def explain_label_flip_test(spark, d):
-    _, test, retrieval, state = _mislabel(spark, d)
-    modified = mislabel.flipped_predictions(state, retrieval)
+    _, test, stored, state = _mislabel(spark, d)
+    modified = mislabel.flipped_predictions(state, stored)
     rows = test.withColumn("true_label", F.col("label") == 0)
-    out = explain.explain_flip_test(rows, retrieval.predictions, modified, ["group"], "embedding", "true_label")
+    out = explain.explain_flip_test(rows, stored.predictions, modified, ["group"], "embedding", "true_label")
     return out.withColumn("feature_1", F.element_at("features", 1)).drop("features")
 
 
+SQL_DOC_PAIRS = """
+pr as (select q.prediction_id, t.train_id, (l.label_new = d.truth)::int::double as eq,
+         row_number() over (partition by q.prediction_id order by round(list_distance(q.v, t.v), 9), t.train_id) as i
+       from f_test q cross join f_train t join doc_train l using (train_id) join doc_test d on d.prediction_id = q.prediction_id)"""
+
+
+@query("mislabel_recheck", with_(
+    SQL_DOC_INDEX, SQL_DOC_PAIRS, "tr as (select train_id from doc_train)", "te as (select prediction_id from doc_test)", sql_truncated(1, 50), SQL_CANDIDATES,
+    "flipped as (select t.train_id, case when c.train_id is not null then 1 - label_new else label_new end as label from doc_train t left join cand c on c.train_id = t.train_id)",
+    sql_vote("pred", "idx", "doc_train", "label_new"), sql_vote("pred_new", "idx", "flipped")) + """
+  select round(avg((p.prediction = q.truth)::int::double), 9) as accuracy_before, round(avg((n.prediction = q.truth)::int::double), 9) as accuracy_after,
+         (select count(distinct prediction_id) from idx where train_id in (select train_id from cand)) as rerun_rows, count(*) as total_rows
+  from doc_test q join pred p using (prediction_id) join pred_new n using (prediction_id)""")
+def mislabel_recheck(spark, d):
+    """After the rule edit: values from the stored neighbour index, predictions rerun where the edit or a flip reaches."""
+    train, vectors, test, base = _prepared(spark, d)
+    index = mislabel.value_index(vectors, features_of(test))
+    changed, new = _label_edit(train)
+    rebased = relabel(base, changed, new)
+    state = mislabel.mislabel_round_from_index(index, new, test)
+    return _rounded(mislabel.mislabel_report(state, rebased, new, test))
+
+
 # ---- slices ----------------------------------------------------------------------------------------
 
 
@@ -208,6 +231,11 @@ def features_of(rows: DataFrame) -> DataFrame:
     return doc_features(rows, "prediction_id")
 
 
+def _by_vote(vectors: DataFrame):
+    """Classify texts by the labels of their neighbours; ``vectors`` holds the training labels too."""
+    return lambda texts: classify(texts, vectors, vectors, features_of)
+
+
 def _label_edit(train: DataFrame):
     """(ids whose label the rule edit changed, labels after it)."""
     edited = edited_labels(train, DOC_RULES, EDITED_INDEX, EDITED_RULE)
@@ -244,7 +272,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _robust(spark, d):
     train, vectors, test, base = _prepared(spark, d)
     vocab = written(wordfix.vocab_counts(train, "text", VOCAB_MIN), "vocab")
-    return train, test, base, robustness.robustness_round(test, vocab, vectors, vectors, features_of, 0.1, SEED)
+    return train, test, base, robustness.robustness_round(test, vocab, _by_vote(vectors), 0.1, SEED)
 
 
 @query("robustness_report", with_(sql_robust("label")) + SQL_ROBUST_REPORT)
@@ -258,7 +286,7 @@ def robustness_recheck(spark, d):
     """After the rule edit; the SQL recomputes everything with the new labels."""
     train, test, base, state = _robust(spark, d)
     changed, new = _label_edit(train)
-    again = robustness.robustness_recheck(state, changed, new)
+    again = robustness.robustness_recheck(state, lambda diffs: relabel(diffs, changed, new))
     return _rounded(robustness.robustness_report(again, relabel(base, changed, new).predictions, test))
 
 
@@ -305,7 +333,7 @@ SQL_FAIR_REPORT = """
 def _fair(spark, d):
     train, vectors, test, base = _prepared(spark, d)
     enrich = _translate(written(lexicon(spark, d), "lexicon"))
-    state = fairness.fairness_round(test, base.predictions, FEATURES, enrich, vectors, vectors, features_of)
+    state = fairness.fairness_round(test, base.predictions, FEATURES, enrich, _by_vote(vectors))
     return train, vectors, test, base, enrich, state
 
 
@@ -321,7 +349,8 @@ def fairness_recheck(spark, d):
     train, vectors, test, base, enrich, state = _fair(spark, d)
     changed, new = _label_edit(train)
     rebased = relabel(base, changed, new)
-    again = fairness.fairness_recheck(state, test, rebased.predictions, changed, enrich, vectors, new, features_of)
+    update = lambda diffs, needed: retrieval.extend(diffs, needed, changed, vectors, new, features_of)
+    again = fairness.fairness_recheck(state, test, rebased.predictions, enrich, update)
     return _rounded(fairness.fairness_report(again, rebased.predictions, test))
 
 

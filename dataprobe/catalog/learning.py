@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dataprobe.catalog import analyses as A
 from dataprobe.catalog.analyses import _candidates
-from dataprobe.catalog.registry import doc_features, query, sql_features, table, vec_split, with_
+from dataprobe.catalog.registry import SEED, VOCAB_MIN, doc_features, query, sql_features, table, vec_split, with_
+from dataprobe.catalog.texts import lexicon
 from dataprobe.operators import explain, keyed, models, wordfix
-from dataprobe.plans import mislabel
+from dataprobe.plans import fairness, mislabel, robustness, trained
 from dataprobe.session import written
 
 
@@ -69,3 +71,42 @@ def explain_proxy(spark, d):
     proxy, modified = mislabel.model_what_if(train, test, state, "logistic")
     rows = test.withColumn("true_label", F.col("label") == 0)
     return explain.explain_flip_test(rows, real, modified, ["group"], "embedding", "true_label", proxy)
+
+
+def _trained(spark, d):
+    """(train, its vectors, test, model, base state) with a logistic model on document vectors."""
+    train, vectors, test, _ = A._prepared(spark, d)
+    model = models.fit(vectors, "logistic")
+    return train, vectors, test, model, trained.classify(test.select("prediction_id", "text"), model, A.features_of)
+
+
+def _retrained(train, vectors):
+    """The model after the rule edit: the same vectors with the edited labels."""
+    _, new = A._label_edit(train)
+    return models.fit(vectors.drop("label").join(new, "train_id"), "logistic")
+
+
+@query("robustness_report_ml")
+def robustness_report_ml(spark, d):
+    """First round and recheck with a trained model: the recheck encodes nothing."""
+    train, vectors, test, model, base = _trained(spark, d)
+    vocab = written(wordfix.vocab_counts(train, "text", VOCAB_MIN), "vocab")
+    state = robustness.robustness_round(test, vocab, lambda t: trained.classify(t, model, A.features_of), 0.1, SEED)
+    first = robustness.robustness_report(state, base.predictions, test).withColumn("round", F.lit(1))
+    newer = _retrained(train, vectors)
+    again = robustness.robustness_recheck(state, lambda diffs: trained.repredict(diffs, newer))
+    second = robustness.robustness_report(again, trained.repredict(base, newer).predictions, test).withColumn("round", F.lit(2))
+    return first.unionByName(second)
+
+
+@query("fairness_report_ml")
+def fairness_report_ml(spark, d):
+    """First round and recheck with a trained model: only newly enriched texts are encoded in the recheck."""
+    train, vectors, test, model, base = _trained(spark, d)
+    enrich = A._translate(written(lexicon(spark, d), "lexicon"))
+    state = fairness.fairness_round(test, base.predictions, A.FEATURES, enrich, lambda t: trained.classify(t, model, A.features_of))
+    first = fairness.fairness_report(state, base.predictions, test).withColumn("round", F.lit(1))
+    newer = _retrained(train, vectors)
+    rebased = trained.repredict(base, newer).predictions
+    again = fairness.fairness_recheck(state, test, rebased, enrich, lambda diffs, needed: trained.extend(diffs, needed, newer, A.features_of))
+    return first.unionByName(fairness.fairness_report(again, rebased, test).withColumn("round", F.lit(2)))

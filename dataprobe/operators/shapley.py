@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from dataprobe.functions.draws import seeded_uniform
 from dataprobe.operators.keyed import flip_labels
 from dataprobe.operators.ordering import sum_after, topk_smallest
-from dataprobe.operators.vectors import _ids, column_matrix, knn_retrieve, local_vectors, pair_distances
+from dataprobe.operators.vectors import _ids, column_matrix, knn_retrieve, pair_distances
 from dataprobe.schemas import require
 from dataprobe.session import written
 
@@ -60,10 +60,9 @@ def _range_of(dist: np.ndarray, ids: np.ndarray, bound_dist: np.ndarray, bound_i
 
 
 def _pair_ranks(train: DataFrame, tests: DataFrame, ranges: int, sample, vector: str) -> DataFrame:
-    """(test_id, train_id, range, distance, eq) of every train x test pair."""
-    test_ids, matrix = local_vectors(tests, "test_id", vector, max_numbers=2 * _TEST_NUMBERS)
-    label_of = dict(tests.select("test_id", "test_label").collect())
-    labels = np.array([label_of[i] for i in test_ids.tolist()])
+    """(test_id, train_id, range, distance, eq) of every train x test pair of one turn."""
+    block = tests.select("test_id", vector, "test_label").toArrow()  # about _TEST_NUMBERS numbers by hash split
+    test_ids, matrix, labels = _ids(block["test_id"]), column_matrix(block[vector]), block["test_label"].to_numpy()
     bounds = _range_bounds(sample, matrix, ranges) if ranges > 1 else None
     shared = train.sparkSession.sparkContext.broadcast((test_ids, matrix, labels, bounds))
 
@@ -142,7 +141,11 @@ def knn_shapley(
     train = train.select(F.col(train_id).cast("long").alias("train_id"), vector, F.col(label).cast("int").alias("train_label"))
     test = test.select(F.col(test_id).cast("long").alias("test_id"), vector, F.col(label).cast("int").alias("test_label"))
     if epsilon is not None:
-        return _truncated(train, test, k, epsilon, vector)
+        last = last_rank(k, epsilon)
+        index = knn_retrieve(test, train, last, "test_id", "train_id", vector)
+        known, asked = train.withColumnRenamed("train_label", "label"), test.withColumnRenamed("test_label", "label")
+        return values_from_index(index, known, asked, k, last)
+    test = written(test, "tests")  # measured, read and sent: whatever computes the vectors runs once
 
     shape = train.agg(F.count(F.lit(1)).alias("n")).first()
     total = shape["n"]
@@ -167,20 +170,30 @@ def knn_shapley(
     return mean
 
 
-def _truncated(train: DataFrame, test: DataFrame, k: int, epsilon: float, vector: str) -> DataFrame:
-    last = max(k, int(np.ceil(1.0 / epsilon)))
-    index = knn_retrieve(test, train, last, "test_id", "train_id", vector)
-    labelled = index.join(train.select("train_id", "train_label"), "train_id").join(test.select("test_id", "test_label"), "test_id")
+def last_rank(k: int, epsilon: float) -> int:
+    """The rank from which on a row's value counts 0."""
+    return max(k, int(np.ceil(1.0 / epsilon)))
+
+
+def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, last: int) -> DataFrame:
+    """Truncated values from a stored neighbour index (test_id, rank, train_id) of ``last`` ranks.
+
+    A label edit moves no neighbour: valuing the rows again after one reads this index and no vector.
+    ``train_labels`` is (train_id, label), ``test_labels`` (test_id, label).
+    """
+    labelled = index.join(train_labels.select("train_id", F.col("label").alias("_known")), "train_id").join(
+        test_labels.select("test_id", F.col("label").alias("_asked")), "test_id"
+    )
+    eq = (F.col("_known") == F.col("_asked")).cast("double")
     order = Window.partitionBy("test_id").orderBy("rank")  # at most ``last`` rows per test point
-    eq = (F.col("train_label") == F.col("test_label")).cast("double")
     stepped = labelled.select("test_id", "train_id", "rank", eq.alias("eq")).withColumn("next_eq", F.lead("eq").over(order))
     weight = F.least(F.lit(float(k)), F.col("rank").cast("double")) / (F.lit(float(k)) * F.col("rank"))
     step = F.when(F.col("rank") < last, (F.col("eq") - F.coalesce(F.col("next_eq"), F.lit(0.0))) * weight).otherwise(0.0)
     scores = stepped.withColumn("step", step).withColumn("score", F.col("step") + sum_after("step", ["test_id"], ["rank"]))
-    points = test.count()
-    sums = scores.groupBy("train_id").agg((F.sum("score") / F.lit(max(points, 1))).alias("shapley_value"))
-    return train.select("train_id").join(sums, "train_id", "left").select(
-        "train_id", F.coalesce(F.col("shapley_value"), F.lit(0.0)).alias("shapley_value")
+    points = test_labels.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
+    sums = scores.groupBy("train_id").agg(F.sum("score").alias("_sum"))
+    return train_labels.select("train_id").join(sums, "train_id", "left").select(
+        "train_id", (F.coalesce(F.col("_sum"), F.lit(0.0)) / points).alias("shapley_value")
     )
 
 

@@ -9,13 +9,10 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from dataprobe.operators.explain import explain_enrichment
-from dataprobe.operators.impact import impact_set
-from dataprobe.operators.keyed import drop_rows, gather_rows
 from dataprobe.operators.memo import enrich_incremental, first_round
-from dataprobe.operators.predict import vote_from_index
 from dataprobe.operators.slices import slice_condition, slice_find
-from dataprobe.operators.vectors import knn_retrieve
-from dataprobe.plans.retrieval import Featurize, Retrieval, classify, patched_predictions, share_right
+from dataprobe.plans.retrieval import Featurize, Retrieval, patched_predictions, share_right
+from dataprobe.plans.trained import Trained
 from dataprobe.session import written
 
 Enrich = Callable[[DataFrame], DataFrame]
@@ -23,12 +20,12 @@ Enrich = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class FairnessState:
-    """The slice, its enriched texts (prediction_id, before, after), and a retrieval over those that changed."""
+    """The slice, its enriched texts (prediction_id, before, after), and a classifier state over those that changed."""
 
     slices: list[Row]
     features: list[str]
     enriched: DataFrame
-    diffs: Retrieval
+    diffs: Retrieval | Trained
 
 
 def worst_slices(test: DataFrame, predictions: DataFrame, features: list[str], k: int = 1) -> list[Row]:
@@ -43,49 +40,30 @@ def _changed(enriched: DataFrame) -> DataFrame:
 
 
 def fairness_round(
-    test: DataFrame,
-    base: DataFrame,
-    features: list[str],
-    enrich: Enrich,
-    train_vectors: DataFrame,
-    labels: DataFrame,
-    featurize: Featurize,
-    k: int = 4,
+    test: DataFrame, base: DataFrame, features: list[str], enrich: Enrich, classifier: Callable[[DataFrame], Retrieval | Trained]
 ) -> FairnessState:
     """Find the worst slice, enrich its texts only, and predict the texts that changed."""
     slices = worst_slices(test, base, features)
     wanted = test.filter(slice_condition(slices, features))
     enriched = written(first_round(wanted, test, enrich, "prediction_id", "text"), "enriched")
-    return FairnessState(slices, features, enriched, classify(_changed(enriched), train_vectors, labels, featurize, k))
+    return FairnessState(slices, features, enriched, classifier(_changed(enriched)))
 
 
 def fairness_recheck(
     state: FairnessState,
     test: DataFrame,
     base: DataFrame,
-    changed: DataFrame,
     enrich: Enrich,
-    train_vectors: DataFrame,
-    labels: DataFrame,
-    featurize: Featurize,
-    k: int = 4,
+    update: Callable[[Retrieval | Trained, DataFrame], Retrieval | Trained],
 ) -> FairnessState:
-    """After a label edit: search the slice again; enrich and retrieve only rows not seen before.
+    """After a label edit: search the slice again and enrich only rows not enriched before.
 
-    Predictions of rows seen before run again only where they retrieved an edited row.
+    ``update`` extends the stored classifier state to the texts that are needed now.
     """
     slices = worst_slices(test, base, state.features)
     wanted = test.filter(slice_condition(slices, state.features)).select("prediction_id")
     enriched = written(enrich_incremental(wanted, test, state.enriched, enrich, "prediction_id", "text"), "enriched")
-    needed = _changed(enriched)
-    kept = gather_rows(state.diffs.index, needed, "prediction_id")
-    fresh = drop_rows(needed, state.diffs.index.select("prediction_id"), "prediction_id")
-    index = written(kept.unionByName(knn_retrieve(featurize(fresh), train_vectors, k)), "index")
-    # To predict: rows retrieved for the first time, and rows that retrieved an edited training row.
-    todo = impact_set(state.diffs.index, changed).unionByName(fresh.select("prediction_id"))
-    votes = vote_from_index(gather_rows(index, todo, "prediction_id"), labels)
-    reused = drop_rows(gather_rows(state.diffs.predictions, needed, "prediction_id"), todo, "prediction_id")
-    return FairnessState(slices, state.features, enriched, Retrieval(index, written(reused.unionByName(votes), "predictions")))
+    return FairnessState(slices, state.features, enriched, update(state.diffs, _changed(enriched)))
 
 
 def fairness_report(state: FairnessState, base: DataFrame, test: DataFrame) -> DataFrame:

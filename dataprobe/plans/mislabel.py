@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from dataprobe.operators.impact import flip_what_if, rerun_and_patch
 from dataprobe.operators.keyed import flip_labels
 from dataprobe.operators.models import fit_predict
-from dataprobe.operators.shapley import knn_shapley, mislabel_candidates
+from dataprobe.operators.shapley import knn_shapley, last_rank, mislabel_candidates, values_from_index
+from dataprobe.operators.vectors import knn_retrieve
 from dataprobe.plans.retrieval import Retrieval
 from dataprobe.session import written
 
@@ -35,6 +36,23 @@ def mislabel_round(train: DataFrame, test: DataFrame, n: int = 20, k: int = 1, e
     return MislabelState(candidates, flip_labels(train.select("train_id", "label"), candidates, "train_id", "label"))
 
 
+def value_index(train: DataFrame, test: DataFrame, k: int = 1, epsilon: float = 0.02) -> DataFrame:
+    """The neighbour index that truncated values need, written for reuse under label edits."""
+    points = test.select(F.col("prediction_id").alias("test_id"), "embedding")
+    return written(knn_retrieve(points, train, last_rank(k, epsilon), "test_id"), "value_index")
+
+
+def mislabel_round_from_index(
+    index: DataFrame, labels: DataFrame, truth: DataFrame, n: int = 20, k: int = 1, epsilon: float = 0.02
+) -> MislabelState:
+    """Value the rows from a stored index with the labels as they are now (first round or recheck)."""
+    asked = truth.select(F.col("prediction_id").alias("test_id"), F.col("truth").alias("label"))
+    values = values_from_index(index, labels.select("train_id", "label"), asked, k, last_rank(k, epsilon))
+    rounded = values.withColumn("shapley_value", F.round("shapley_value", 9))
+    candidates = written(mislabel_candidates(rounded, n), "candidates")
+    return MislabelState(candidates, flip_labels(labels.select("train_id", "label"), candidates, "train_id", "label"))
+
+
 def mislabel_report(state: MislabelState, retrieval: Retrieval, labels: DataFrame, truth: DataFrame) -> DataFrame:
     """Accuracy before and after the flip, rerunning only predictions that retrieved a flipped row."""
     return flip_what_if(retrieval.index, retrieval.predictions, labels, state.candidates, truth)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.functions.labels import RuleSet, binarize
-from dataprobe.operators.impact import rerun_and_patch
-from dataprobe.operators.keyed import patch_rows
+from dataprobe.operators.impact import impact_set, rerun_and_patch
+from dataprobe.operators.keyed import drop_rows, gather_rows, patch_rows
 from dataprobe.operators.labels import label_diff, weak_label
 from dataprobe.operators.predict import vote_from_index
 from dataprobe.operators.vectors import knn_retrieve
@@ -54,6 +54,23 @@ def relabel(state: Retrieval, changed: DataFrame, labels: DataFrame) -> Retrieva
     return Retrieval(state.index, written(patched, "predictions"))
 
 
+def extend(
+    state: Retrieval, needed: DataFrame, changed: DataFrame, train_vectors: DataFrame, labels: DataFrame, featurize: Featurize, k: int = 4
+) -> Retrieval:
+    """The state for the texts in ``needed`` (prediction_id, text) after a label edit.
+
+    Texts seen before keep their neighbours and, unless they retrieved an edited row, their prediction; only
+    the others are encoded and searched.
+    """
+    kept = gather_rows(state.index, needed, "prediction_id")
+    fresh = drop_rows(needed, state.index.select("prediction_id"), "prediction_id")
+    index = written(kept.unionByName(knn_retrieve(featurize(fresh), train_vectors, k)), "index")
+    todo = impact_set(state.index, changed).unionByName(fresh.select("prediction_id"))
+    votes = vote_from_index(gather_rows(index, todo, "prediction_id"), labels)
+    reused = drop_rows(gather_rows(state.predictions, needed, "prediction_id"), todo, "prediction_id")
+    return Retrieval(index, written(reused.unionByName(votes), "predictions"))
+
+
 def patched_predictions(base: DataFrame, *diffs: DataFrame) -> DataFrame:
     out = base
     for diff in diffs:

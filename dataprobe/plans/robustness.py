@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,17 +12,18 @@ from dataprobe.operators.explain import explain_corruption
 from dataprobe.operators.keyed import changed_rows
 from dataprobe.operators.noise import corruption_diff
 from dataprobe.operators.wordfix import repair_text
-from dataprobe.plans.retrieval import Featurize, Retrieval, classify, patched_predictions, relabel, share_right
+from dataprobe.plans.retrieval import Featurize, Retrieval, patched_predictions, share_right
+from dataprobe.plans.trained import Trained
 from dataprobe.session import written
 
 
 @dataclass(frozen=True)
 class RobustnessState:
-    """Texts that changed, and one retrieval over both kinds of changed text."""
+    """Texts that changed, and one classifier state over both kinds of changed text."""
 
     corrupted: DataFrame
     repaired: DataFrame
-    diffs: Retrieval
+    diffs: Retrieval | Trained
 
 
 def _variant(texts: DataFrame, number: int) -> DataFrame:
@@ -36,28 +38,25 @@ def _of_variant(predictions: DataFrame, number: int) -> DataFrame:
 def robustness_round(
     test: DataFrame,
     vocab: DataFrame,
-    train_vectors: DataFrame,
-    labels: DataFrame,
-    featurize: Featurize,
+    classifier: Callable[[DataFrame], Retrieval | Trained],
     fraction: float = 0.1,
     seed: int = 42,
-    k: int = 4,
 ) -> RobustnessState:
     """Damage a tenth of the texts, repair those only, and predict the texts that changed.
 
-    Damaged and repaired versions go through one neighbour search together.
+    ``classifier`` gets (prediction_id, text) of damaged and repaired versions together, so they share one
+    neighbour search or one encoding job.
     """
     texts = test.select("prediction_id", "text")
     corrupted = written(corruption_diff(texts, "prediction_id", "text", fraction, seed), "corrupted")
     fixed = repair_text(corrupted, "prediction_id", "text", vocab)
     repaired = written(changed_rows(corrupted, fixed, "prediction_id", "text"), "repaired")
-    both = _variant(corrupted, 0).unionByName(_variant(repaired, 1))
-    return RobustnessState(corrupted, repaired, classify(both, train_vectors, labels, featurize, k))
+    return RobustnessState(corrupted, repaired, classifier(_variant(corrupted, 0).unionByName(_variant(repaired, 1))))
 
 
-def robustness_recheck(state: RobustnessState, changed: DataFrame, labels: DataFrame) -> RobustnessState:
-    """After a label edit: texts, vectors and neighbours stand; only impacted predictions run again."""
-    return RobustnessState(state.corrupted, state.repaired, relabel(state.diffs, changed, labels))
+def robustness_recheck(state: RobustnessState, update: Callable[[Retrieval | Trained], Retrieval | Trained]) -> RobustnessState:
+    """After a label edit: texts and vectors stand; ``update`` brings the stored predictions up to date."""
+    return RobustnessState(state.corrupted, state.repaired, update(state.diffs))
 
 
 def robustness_predictions(state: RobustnessState, base: DataFrame) -> DataFrame:
