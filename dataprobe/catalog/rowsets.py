@@ -301,7 +301,7 @@ def sort_by_rank_map(spark, d):
 
     med = runs.median_by_config(ledger(spark, d), ["detect_eval_1"])
     order = [runs.order_of("scenario", runs.SCENARIO_ORDER), runs.order_of("variant", runs.VARIANT_ORDER), runs.order_of("opt", runs.OPT_ORDER)]
-    placed = med.withColumn("position", F.row_number().over(Window.orderBy(*order, "experiment")))
+    placed = med.withColumn("position", F.row_number().over(Window.orderBy(*order, "experiment")).cast("long"))
     return runs.sort_by_rank_map(placed).select("experiment", "scenario", "variant", "opt", "position")
 
 

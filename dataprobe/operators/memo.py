@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataprobe.functions.text import to_key
@@ -33,15 +33,20 @@ def memo_rows(pairs: DataFrame, version: int) -> DataFrame:
     )
 
 
-def cache_table_upsert(memo: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Insert or replace: per input the row of the highest version survives.
+def latest_version(memo: DataFrame) -> DataFrame:
+    """Per input the row of the highest version.
 
     ``max_by`` folds versions per task first, so an input written again and again never piles up in one.
     """
     columns = [f.name for f in MEMO.fields]
-    both = memo.select(columns).unionByName(fresh.select(columns))
     newest = F.max_by(F.struct(*columns), F.struct("version", "output")).alias("row")
-    return both.groupBy("input_hash").agg(newest).select("row.*")
+    return memo.groupBy("input_hash").agg(newest).select("row.*")
+
+
+def cache_table_upsert(memo: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Insert or replace: ``fresh`` rows supersede stored rows of a lower version."""
+    columns = [f.name for f in MEMO.fields]
+    return latest_version(memo.select(columns).unionByName(fresh.select(columns)))
 
 
 def cached_transform(
@@ -91,9 +96,3 @@ def first_round(wanted: DataFrame, source: DataFrame, fn: Callable[[DataFrame],
     inputs = source.select(key, text).join(wanted.select(key).distinct(), key, "left_semi")
     outputs = fn(inputs).select(key, F.col(text).alias("after"))
     return inputs.select(key, F.col(text).alias("before")).join(outputs, key)
-
-
-def latest_version(memo: DataFrame) -> DataFrame:
-    """The stored rows with superseded versions dropped."""
-    order = Window.partitionBy("input_hash").orderBy(F.col("version").desc(), F.col("output").desc())
-    return memo.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") == 1).drop("_nth")
