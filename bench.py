@@ -28,7 +28,7 @@ from dataprobe.session import local_session, written  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
 
 OPERATORS = [
     "join_users_tweets", "weak_label", "weak_label_diff", "equality_check", "ml_text_features", "knn_retrieve", "knn_retrieve_large",
