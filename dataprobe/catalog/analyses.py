@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from dataprobe.catalog.registry import (
     DOC_RULES, EDITED_INDEX, EDITED_RULE, SEED, SQL_DOC_INDEX, SQL_VEC_INDEX, SQL_VEC_SPLIT, SQL_VEC_VOTE, VOCAB_MIN, doc_features,
-    doc_test, doc_train, query, sql_features, sql_index, sql_vote, table, vec_split, with_,
+    doc_test, doc_train, packed, query, sql_features, sql_index, sql_packed, sql_vote, table, vec_split, with_,
 )
 from dataprobe.catalog.texts import SQL_LEXICON, SQL_REPAIRED, lexicon, sql_rewritten
 from dataprobe.operators import explain, keyed, labels, slices, wordfix
-from dataprobe.operators.shapley import knn_shapley, mislabel_candidates
+from dataprobe.operators.shapley import knn_shapley, mislabel_candidates, values_from_index
+from dataprobe.operators.vectors import knn_retrieve
 from dataprobe.plans import fairness, mislabel, retrieval, robustness
 from dataprobe.plans.retrieval import Retrieval, changed_labels, classify, edited_labels, relabel
 from dataprobe.session import written
@@ -41,8 +42,10 @@ ss as (select *, sum(c) over (partition by prediction_id order by i rows between
 shap as (select t.train_id, round(coalesce(sum(s), 0) / (select count(*) from te), 9) as shapley_value from tr t left join ss using (train_id) group by 1)"""
 
 
-def _values(spark, d, **options) -> DataFrame:
+def _values(spark, d, epsilon: float = 0.0, **options) -> DataFrame:
+    """Exact unless an error bound is given."""
     train, test = vec_split(spark, d)
+    options["epsilon"] = epsilon
     values = knn_shapley(train, test.withColumnRenamed("prediction_id", "test_id"), **options)
     return values.select("train_id", F.round("shapley_value", DIGITS).alias("shapley_value"))
 
@@ -62,16 +65,15 @@ def knn_shapley_truncated(spark, d):
     return _values(spark, d, epsilon=0.05)
 
 
-@query("shapley_mean", with_(SQL_VEC_SPLIT, sql_index("idx", "te", "tr", 16)) + """
-  select train_id, round(avg((t.label = q.truth)::int::double / rank), 9) as mean_share from idx join tr t using (train_id) join te q using (prediction_id) group by train_id""")
+@query("shapley_mean", with_(SQL_VEC_SPLIT, SQL_PAIRS, sql_shapley(3)) + "select train_id, shapley_value as mean_score from shap")
 def shapley_mean(spark, d):
-    """Mean contribution of a training row over the test points that meet it."""
-    from dataprobe.operators.vectors import knn_retrieve
-
+    """Mean over the test points of the scores of a stored index that holds every rank."""
     train, test = vec_split(spark, d)
-    rows = knn_retrieve(test, train, 16).join(train.select("train_id", F.col("label").alias("known")), "train_id")
-    share = (F.col("known") == F.col("label")).cast("double") / F.col("rank")
-    return rows.join(test.select("prediction_id", "label"), "prediction_id").groupBy("train_id").agg(F.round(F.avg(share), DIGITS).alias("mean_share"))
+    points = test.withColumnRenamed("prediction_id", "test_id")
+    rows = train.count()
+    index = written(knn_retrieve(points, train, max(1, rows), "test_id"), "index")
+    values = values_from_index(index, train, points, 3, rows + 1, rows)
+    return values.select("train_id", F.round("shapley_value", DIGITS).alias("mean_score"))
 
 
 SQL_CANDIDATES = "cand as (select train_id, shapley_value from shap order by shapley_value, train_id limit 20)"
@@ -117,7 +119,7 @@ def flip_what_if(spark, d):
 
 
 @query("explain_label_flip_train", with_(SQL_VEC_SPLIT, SQL_PAIRS, sql_shapley(1), SQL_CANDIDATES) + """
-  select c.train_id, d.text, d.lang, d.source, t.embedding[1] as feature_1, e.rule_1, e.rule_2, e.rule_3, t.label = 0 as original_label, t.label <> 0 as modified_label,
+  select c.train_id, d.text, d.lang, d.source, """ + sql_packed("t.embedding") + """ as features, e.rule_1, e.rule_2, e.rule_3, t.label = 0 as original_label, t.label <> 0 as modified_label,
          (t.label <> 0)::int as encoded_original_label, (t.label = 0)::int as encoded_modified_label, c.shapley_value
   from cand c join tr t using (train_id) join documents d on d.doc_id = c.train_id join (
     select doc_id, coalesce(regexp_matches(text, '(the|of|and) (in|to|is)'), false) as rule_1, coalesce(regexp_matches(text, '(Apache|MIT|Public) License'), false) as rule_2,
@@ -129,11 +131,11 @@ def explain_label_flip_train(spark, d):
     ruled = labels.weak_label(docs, "text", DOC_RULES, "_rules").drop("_rules")
     rows = train.select("train_id", "embedding", (F.col("label") == 0).alias("label")).join(ruled, "train_id")
     out = explain.explain_flip_train(rows, written(_candidates(spark, d), "candidates"), labels.rule_columns(DOC_RULES), ["text", "lang", "source"], "embedding")
-    return out.withColumn("feature_1", F.element_at("features", 1)).drop("features")
+    return out.withColumn("features", packed("features"))
 
 
 @query("explain_label_flip_test", with_(SQL_FLIP) + """
-  select prediction_id, q.grp as "group", q.embedding[1] as feature_1, q.truth = 0 as true_label, q.truth::int as encoded_true_label,
+  select prediction_id, q.grp as "group", """ + sql_packed("q.embedding") + """ as features, q.truth = 0 as true_label, q.truth::int as encoded_true_label,
          p.prediction as encoded_original_predicted_label, n.prediction as encoded_modified_predicted_label,
          p.prediction = q.truth and p.prediction <> n.prediction as broken, p.prediction <> q.truth and n.prediction = q.truth as successfully_fixed
   from te q join pred p using (prediction_id) join pred_new n using (prediction_id) where p.prediction <> n.prediction""")
@@ -142,7 +144,7 @@ def explain_label_flip_test(spark, d):
     modified = mislabel.flipped_predictions(state, stored)
     rows = test.withColumn("true_label", F.col("label") == 0)
     out = explain.explain_flip_test(rows, stored.predictions, modified, ["group"], "embedding", "true_label")
-    return out.withColumn("feature_1", F.element_at("features", 1)).drop("features")
+    return out.withColumn("features", packed("features"))
 
 
 SQL_DOC_PAIRS = """
@@ -291,7 +293,7 @@ def robustness_recheck(spark, d):
 
 
 @query("explain_corruption", with_(sql_robust("label")) + """
-  select w.*, q.lang, q.source, q.text, c.text as corrupted_text, r.text as fix_corrupted_text, a.v[1] as feature_1, b.v[1] as feature_corrupted_1, f.v[1] as feature_fix_corrupted_1,
+  select w.*, q.lang, q.source, q.text, c.text as corrupted_text, r.text as fix_corrupted_text, """ + f"{sql_packed('a.v')} as features, {sql_packed('b.v')} as features_corrupted, {sql_packed('f.v')} as features_fix_corrupted," + """
          predicted_label = w.truth and predicted_label <> predicted_corrupt_label as corruption_effect,
          predicted_label = w.truth and predicted_label <> predicted_corrupt_label and predicted_label = predicted_fix_corrupt_label as successfully_fixed,
          predicted_label = w.truth and predicted_label <> predicted_fix_corrupt_label as worsened, predicted_label <> w.truth and predicted_fix_corrupt_label = w.truth as otherwise_fixed
@@ -300,8 +302,7 @@ def robustness_recheck(spark, d):
 def explain_corruption(spark, d):
     _, test, base, state = _robust(spark, d)
     out = robustness.robustness_explanation(state, base.predictions, test, ["lang", "source"], features_of)
-    shown = {"feature_1": "features", "feature_corrupted_1": "features_corrupted", "feature_fix_corrupted_1": "features_fix_corrupted"}
-    return out.withColumns({k: F.element_at(v, 1) for k, v in shown.items()}).drop(*shown.values())
+    return out.withColumns({c: packed(c) for c in ("features", "features_corrupted", "features_fix_corrupted")})
 
 
 # ---- fairness --------------------------------------------------------------------------------------
@@ -355,12 +356,11 @@ def fairness_recheck(spark, d):
 
 
 @query("explain_enrichment", with_(sql_fair("label")) + """
-  select b.prediction_id, b.lang, b.source, b.text, t.text as enriched_text, b.truth, fb.v[1] as feature_1, fa.v[1] as feature_enriched_1,
+  select b.prediction_id, b.lang, b.source, b.text, t.text as enriched_text, b.truth, """ + f"{sql_packed('fb.v')} as features, {sql_packed('fa.v')} as features_enriched," + """
          before as predicted_label, after as predicted_enriched_label,
          case when before = truth and before <> after then 'broken' when before <> truth and after = truth then 'successfully_fixed' when before <> truth and after <> truth then 'nothing_changed' end as category
   from both_preds b join translated t using (prediction_id) join f_test fb using (prediction_id) join f_tr fa using (prediction_id)""")
 def explain_enrichment(spark, d):
     _, _, test, base, _, state = _fair(spark, d)
     out = fairness.fairness_explanation(state, base.predictions, test, ["lang", "source"], features_of)
-    shown = {"feature_1": "features", "feature_enriched_1": "features_enriched"}
-    return out.withColumns({k: F.element_at(v, 1) for k, v in shown.items()}).drop(*shown.values())
+    return out.withColumns({c: packed(c) for c in ("features", "features_enriched")})

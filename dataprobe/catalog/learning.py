@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dataprobe.catalog import analyses as A
 from dataprobe.catalog.analyses import _candidates
-from dataprobe.catalog.registry import SEED, VOCAB_MIN, doc_features, query, sql_features, table, vec_split, with_
+from dataprobe.catalog.registry import SEED, VOCAB_MIN, doc_features, packed, query, sql_features, sql_packed, table, vec_split, with_
 from dataprobe.catalog.texts import lexicon
 from dataprobe.operators import explain, keyed, models, wordfix
 from dataprobe.plans import fairness, mislabel, robustness, trained
@@ -14,10 +14,10 @@ from dataprobe.session import written
 
 
 @query("ml_text_features", with_("docs as (select doc_id, text from documents)", sql_features("f", "docs", "doc_id"))
-       + "select doc_id, " + ", ".join(f"round(v[{i}], 9) as f{i}" for i in (1, 2, 16, 32)) + ", len(v) as dims from f")
+       + f"select doc_id, {sql_packed('v')} as features, len(v) as dims from f")
 def ml_text_features(spark, d):
     rows = doc_features(table(spark, d, "documents", "doc_id"), "doc_id")
-    return rows.select("doc_id", *[F.round(F.element_at("embedding", i), 9).alias(f"f{i}") for i in (1, 2, 16, 32)], F.size("embedding").cast("long").alias("dims"))
+    return rows.select("doc_id", packed("embedding").alias("features"), F.size("embedding").cast("long").alias("dims"))
 
 
 def _predictions(spark, d, kind: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataprobe.functions.draws import seeded_uniform
@@ -44,6 +44,18 @@ def oracles() -> dict[str, str]:
     return {name: entry.sql for name, entry in REGISTRY.items() if entry.sql is not None}
 
 
+# ---- whole vectors as one comparable value ---------------------------------------------------------
+
+
+def packed(vector: str) -> Column:
+    """Every element in millionths, joined: what a query reports of a vector."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1000000.0).cast("long").cast("string")), ",")
+
+
+def sql_packed(vector: str) -> str:
+    return f"array_to_string(list_transform({vector}, x -> cast(cast(round(x::double * 1000000.0) as bigint) as varchar)), ',')"
+
+
 # ---- rules on the document table -------------------------------------------------------------------
 
 DOC_RULES = RuleSet(positives=(r"(the|of|and) (in|to|is)", r"(Apache|MIT|Public) License"), negatives=(r"&&&",))

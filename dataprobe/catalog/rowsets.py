@@ -13,7 +13,6 @@ from dataprobe.functions.labels import binarize, class_name
 from dataprobe.operators import keyed, labels, ordering, runs
 from dataprobe.schemas import ledger_schema
 from dataprobe.session import scratch_path
-from dataprobe.sources.synthetic import COUNTRIES, FILLER, LANGS, PHRASES, gen_text_tables
 from dataprobe.sources.tables import read_csv, read_table, scan_run_csv, sink_csv, sink_parquet
 
 LISTED = ["src0", "src1", "src2", "src3", "src4"]
@@ -44,14 +43,12 @@ def sink_and_read_csv(spark, d):
 
 @query(
     "scan_run_csv",
-    with_(SQL_LEDGER) + "select experiment, scenario, variant, opt, original_pipeline, detect_eval_1, fix_eval_1, explanation_1 from ledger"
-    " where experiment = 'exp1'",
+    with_(SQL_LEDGER) + "select experiment, scenario, variant, opt, original_pipeline, detect_eval_1, fix_eval_1, explanation_1 from ledger",
 )
 def scan_run_csv_query(spark, d):
     """One CSV folder per configuration, read back with the configuration taken from the folder names."""
     base = scratch_path(spark, "runs")
-    rows = ledger(spark, d).filter(F.col("experiment") == "exp1")
-    named = rows.withColumn("run", F.concat(F.concat_ws("_", "experiment", "scenario", "variant", "opt"), F.lit(".csv")))
+    named = ledger(spark, d).withColumn("run", F.concat(F.concat_ws("_", "experiment", "scenario", "variant", "opt"), F.lit(".csv")))
     named.select("run", *LEDGER_ONE).write.partitionBy("run").option("header", True).csv(base)
     return scan_run_csv(spark, base, LEDGER_ONE)
 
@@ -67,28 +64,6 @@ def records_to_table_query(spark, d):
                     F.col("judged").alias("anhedonia"))
 
 
-def _sql_pick(options, draw: str) -> str:
-    return "[" + ", ".join("'" + o + "'" for o in options) + f"][cast(floor({draw} * {float(len(options))}) as int) + 1]"
-
-
-def _gen_sql() -> str:
-    row = lambda slot: u(SEED, "doc_id", "'row'", slot=slot)
-    text = lambda slot: u(SEED, "doc_id", "'text'", slot=slot)
-    cases = " ".join(
-        f"when kind = '{kind}' and lang = '{lang}' then {_sql_pick(options, 'phrase')}" for (kind, lang), options in PHRASES.items()
-    )
-    return f"""with g as (select cast(doc_id as varchar) as user_id, {row(0)} > 0.5 as anhedonia, {row(1)} > 0.5 as discloses,
-      {_sql_pick(LANGS, row(2))} as lang, {_sql_pick(COUNTRIES, row(3))} as country,
-      {_sql_pick(FILLER, text(0))} as head, {text(1)} as phrase, {_sql_pick(FILLER, text(2))} as tail from documents),
-    k as (select *, case when not anhedonia then 'none' when discloses then 'clear' else 'hidden' end as kind from g)
-    select user_id, lang, country, head || case {cases} else ' ' end || tail as tweet, anhedonia, discloses from k"""
-
-
-@query("gen_text_tables", _gen_sql())
-def gen_text_tables_query(spark, d):
-    return gen_text_tables(table(spark, d, "documents").select("doc_id"), "doc_id", SEED)
-
-
 @query("filter_isin", f"select doc_id as user_id, lang, source as country from documents where source in {IN_LISTED}")
 def filter_isin(spark, d):
     return users(spark, d).filter(F.col("country").isin(LISTED))

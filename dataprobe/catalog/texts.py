@@ -108,10 +108,9 @@ def fn_split_join_chars(spark, d):
 
 @query("ordered_string_agg", "select text as joined, doc_id from documents")
 def ordered_string_agg(spark, d):
-    """Table form: one row per character, put back together in order."""
-    chars = docs(spark, d).select("doc_id", F.posexplode(T.split_chars("text")).alias("pos", "c"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "c")))
-    return chars.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["c"]), "").alias("joined"))
+    """Characters with their positions, sorted and put back together inside the row."""
+    placed = F.transform(T.split_chars("text"), lambda c, i: F.struct(i.alias("pos"), c.alias("c")))
+    return docs(spark, d).select("doc_id", F.array_join(F.transform(F.array_sort(placed), lambda p: p["c"]), "").alias("joined"))
 
 
 @query(
@@ -254,11 +253,10 @@ en_buckets as (select cast('0x' || substr(md5(token), 1, 8) as bigint) % {LEXICO
 lexicon as (select o.token, e.target as fix from other_words o join en_buckets e on e.bucket = cast('0x' || substr(md5(o.token), 1, 8) as bigint) % {LEXICON_BUCKETS})"""
 
 
-@query("lexicon_translate", with_(SQL_LEXICON, "foreign_docs as (select doc_id, text from documents where lang <> 'en')",
-       sql_rewritten("translated", "foreign_docs", "doc_id", "lexicon")) + "select doc_id, text from translated")
+@query("lexicon_translate", with_(SQL_LEXICON, "all_docs as (select doc_id, text from documents)",
+       sql_rewritten("translated", "all_docs", "doc_id", "lexicon")) + "select doc_id, text from translated")
 def lexicon_translate(spark, d):
-    foreign = table(spark, d, "documents", "doc_id").filter(F.col("lang") != "en").select("doc_id", "text")
-    return wordfix.lexicon_translate(foreign, "doc_id", "text", lexicon(spark, d))
+    return wordfix.lexicon_translate(docs(spark, d), "doc_id", "text", lexicon(spark, d))
 
 
 def _slip(rows: DataFrame) -> DataFrame:
@@ -273,12 +271,20 @@ def _first_memo(spark, d) -> DataFrame:
 
 SQL_MEMO = f"""
 memo as (select distinct md5(text) as input_hash, text as input, 'memo:' || {SLIPPED} as output, 1::bigint as version
-         from documents where source in ('src0', 'src1', 'src2', 'src3', 'src4'))"""
+         from documents where source in ('src0', 'src1', 'src2', 'src3', 'src4')),
+newer as (select distinct md5(text) as input_hash from documents where source in ('src0', 'src1'))"""
 
 
-@query("udf_cached_transform", with_(SQL_MEMO) + f"select doc_id, coalesce(m.output, {SLIPPED}) as text from documents d left join memo m on m.input_hash = md5(d.text)")
+@query("udf_cached_transform", with_(SQL_MEMO) + f"select doc_id, case when m.output is null then {SLIPPED} when n.input_hash is not null then 'again:' || {SLIPPED} else m.output end as text"
+       " from documents d left join memo m on m.input_hash = md5(d.text) left join newer n on n.input_hash = md5(d.text)")
 def udf_cached_transform(spark, d):
-    out, _ = memo.cached_transform(docs(spark, d), "doc_id", "text", _first_memo(spark, d), _slip)
+    """Against a stored memo that holds two versions of some inputs: the later one answers."""
+    path = scratch_path(spark, "memo.parquet")
+    first = _first_memo(spark, d)
+    memo.cache_table_write(first, path)
+    again = table(spark, d, "documents").filter(F.col("source").isin("src0", "src1")).select(F.col("text").alias("input")).distinct()
+    memo.cache_table_write(memo.memo_rows(again.withColumn("output", F.concat(F.lit("again:"), T.keyboard_substitute("input"))), 2), path)
+    out, _ = memo.cached_transform(docs(spark, d), "doc_id", "text", memo.cache_table_read(spark, path), _slip, version=3)
     return out
 
 
@@ -289,10 +295,11 @@ def cache_table_upsert(spark, d):
     return memo.cache_table_upsert(_first_memo(spark, d), memo.memo_rows(fresh.withColumn("output", T.keyboard_substitute("input")), 2))
 
 
-@query("cache_table_read", with_(SQL_MEMO) + "select input_hash, input, output, version from memo")
+@query("cache_table_read", f"select distinct md5(text) as input_hash, text as input, 'memo:' || {SLIPPED} as output, 1::bigint as version from documents")
 def cache_table_read(spark, d):
     path = scratch_path(spark, "memo.parquet")
-    memo.cache_table_write(_first_memo(spark, d), path)
+    every = table(spark, d, "documents").select(F.col("text").alias("input")).distinct()
+    memo.cache_table_write(memo.memo_rows(every.withColumn("output", F.concat(F.lit("memo:"), T.keyboard_substitute("input"))), 1), path)
     return memo.cache_table_read(spark, path)
 
 
@@ -311,10 +318,9 @@ def enrich_incremental(spark, d):
 # ---- plug-in functions, prompts and answers --------------------------------------------------------
 
 
-@query("udf_text_transform", "select doc_id, replace(text, 'the', 'THE') as text from documents where lang = 'en'")
+@query("udf_text_transform", "select doc_id, replace(text, 'the', 'THE') as text from documents")
 def udf_text_transform(spark, d):
-    rows = table(spark, d, "documents", "doc_id").filter(F.col("lang") == "en")
-    return predict.udf_text_transform(rows, "doc_id", "text", lambda batch: [t.replace("the", "THE") for t in batch])
+    return predict.udf_text_transform(docs(spark, d), "doc_id", "text", lambda batch: [t.replace("the", "THE") for t in batch])
 
 
 @query("udf_predictor", "select doc_id as prediction_id, (length(text) > 1000)::int as prediction from documents")

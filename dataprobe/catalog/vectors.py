@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dataprobe.catalog.registry import (
     DOC_RULES, EDITED_INDEX, EDITED_RULE, SEED, SQL_DOC_INDEX, SQL_VEC_INDEX, SQL_VEC_SPLIT, SQL_VEC_VOTE, doc_features, doc_test,
-    doc_train, query, sql_features, sql_index, sql_vote, table, vec_split, with_,
+    doc_train, packed, query, sql_features, sql_index, sql_packed, sql_vote, table, vec_split, with_,
 )
 from dataprobe.functions.labels import class_name
 from dataprobe.functions.prompts import prompt_parts
@@ -29,11 +29,11 @@ def _collection(spark, d) -> DataFrame:
 
 
 def _shown(c: DataFrame) -> DataFrame:
-    return c.select("id", "text", F.element_at("embedding", 1).alias("first"), F.col("metadata")["label"].alias("label"), F.col("metadata")["lang"].alias("lang"))
+    return c.select("id", "text", packed("embedding").alias("vector"), F.col("metadata")["label"].alias("label"), F.col("metadata")["lang"].alias("lang"))
 
 
-SQL_COLLECTION = """
-coll as (select cast(vec_id as varchar) as id, text, embedding[1] as first, cast(label as varchar) as label, lang
+SQL_COLLECTION = f"""
+coll as (select cast(vec_id as varchar) as id, text, {sql_packed('embedding')} as vector, cast(label as varchar) as label, lang
          from documents join embeddings on vec_id = doc_id)"""
 
 
@@ -54,7 +54,7 @@ def _relabelled(c: DataFrame) -> DataFrame:
     return collection.vector_table_update(c, updates)
 
 
-@query("vector_table_update", with_(SQL_COLLECTION) + "select id, text, first, case when label = '3' then 'flipped' else label end as label, lang from coll")
+@query("vector_table_update", with_(SQL_COLLECTION) + "select id, text, vector, case when label = '3' then 'flipped' else label end as label, lang from coll")
 def vector_table_update(spark, d):
     return _shown(_relabelled(_collection(spark, d)))
 
@@ -113,10 +113,18 @@ def pairwise_distance_query(spark, d):
     return pairwise_distance(pairs, test, train, "prediction_id", "train_id").withColumn("distance", F.round("distance", 6))
 
 
-@query("rank_by_distance", with_(SQL_VEC_SPLIT, sql_index("idx", "te", "tr", 16)) + "select prediction_id, train_id, rank::int as rank from idx")
+# an index that holds every rank: k is above the number of rows
+SQL_ALL_RANKS = sql_index("idx", "te", "tr", "(select count(*) from tr)")
+
+
+def _every_rank(train: DataFrame, test: DataFrame) -> DataFrame:
+    return knn_retrieve(test, train, max(1, train.count()))
+
+
+@query("rank_by_distance", with_(SQL_VEC_SPLIT, SQL_ALL_RANKS) + "select prediction_id, train_id, rank::int as rank from idx")
 def rank_by_distance(spark, d):
     train, test = vec_split(spark, d)
-    found = knn_retrieve(test, train, 16).drop("rank")
+    found = _every_rank(train, test).drop("rank")
     return ordering.rank_by_distance(found, "prediction_id", "distance", "train_id").select("prediction_id", "train_id", "rank")
 
 
@@ -125,18 +133,18 @@ _EQ = "eq as (select i.prediction_id, i.rank::int as rank, (t.label = q.truth)::
 
 def _eq_ranked(spark, d) -> DataFrame:
     train, test = vec_split(spark, d)
-    index = knn_retrieve(test, train, 16)
+    index = _every_rank(train, test)
     joined = index.join(train.select("train_id", F.col("label").alias("known")), "train_id").join(test.select("prediction_id", "label"), "prediction_id")
     return joined.select("prediction_id", "rank", (F.col("known") == F.col("label")).cast("double").alias("eq"))
 
 
-@query("adjacent_diff", with_(SQL_VEC_SPLIT, sql_index("idx", "te", "tr", 16), _EQ)
+@query("adjacent_diff", with_(SQL_VEC_SPLIT, SQL_ALL_RANKS, _EQ)
        + "select prediction_id, rank, eq, eq - lead(eq) over (partition by prediction_id order by rank) as diff from eq")
 def adjacent_diff(spark, d):
     return ordering.adjacent_diff(_eq_ranked(spark, d), "prediction_id", "eq")
 
 
-@query("suffix_sum", with_(SQL_VEC_SPLIT, sql_index("idx", "te", "tr", 16), _EQ)
+@query("suffix_sum", with_(SQL_VEC_SPLIT, SQL_ALL_RANKS, _EQ)
        + "select prediction_id, rank, eq, sum(eq) over (partition by prediction_id order by rank rows between current row and unbounded following) as suffix from eq")
 def suffix_sum(spark, d):
     return ordering.suffix_sum(_eq_ranked(spark, d), "prediction_id", "eq")

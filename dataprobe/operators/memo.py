@@ -54,18 +54,21 @@ def cached_transform(
 ) -> tuple[DataFrame, DataFrame]:
     """(table with ``text`` replaced by fn's output, memo with the new entries).
 
-    ``fn`` maps (input_hash, input) to (input_hash, output) and sees each missing distinct input once.  The
-    misses are written before both results use them: the function runs once, whatever happens later.
+    ``fn`` maps (input_hash, input) to (input_hash, output) and sees each missing distinct input once.  The memo may
+    hold several versions of an input: the latest answers.  Which hashes are missing is asked before any text is
+    moved; only texts of misses are, and they are written before ``fn`` and its result use them.
     """
     require(df, "cached_transform", row_key, text)
+    memo = latest_version(memo)
     asked = df.withColumn("_hash", to_key(text))
-    distinct = asked.groupBy(F.col("_hash").alias("input_hash")).agg(F.first(text).alias("input"))
-    missing = distinct.join(memo.select("input_hash"), "input_hash", "left_anti")
+    unknown = asked.select(F.col("_hash").alias("input_hash")).distinct().join(memo.select("input_hash"), "input_hash", "left_anti")
+    texts = asked.select(F.col("_hash").alias("input_hash"), F.col(text).alias("input")).join(written(unknown, "unknown"), "input_hash", "left_semi")
+    missing = written(texts.groupBy("input_hash").agg(F.first("input").alias("input")), "missing")
     outputs = fn(missing).select("input_hash", "output")
     fresh = missing.join(outputs, "input_hash").withColumn("version", F.lit(version).cast("long"))
     fresh = written(fresh.select([f.name for f in MEMO.fields]), "memo")
     updated = cache_table_upsert(memo, fresh)
-    known = memo.select("input_hash", "output").unionByName(fresh.select("input_hash", "output"))
+    known = memo.join(fresh.select("input_hash"), "input_hash", "left_anti").select("input_hash", "output").unionByName(fresh.select("input_hash", "output"))
     answer = known.select(F.col("input_hash").alias("_hash"), "output")
     # One text may make up a third of all rows: its rows are dealt over several tasks.
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -77,7 +77,7 @@ def assign_row_id(df: DataFrame, key: str, name: str = "row_id", rows_per_bucket
     buckets = -(-total // rows_per_bucket)
     # About 64 sampled keys per bound: the sample grows with the number of ranges, not of rows.
     sample = df.select(key).filter(seeded_uniform(17, key) < min(1.0, 64.0 * buckets / total))
-    keys = sorted(row[0] for row in sample.limit(256 * buckets).collect())
+    keys = sorted(row[0] for row in sample.collect())
     bounds = [keys[i * len(keys) // buckets] for i in range(1, buckets)] if keys else []
     ranged = df.withColumn("_range", _bucket_of(bounds)(F.col(key)))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))

@@ -4,170 +4,49 @@ For one test point, rank the N training rows by distance and let eq_j be 1 when
 the test label.  With w_j = min(K, j) / (K j) for j < N and w_N = 1 / N, the value at rank i is
 
     s_i = sum_{j >= i} (eq_j - eq_{j+1}) w_j  (eq_{N+1} = 0)
-        = eq_i w_i - sum_{j > i} eq_j (w_{j-1} - w_j)
 
-and a row's value is the mean over all test points.  The second form needs no look-ahead, so a test
-point's list can be cut into distance ranges that are ranked apart and joined by two running totals.
+and a row's value is the mean over all test points.  Ranks from max(K, ceil(1 / epsilon)) on may count 0: no
+value is then off by more than epsilon (Jia et al., PVLDB 2019), and the nearest rows of each test point are
+enough.  An epsilon below 1 / N asks for every rank and is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataprobe.functions.draws import seeded_uniform
-from dataprobe.operators.keyed import flip_labels
 from dataprobe.operators.ordering import sum_after, topk_smallest
-from dataprobe.operators.vectors import _ids, column_matrix, knn_retrieve, pair_distances
+from dataprobe.operators.vectors import knn_retrieve
 from dataprobe.schemas import require
-from dataprobe.session import written
-
-# Test vectors sent to every executor at once, in numbers (32 MB of doubles); more are taken in turns.
-_TEST_NUMBERS = 4_000_000
-# Training rows one window may rank for one test point; longer lists are cut into distance ranges.
-RANGE_ROWS = 1_000_000
-_TRAIN_STEP = 512
-
-
-def _weight(rank: Column, k: int, n: Column) -> Column:
-    inner = F.least(F.lit(float(k)), rank.cast("double")) / (F.lit(float(k)) * rank)
-    return F.when(rank == n, F.lit(1.0) / n).otherwise(inner)
-
-
-def _range_bounds(sample: tuple[np.ndarray, np.ndarray], tests: np.ndarray, ranges: int):
-    """Per test point, ``ranges - 1`` cut points (distance, id) of its sorted list."""
-    ids, vectors = sample
-    dist = pair_distances(tests, vectors)
-    at = [i * len(ids) // ranges for i in range(1, ranges)]
-    order = [np.lexsort((ids, row))[at] for row in dist]
-    return [(row[o], ids[o]) for row, o in zip(dist, order)]
-
-
-def _range_of(dist: np.ndarray, ids: np.ndarray, bound_dist: np.ndarray, bound_ids: np.ndarray) -> np.ndarray:
-    """Number of cut points at or below (distance, id): copies at one distance are split by id."""
-    low = np.searchsorted(bound_dist, dist, side="left")
-    high = np.searchsorted(bound_dist, dist, side="right")
-    out = low.copy()
-    tied = np.nonzero(high > low)[0]
-    for run in np.unique(low[tied]):
-        rows = tied[low[tied] == run]
-        out[rows] = run + np.searchsorted(bound_ids[run : high[rows[0]]], ids[rows], side="right")
-    return out.astype(np.int32)
-
-
-def _pair_ranks(train: DataFrame, tests: DataFrame, ranges: int, sample, vector: str) -> DataFrame:
-    """(test_id, train_id, range, distance, eq) of every train x test pair of one turn."""
-    block = tests.select("test_id", vector, "test_label").toArrow()  # about _TEST_NUMBERS numbers by hash split
-    test_ids, matrix, labels = _ids(block["test_id"]), column_matrix(block[vector]), block["test_label"].to_numpy()
-    bounds = _range_bounds(sample, matrix, ranges) if ranges > 1 else None
-    shared = train.sparkSession.sparkContext.broadcast((test_ids, matrix, labels, bounds))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t_ids, t_matrix, t_labels, cuts = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, _TRAIN_STEP):
-                part = batch.slice(start, _TRAIN_STEP)
-                ids, label = _ids(part.column(0)), part.column(2).to_numpy(zero_copy_only=False)
-                dist = pair_distances(t_matrix, column_matrix(part.column(1)))
-                if cuts is None:
-                    place = np.zeros(dist.shape, dtype=np.int32)
-                else:
-                    place = np.stack([_range_of(d, ids, *cut) for d, cut in zip(dist, cuts)])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "test_id": pa.array(np.repeat(t_ids, len(ids))),
-                        "train_id": pa.array(np.tile(ids, len(t_ids))),
-                        "range": pa.array(place.ravel()),
-                        "distance": pa.array(dist.ravel()),
-                        "eq": pa.array((label[None, :] == t_labels[:, None]).astype(np.float64).ravel()),
-                    }
-                )
-
-    return train.mapInArrow(pairs, "test_id long, train_id long, range int, distance double, eq double")
-
-
-def _exact_scores(train: DataFrame, tests: DataFrame, k: int, total: int, ranges: int, sample, vector: str) -> DataFrame:
-    pairs = _pair_ranks(train, tests, ranges, sample, vector)
-    rank = F.col("rank")
-    n = F.lit(total)
-    drop = F.when(rank > 1, _weight(rank - 1, k, n) - _weight(rank, k, n)).otherwise(0.0)
-    order = Window.partitionBy("test_id", "range").orderBy("distance", "train_id")
-    later = sum_after("term", ["test_id", "range"], ["distance", "train_id"])
-    if ranges == 1:
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).withColumn("term", F.col("eq") * drop)
-        tail = later
-    else:
-        # Rows before a range give its first rank; terms after it give the rest of its tail.  Both tables
-        # have (test points x ranges) rows.
-        sizes = pairs.groupBy("test_id", "range").agg(F.count(F.lit(1)).alias("rows"))
-        by_range = Window.partitionBy("test_id").orderBy("range")
-        starts = sizes.select("test_id", "range", (F.sum("rows").over(by_range) - F.col("rows")).alias("start"))
-        ranked = (
-            pairs.join(starts, ["test_id", "range"])
-            .withColumn("rank", F.row_number().over(order) + F.col("start"))
-            .withColumn("term", F.col("eq") * drop)
-        )
-        ranked = written(ranked.select("test_id", "train_id", "range", "distance", "eq", "rank", "term"), "ranked")
-        sums = ranked.groupBy("test_id", "range").agg(F.sum("term").alias("of_range"))
-        after = sums.select("test_id", "range", sum_after("of_range", ["test_id"], ["range"]).alias("after"))
-        ranked = ranked.join(after, ["test_id", "range"])
-        tail = later + F.col("after")
-    return ranked.select("test_id", "train_id", (F.col("eq") * _weight(rank, k, n) - tail).alias("score"))
+
+# The error bound of values where none is given.
+EPSILON = 0.02
 
 
 def knn_shapley(
     train: DataFrame,
     test: DataFrame,
     k: int = 1,
-    epsilon: float | None = None,
+    epsilon: float = EPSILON,
     train_id: str = "train_id",
     test_id: str = "test_id",
     label: str = "label",
     vector: str = "embedding",
-    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """(train_id, shapley_value) for every training row.
+    """(train_id, shapley_value) for every training row, off by at most ``epsilon``; 0 is exact.
 
-    Exact by default: every train x test pair is ranked.  With ``epsilon`` ranks from
-    max(k, ceil(1 / epsilon)) on count 0 (Jia et al., PVLDB 2019), so only the nearest rows of a test
-    point are needed and the cost falls to one neighbour search; no value is off by more than epsilon.
+    One neighbour search of ``last_rank`` rows per test point.  Exact values hold every pair of a test point and a
+    training row, because every rank counts: ask for them on tables where that is affordable.
     """
     for df, key in ((train, train_id), (test, test_id)):
         require(df, "knn_shapley", key, label, vector)
-    train = train.select(F.col(train_id).cast("long").alias("train_id"), vector, F.col(label).cast("int").alias("train_label"))
-    test = test.select(F.col(test_id).cast("long").alias("test_id"), vector, F.col(label).cast("int").alias("test_label"))
-    if epsilon is not None:
-        last = last_rank(k, epsilon)
-        index = knn_retrieve(test, train, last, "test_id", "train_id", vector)
-        known, asked = train.withColumnRenamed("train_label", "label"), test.withColumnRenamed("test_label", "label")
-        return values_from_index(index, known, asked, k, last)
-    test = written(test, "tests")  # measured, read and sent: whatever computes the vectors runs once
-
-    shape = train.agg(F.count(F.lit(1)).alias("n")).first()
-    total = shape["n"]
-    points = test.agg(F.count(F.lit(1)).alias("m"), F.sum(F.size(vector)).alias("numbers")).first()
-    if not total or not points["m"]:
-        return train.select("train_id", F.lit(0.0).alias("shapley_value"))
-    ranges = -(-total // range_rows)
-    sample = None
-    if ranges > 1:
-        rate = min(1.0, 32.0 * ranges / total)
-        drawn = train.filter(seeded_uniform(37, "train_id") < rate).select("train_id", vector).limit(128 * ranges).toArrow()
-        sample = (_ids(drawn["train_id"]), column_matrix(drawn[vector]))
-        if not len(sample[0]):
-            sample, ranges = None, 1
-    turns = -(-points["numbers"] // _TEST_NUMBERS)
-    scores = None
-    for turn in range(turns):
-        block = test if turns == 1 else test.filter(F.pmod(F.xxhash64("test_id"), F.lit(turns)) == turn)
-        part = _exact_scores(train, block, k, total, ranges, sample, vector)
-        scores = part if scores is None else scores.unionByName(part)
-    mean = scores.groupBy("train_id").agg((F.sum("score") / F.lit(points["m"])).alias("shapley_value"))
-    return mean
+    train = train.select(F.col(train_id).cast("long").alias("train_id"), vector, F.col(label).cast("int").alias("label"))
+    test = test.select(F.col(test_id).cast("long").alias("test_id"), vector, F.col(label).cast("int").alias("label"))
+    rows = train.count() if epsilon <= 0 else None
+    last = last_rank(k, epsilon) if rows is None else rows + 1
+    index = knn_retrieve(test, train, last, "test_id", "train_id", vector)
+    return values_from_index(index, train, test, k, last, rows)
 
 
 def last_rank(k: int, epsilon: float) -> int:
@@ -175,8 +54,10 @@ def last_rank(k: int, epsilon: float) -> int:
     return max(k, int(np.ceil(1.0 / epsilon)))
 
 
-def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, last: int) -> DataFrame:
-    """Truncated values from a stored neighbour index (test_id, rank, train_id) of ``last`` ranks.
+def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, last: int, rows: int | None = None) -> DataFrame:
+    """Values from a stored neighbour index (test_id, rank, train_id) of ``last`` ranks, truncated there.
+
+    ``rows`` is the number of training rows if the index holds every rank: the last one weighs 1 / N, also below K.
 
     A label edit moves no neighbour: valuing the rows again after one reads this index and no vector.
     ``train_labels`` is (train_id, label), ``test_labels`` (test_id, label).
@@ -188,6 +69,8 @@ def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: Da
     order = Window.partitionBy("test_id").orderBy("rank")  # at most ``last`` rows per test point
     stepped = labelled.select("test_id", "train_id", "rank", eq.alias("eq")).withColumn("next_eq", F.lead("eq").over(order))
     weight = F.least(F.lit(float(k)), F.col("rank").cast("double")) / (F.lit(float(k)) * F.col("rank"))
+    if rows is not None:
+        weight = F.when(F.col("rank") == rows, 1.0 / max(rows, 1)).otherwise(weight)
     step = F.when(F.col("rank") < last, (F.col("eq") - F.coalesce(F.col("next_eq"), F.lit(0.0))) * weight).otherwise(0.0)
     scores = stepped.withColumn("step", step).withColumn("score", F.col("step") + sum_after("step", ["test_id"], ["rank"]))
     points = test_labels.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
@@ -198,9 +81,8 @@ def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: Da
 
 
 def mislabel_candidates(values: DataFrame, n: int = 20) -> DataFrame:
-    """The n training rows of lowest value, ties by id."""
-    return topk_smallest(values, "shapley_value", "train_id", n)
+    """The n training rows of lowest value, ties by id.
 
-
-def flipped_train(train: DataFrame, candidates: DataFrame, train_id: str = "train_id", label: str = "label") -> DataFrame:
-    return flip_labels(train, candidates, train_id, label)
+    Values are compared at nine decimals: the order in which a sum was added up decides nothing.
+    """
+    return topk_smallest(values.withColumn("shapley_value", F.round("shapley_value", 9)), "shapley_value", "train_id", n)

@@ -5,22 +5,23 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from dataprobe.schemas import require
 
 
-def slice_stats(df: DataFrame, features: list[str], err: str, max_l: int = 2) -> DataFrame:
+def slice_stats(df: DataFrame, features: list[str], err: str, max_l: int = 2, totals: bool = False) -> DataFrame:
     """Rows and error sum of every slice with 1..max_l fixed features.
 
     ``<feature>_any`` tells a wildcard from a null value.  The rows are first counted per combination of
-    all feature values, so the grouping sets run over those counts and not over the data.
+    all feature values, so the grouping sets run over those counts and not over the data.  ``totals`` adds the
+    slice without any fixed feature, which is the whole table.
     """
     require(df, "slice_stats", err, *features)
     cells = df.groupBy(features).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(err).cast("double")).alias("_e"))
     sets = [list(c) for level in range(1, max_l + 1) for c in combinations(features, level)]
-    grouped = cells.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in features])
+    grouped = cells.groupingSets([[F.col(c) for c in s] for s in sets + ([[]] if totals else [])], *[F.col(c) for c in features])
     return grouped.agg(
         F.sum("_n").alias("slice_rows"),
         F.sum("_e").alias("slice_err"),
@@ -42,11 +43,12 @@ def slice_find(
     score = alpha ((n / |S|)(err_S / err) - 1) - (1 - alpha)(n / |S| - 1).  Slices below ``min_sup`` rows,
     without an error or with a score of 0 or less are no answer.
     """
-    stats = slice_stats(df, features, err, max_l)
-    # Two scalar subqueries, planned as one aggregate over the same input.
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    total_err = df.agg(F.sum(F.col(err).cast("double")).alias("e")).scalar()
-    joined = stats.withColumns({"_rows": n, "_err": total_err})
+    # The totals come out of the same counts as one more slice: the input is read once.  One row per slice goes
+    # through the window.
+    stats = slice_stats(df, features, err, max_l, totals=True)
+    everything = reduce(lambda a, b: a & b, [F.col(f"{c}_any") for c in features])
+    of_all = lambda c: F.max(F.when(everything, F.col(c))).over(Window.partitionBy())
+    joined = stats.withColumns({"_rows": of_all("slice_rows"), "_err": of_all("slice_err")}).filter(~everything)
     share = F.col("_rows") / F.col("slice_rows")
     score = F.lit(alpha) * (share * (F.col("slice_err") / F.col("_err")) - 1) - F.lit(1 - alpha) * (share - 1)
     kept = joined.filter((F.col("slice_rows") >= min_sup) & (F.col("slice_err") > 0) & (F.col("_err") > 0)).withColumn("score", score)

@@ -89,14 +89,9 @@ def fairness_explanation(state: FairnessState, base: DataFrame, test: DataFrame,
     """The slice's rows: texts, vectors and predictions before and after, with the outcome."""
     after = patched_predictions(base, state.diffs.predictions)
     rows = test.filter(slice_condition(state.slices, state.features)).select("prediction_id", *context, "truth")
-    texts = rows.join(state.enriched, "prediction_id")
-    versions = texts.select("prediction_id", F.posexplode(F.array("before", "after")).alias("v", "text"))
-    vectors = featurize(versions.select((F.col("prediction_id") * 2 + F.col("v")).alias("prediction_id"), "text"))
-    wide = (
-        vectors.select(F.floor(F.col("prediction_id") / 2).alias("prediction_id"), (F.col("prediction_id") % 2).alias("v"), "embedding")
-        .groupBy("prediction_id")
-        .agg(*[F.max(F.when(F.col("v") == i, F.col("embedding"))).alias(n) for i, n in enumerate(("features", "features_enriched"))])
-    )
+    texts = written(rows.join(state.enriched, "prediction_id"), "texts")  # encoded twice and reported once
+    encoded = lambda c, name: featurize(texts.select("prediction_id", F.col(c).alias("text"))).select("prediction_id", F.col("embedding").alias(name))
+    wide = encoded("before", "features").join(encoded("after", "features_enriched"), "prediction_id")
     out = (
         texts.withColumnsRenamed({"before": "text", "after": "enriched_text"})
         .join(wide, "prediction_id")

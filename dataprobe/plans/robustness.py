@@ -19,20 +19,15 @@ from dataprobe.session import written
 
 @dataclass(frozen=True)
 class RobustnessState:
-    """Texts that changed, and one classifier state over both kinds of changed text."""
+    """Texts that changed, and a classifier state over either kind of changed text.
+
+    Damaged and repaired versions of a row share its id, so each kind has a state of its own.
+    """
 
     corrupted: DataFrame
     repaired: DataFrame
-    diffs: Retrieval | Trained
-
-
-def _variant(texts: DataFrame, number: int) -> DataFrame:
-    return texts.select((F.col("prediction_id") * 2 + number).alias("prediction_id"), "text")
-
-
-def _of_variant(predictions: DataFrame, number: int) -> DataFrame:
-    rows = predictions.filter(F.col("prediction_id") % 2 == number)
-    return rows.select(((F.col("prediction_id") - number) / 2).cast("long").alias("prediction_id"), "prediction")
+    hurt: Retrieval | Trained
+    healed: Retrieval | Trained
 
 
 def robustness_round(
@@ -44,27 +39,25 @@ def robustness_round(
 ) -> RobustnessState:
     """Damage a tenth of the texts, repair those only, and predict the texts that changed.
 
-    ``classifier`` gets (prediction_id, text) of damaged and repaired versions together, so they share one
-    neighbour search or one encoding job.
+    ``classifier`` gets (prediction_id, text), first of the damaged versions and then of the repaired ones.
     """
     texts = test.select("prediction_id", "text")
     corrupted = written(corruption_diff(texts, "prediction_id", "text", fraction, seed), "corrupted")
     fixed = repair_text(corrupted, "prediction_id", "text", vocab)
     repaired = written(changed_rows(corrupted, fixed, "prediction_id", "text"), "repaired")
-    return RobustnessState(corrupted, repaired, classifier(_variant(corrupted, 0).unionByName(_variant(repaired, 1))))
+    text = lambda df: df.select("prediction_id", "text")
+    return RobustnessState(corrupted, repaired, classifier(text(corrupted)), classifier(text(repaired)))
 
 
 def robustness_recheck(state: RobustnessState, update: Callable[[Retrieval | Trained], Retrieval | Trained]) -> RobustnessState:
     """After a label edit: texts and vectors stand; ``update`` brings the stored predictions up to date."""
-    return RobustnessState(state.corrupted, state.repaired, update(state.diffs))
+    return RobustnessState(state.corrupted, state.repaired, update(state.hurt), update(state.healed))
 
 
 def robustness_predictions(state: RobustnessState, base: DataFrame) -> DataFrame:
     """(prediction_id, predicted_label, predicted_corrupt_label, predicted_fix_corrupt_label) for all rows."""
-    damaged = _of_variant(state.diffs.predictions, 0)
-    repaired = _of_variant(state.diffs.predictions, 1)
-    hurt = patched_predictions(base, damaged)
-    healed = patched_predictions(hurt, repaired)
+    hurt = patched_predictions(base, state.hurt.predictions)
+    healed = patched_predictions(hurt, state.healed.predictions)
     named = lambda df, name: df.select("prediction_id", F.col("prediction").alias(name))
     return (
         named(base, "predicted_label")
@@ -98,17 +91,11 @@ def robustness_explanation(state: RobustnessState, base: DataFrame, test: DataFr
         .withColumn("fix_corrupted_text", F.coalesce("_fixed", "corrupted_text"))
         .drop("_fixed")
     )
-    versions = texts.select("prediction_id", F.posexplode(F.array("text", "corrupted_text", "fix_corrupted_text")).alias("v", "text"))
-    flat = versions.select((F.col("prediction_id") * 3 + F.col("v")).alias("prediction_id"), "text")
-    vectors = featurize(flat).select(
-        F.floor(F.col("prediction_id") / 3).alias("prediction_id"), (F.col("prediction_id") % 3).alias("v"), "embedding"
-    )
-    wide = vectors.groupBy("prediction_id").agg(
-        *[
-            F.max(F.when(F.col("v") == i, F.col("embedding"))).alias(name)
-            for i, name in enumerate(("features", "features_corrupted", "features_fix_corrupted"))
-        ]
-    )
+    texts = written(texts, "texts")  # encoded three times and reported once
+    wide = None
+    for column, name in (("text", "features"), ("corrupted_text", "features_corrupted"), ("fix_corrupted_text", "features_fix_corrupted")):
+        part = featurize(texts.select("prediction_id", F.col(column).alias("text"))).select("prediction_id", F.col("embedding").alias(name))
+        wide = part if wide is None else wide.join(part, "prediction_id")
     labels = robustness_predictions(state, base).join(ids, "prediction_id", "left_semi")
     rows = texts.join(wide, "prediction_id").join(labels, "prediction_id")
     return explain_corruption(rows, "predicted_label", "predicted_corrupt_label", "predicted_fix_corrupt_label", "truth")

@@ -128,22 +128,20 @@ def test_exact_values(spark, k):
     rng = np.random.default_rng(3)
     y, yt = rng.integers(0, 2, len(train)), rng.integers(0, 2, len(test))
     expected = direct_values(train, y, test, yt, k)
-    assert np.allclose(values(spark, train, y, test, yt, k=k), expected, atol=1e-12)
-    # A test point's list cut into ranges; a third of the rows are at one distance and get split by id.
-    assert np.allclose(values(spark, train, y, test, yt, k=k, range_rows=40), expected, atol=1e-12)
+    assert np.allclose(values(spark, train, y, test, yt, k=k, epsilon=0), expected, atol=1e-12)
+    # A bound below one over the number of rows asks for every rank.
+    assert np.allclose(values(spark, train, y, test, yt, k=k, epsilon=0.5 / len(train)), expected, atol=1e-12)
 
 
-def test_values_with_test_points_in_turns(spark, monkeypatch):
-    train, test = sample_points()
-    y, yt = np.arange(len(train)) % 2, np.arange(len(test)) % 2
-    monkeypatch.setattr(shapley, "_TEST_NUMBERS", 100)
-    assert np.allclose(values(spark, train, y, test, yt), direct_values(train, y, test, yt, 1), atol=1e-12)
+def test_exact_values_of_fewer_rows_than_neighbours(spark):
+    train, test, y, yt = np.array([[1.0], [2.0], [3.0]]), np.array([[0.0], [2.1]]), np.array([1, 0, 1]), np.array([1, 0])
+    assert np.allclose(values(spark, train, y, test, yt, k=5, epsilon=0), direct_values(train, y, test, yt, 5))
 
 
 def test_hand_computed_values(spark):
     # One test point at 0 with label 1; ranks 1..4 have labels 1, 0, 0, 1.
     train, y = np.array([[1.0], [2.0], [3.0], [4.0]]), np.array([1, 0, 0, 1])
-    got = values(spark, train, y, np.array([[0.0]]), np.array([1]))
+    got = values(spark, train, y, np.array([[0.0]]), np.array([1]), epsilon=0)
     assert np.allclose(got, [1 - 1 / 3 + 1 / 4, -1 / 3 + 1 / 4, -1 / 3 + 1 / 4, 1 / 4])
     assert np.allclose(values(spark, train[:1], y[:1], np.array([[0.0]]), np.array([1])), [1.0])
 

@@ -6,7 +6,6 @@ from dataprobe.functions.labels import RuleSet
 from dataprobe.operators import collection, keyed, labels, lookup, memo, noise, ordering, runs
 from dataprobe.schemas import LEDGER_ROUND_1, require
 from dataprobe.session import scratch_path
-from dataprobe.sources.synthetic import gen_text_tables
 from dataprobe.sources.tables import read_csv, records_to_table, scan_run_csv, sink_csv
 
 
@@ -191,13 +190,3 @@ def test_csv_and_records_round_trip(spark):
     path = scratch_path(spark, "x.csv")
     sink_csv(df, path)
     assert rows(read_csv(spark, path, schema)) == rows(df)
-
-
-def test_generator_shares(spark):
-    rows_ = gen_text_tables(spark.range(4000), "id", 42).collect()
-    share = lambda f: sum(map(f, rows_)) / 4000
-    assert abs(share(lambda r: r["anhedonia"]) - 0.5) < 0.05
-    assert abs(share(lambda r: r["lang"] == "en") - 2 / 3) < 0.05
-    assert abs(share(lambda r: r["country"] == "NL") - 2 / 3) < 0.05
-    plain = [r for r in rows_ if r["anhedonia"] and r["discloses"] and r["lang"] == "en"]
-    assert all(any(p in r["tweet"] for p in ("zero motivation", "no motivation", "lost interest")) for r in plain)
