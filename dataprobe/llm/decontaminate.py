@@ -27,7 +27,8 @@ DROP_SHARE = 0.5
 def _hashes(words: Column, length: int) -> Column:
     """A hash of every window of ``length`` words."""
     count = F.size(words) - (length - 1)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, length)))
+    # read by position: inside a lambda, slice() copies the whole array each time
+    every = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(length)]))
     return F.when(count > 0, every).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -35,9 +36,9 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     """(length, hash, words, items): each distinct window and the items that contain it."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), split_words(ascii_lower(F.col(f"`{text}`")), NON_WORD).alias("w")).filter(F.size("w") > 0)
     sized = items.withColumn("length", F.least(F.size("w"), F.lit(ngram)))
-    each = sized.select("item", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.slice("w", i, F.col("length")))).alias("words"))
+    each = sized.select("item", "length", F.posexplode("w").alias("at", "_"), "w").filter(F.col("at") <= F.size("w") - F.col("length")).select("item", "length", F.slice("w", F.col("at") + 1, F.col("length")).alias("words"))
     grouped = each.groupBy("length", "words").agg(F.collect_set("item").alias("items"))
-    return grouped.select("length", F.xxhash64("words").alias("hash"), "words", "items")
+    return grouped.select("length", F.xxhash64(*[F.get("words", F.lit(k)) for k in range(ngram)]).alias("hash"), "words", "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -79,7 +80,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
         slim = placed.select("id", "text_key", "hash", "element", "length", "at", F.when(F.col("element") == 0, F.array().cast("array<string>")).otherwise(F.slice("w", F.col("at"), F.col("length"))).alias("words"), F.when(F.col("element") == 0, F.size("w")).alias("size"))
         met = slim.hint("merge").join(listed, on, "left")
     size = F.size("w") if total <= BROADCAST_WINDOWS else F.col("size")
-    hit = (F.col("element") > 0) & (F.col("words") == F.col("item_words"))
+    hit = F.col("item_hash").isNotNull() & (F.col("words") == F.col("item_words"))
     kept = met.filter((F.col("element") == 0) | hit).select(
         "id", "text_key", F.when(F.col("element") == 0, size).alias("size"), F.when(hit, F.struct("at", "length")).alias("span"), F.when(hit, F.col("items")).alias("found"),
     )

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dataprobe.functions.draws import seeded_uniform
 from dataprobe.session import written
 
 PERIOD = 200
@@ -86,12 +87,14 @@ def period_schedule(weights: DataFrame) -> DataFrame:
 def source_ranks(docs: DataFrame, source: str, id_col: str, text: str, seed: int = SEED) -> DataFrame:
     """``docs`` with ``_rank``, the place of a row in its source's mixed order, from 0.
 
-    Order: hash bucket, hash, id.  Counts of (source, bucket) give each bucket its offset; rows are ranked inside a
-    bucket only, and the number of buckets follows the number of rows.
+    Order: a keyed draw, then the id.  The range of draws is cut into buckets; counts of (source, bucket) give each
+    bucket its offset, rows are ranked inside a bucket only, and the number of buckets follows the number of rows.
     """
     total = docs.count()
     buckets = max(1, total // BUCKET_DOCS)
-    drawn = docs.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text}`"))).withColumn("_bucket", F.pmod("_draw", F.lit(buckets)))
+    # rows without an id draw by their text
+    named = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("text:"), F.col(f"`{text}`").cast("string")))
+    drawn = docs.withColumn("_draw", seeded_uniform(seed, named)).withColumn("_bucket", F.floor(F.col("_draw") * buckets))
     counts = drawn.groupBy(F.col(f"`{source}`").alias("_s"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_s", "_b", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     inside = Window.partitionBy(F.col(f"`{source}`"), "_bucket").orderBy("_draw", F.col(f"`{id_col}`"))

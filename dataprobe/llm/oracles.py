@@ -1 +1,133 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the operators that SQL can express (chains, SimHash, licence expressions and the pipeline cannot)."""
+
+from __future__ import annotations
+
+from dataprobe.llm import chat, mixing, quality, urls
+
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# ---- 1: every rule as SQL on the same measurements -----------------------------------------------------------------
+
+_BITS = " + ".join(f"case when {fails} then {quality.BIT[name]} else 0 end" for name, fails in quality.RULES)
+QUALITY = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as n from win) where n > 1),
+covered as (select doc_id, count(distinct i + k) as n_repeat_words from twice, (select unnest(range(8)) as k) group by doc_id),
+lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+          from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+m as (
+  select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines,
+         len(list_filter(w, lambda x: length(x) > 1 and x like '%!'))::bigint as n_shouts
+  from d left join covered using (doc_id) left join lines using (doc_id)),
+b as (select *, ({_BITS})::bigint as failed_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {quality.BASE}) <> 0 as base_failed,
+       (failed_bits & {quality.POLICIES[quality.CURRENT]}) = 0 as kept, failed_bits from b"""
+
+# ---- 2: every 50-byte string by its hex digits ---------------------------------------------------------------------
+
+SUFFIX = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n_bytes from documents),
+g as (select doc_id, i, substr(x, 2 * i + 1, 100) as s from (select doc_id, x, unnest(range(0, n_bytes - 49)) as i from d)),
+least_doc as (select s, min(doc_id) as m from g group by s),
+hit as (select doc_id, i from g join least_doc using (s) where m < doc_id),
+edge as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from hit),
+island as (select *, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as k from edge),
+span as (select doc_id, k, min(i) as a, max(i) + 50 as b from island group by doc_id, k),
+cut as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from span),
+left_over as (select c.doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as head, max(b) as last
+              from cut c join d using (doc_id) group by c.doc_id)
+select doc_id, n_bytes::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join left_over using (doc_id)"""
+
+# ---- 3 --------------------------------------------------------------------------------------------------------------
+
+CONTAMINATION = f"""
+with d as (select doc_id, {_WORDS.format('text')} as w from documents),
+b as (select item_id, w, least(len(w), 10) as k from (select item_id, {_WORDS.format('text')} as w from benchmark) where len(w) > 0),
+item as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as s from (select *, unnest(range(1, len(w) - k + 2)) as i from b)),
+win as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as s from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from b))),
+hit as (select doc_id, i, k, item_id from win join item using (k, s)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from (select distinct doc_id, i, k from hit)) group by doc_id),
+items as (select doc_id, count(distinct item_id) as n_items, list_sort(list_distinct(list(item_id::varchar))) as ids from hit group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)"""
+
+# ---- 4 --------------------------------------------------------------------------------------------------------------
+
+CHAT = f"""
+with t as (select conv_id, turn, role as speaker, coalesce(text, '') as text from conversations),
+who as (select distinct conv_id, speaker as perspective from t where speaker is not null and speaker <> '{chat.SYSTEM}'),
+r as (select t.*, perspective, case when speaker = perspective then 'assistant' when speaker = '{chat.SYSTEM}' then 'system' else 'user' end as role from t join who on who.conv_id is not distinct from t.conv_id),
+n as (select *, case when role = 'user' then coalesce(speaker, '{chat.UNKNOWN}') end as name from r),
+h as (select *, '{chat.START}' || role || case when name is null then '' else ' name=' || name end || chr(10) as head from n)
+select conv_id, perspective, turn, speaker, role, name, head || text || '<|im_end|>' || chr(10) as segment,
+       (case when role = 'assistant' then length(head) else 0 end)::bigint as mask_start,
+       (case when role = 'assistant' then length(head || text || '<|im_end|>' || chr(10)) else 0 end)::bigint as mask_end from h"""
+
+# ---- 5: rules, then every round of the propagation as a table ------------------------------------------------------
+
+
+def _url_sql(rounds: int = urls.ROUNDS) -> str:
+    d = urls.DAMPING
+    fits = ", ".join(
+        f"case when (host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}') then {{'size': {len(r.text)}, 'rule': '{r.text}', 'verdict': '{r.verdict}'}} end" for r in urls.RULES
+    )
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"r0 as materialized (select host, s, d, {1 - d} * s as trust, {1 - d} * d as distrust from start)"]
+    for k in range(rounds):
+        steps.append(f"""r{k + 1} as materialized (
+  select r.host, s, d, round({1 - d} * s + {d} * coalesce(t, 0), {urls.DIGITS}) as trust, round({1 - d} * d + {d} * coalesce(u, 0), {urls.DIGITS}) as distrust
+  from r{k} r left join (select e.dst as host, sum(x.trust * e.links / o.n) as t from edges e join r{k} x on x.host = e.src join outs o on o.src = e.src group by 1) f using (host)
+  left join (select e.src as host, sum(x.distrust * e.links / o.n) as u from edges e join r{k} x on x.host = e.dst join ins o on o.dst = e.dst group by 1) g using (host))""")
+    return rf"""
+with cut as (select page_id, html, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+parsed as (select page_id, html, {lower("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+ruled as (select *, list_max(list_filter([{fits}], lambda x: x is not null)) as best from parsed),
+links as (select host as src, {lower("unnest(regexp_extract_all(html, '(?i)[[:space:]](?:href|src)[[:space:]]*=[[:space:]]*[\"'']?[[:space:]]*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"''[:space:]>]+)', 1))")} as dst from parsed),
+edges as materialized (select src, dst, count(*)::double as links from links where src <> '' and src <> dst group by 1, 2),
+outs as (select src, sum(links) as n from edges group by 1), ins as (select dst, sum(links) as n from edges group by 1),
+counted as (select host, count(*) filter (where best.verdict = 'allow') as good, count(*) filter (where best.verdict = 'block') as bad from ruled where host <> '' group by 1),
+seeds as (select host, good::double / greatest((select sum(good) from counted), 1) as s, bad::double / greatest((select sum(bad) from counted), 1) as d from counted),
+start as materialized (select host, coalesce(s, 0) as s, coalesce(d, 0) as d from (select host from seeds union select src from edges union select dst from edges) left join seeds using (host)),
+{', '.join(steps)}
+select page_id, host, path, best.rule as rule, coalesce(best.verdict, case when coalesce(distrust, 0) > {urls.THRESHOLD} * coalesce(trust, 0) then 'block' else 'allow' end) as verdict
+from ruled left join r{rounds} using (host)"""
+
+
+# ---- 7: base32 of a digest, five bits at a time --------------------------------------------------------------------
+
+WARC = """
+with p as (select page_id, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as last from pages)
+select page_id, strlen(html)::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(html), (5 * i) // 4 + 1, 2))::int >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '') as payload_digest,
+       case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id < last then last end as refers_to from p"""
+
+# ---- 9: the schedule slot by slot ----------------------------------------------------------------------------------
+
+MIXING = f"""
+with recursive n as (select source, sqrt(count(*)::double) as size from documents group by source),
+q as (select source, greatest(round(size / (select sum(size) from n) * {mixing.PERIOD}), 1)::int as q from n),
+s as materialized (select list(source order by coalesce(source, ''), source is null) as names, list(q order by coalesce(source, ''), source is null) as q, sum(q)::int as p from q),
+run as (
+  select -1 as slot, 0 as pick, list_transform(q, lambda x: 0) as nxt from s
+  union all
+  select slot, pick, list_transform(nxt, lambda x, i: case when i = pick then x + 1 else x end) from (
+    select r.slot + 1 as slot, r.nxt, list_min(list_filter(list_transform(range(1, len(s.q) + 1),
+             lambda i: case when r.nxt[i] < s.q[i] and r.nxt[i] * s.p // s.q[i] <= r.slot + 1 then (((r.nxt[i] + 1) * s.p + s.q[i] - 1) // s.q[i]) * 100000 + i end), lambda x: x is not null)) % 100000 as pick
+    from run r, s where r.slot + 1 < s.p)),
+clock as (select s.names[pick] as source, s.q[pick] as q, s.p as p, nxt[pick] - 1 as turn, slot from run, s where slot >= 0),
+ranked as (select doc_id, source, row_number() over (partition by source order by cast('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', doc_id)), 1, 8) as bigint), doc_id) - 1 as k from documents)
+select doc_id, r.source as source, k // {mixing.BLOCK_DOCS} as mix_block, (k // {mixing.BLOCK_DOCS}) // q * p + slot as mix_slot,
+       (k // {mixing.BLOCK_DOCS}) // q * p + turn * p // q as mix_release, (k // {mixing.BLOCK_DOCS}) // q * p + ((turn + 1) * p + q - 1) // q as mix_deadline,
+       (k % {mixing.BLOCK_DOCS})::int as mix_place
+from ranked r join clock c on c.source is not distinct from r.source and c.turn = (k // {mixing.BLOCK_DOCS}) % q"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": QUALITY, "op2_suffix_dedup": SUFFIX, "op3_decontaminate": CONTAMINATION, "op4_chat_rotation": CHAT,
+    "op5_url_filter": _url_sql(), "op7_warc": WARC, "op9_mixing": MIXING,
+}

@@ -31,12 +31,15 @@ MAX_BITS = 3
 _PIECE = 1 << 18
 
 
-def shingle_hashes(text: Column, shingle: int) -> Column:
-    """XXH64 (seed 42) of every word shingle, repeats included; one shorter shingle where words are too few."""
-    words = split_words(ascii_lower(text), BLANK)
+def shingle_hashes(words: Column, shingle: int) -> Column:
+    """XXH64 (seed 42) of every word shingle, repeats included; one shorter shingle where words are too few.
+
+    ``words`` must be a column (an expression would be computed again for every shingle) and is read by position
+    (inside a lambda, slice() copies the whole array each time).  Words behind the end are null and left out.
+    """
     hashes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")),
+        F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0))),
+        lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(words, i + k) for k in range(shingle)])),
     )
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(hashes)
 
@@ -63,7 +66,8 @@ def _fingerprints(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and ``fingerprint`` (long).  Hashes are made by built-in functions, bits are counted by numpy."""
     keep = docs.columns if keep is None else keep
-    hashed = docs.select(*[F.col(f"`{c}`") for c in keep], shingle_hashes(F.col(f"`{text}`"), shingle).alias("_hashes"))
+    cut = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], split_words(ascii_lower(F.col(f"`{text}`")), BLANK).alias("_words"))
+    hashed = cut.select(*[f"_c{i}" for i in range(len(keep))], shingle_hashes(F.col("_words"), shingle).alias("_hashes"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias("fingerprint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +106,20 @@ def _anchor(k: int, word: Column) -> Column:
 
 def residents(prints: DataFrame) -> DataFrame:
     """(anchor, fingerprint): each half at the one anchor within the covering radius."""
-    homes = [_anchor(k, _half(k).bitwiseXOR(_bit(_syndrome(_half(k))))) for k in (0, 1)]
-    return prints.select(F.explode(F.array(*homes)).alias("anchor"), F.col("fingerprint").alias("x"))
+    return _decoded(prints).select(F.explode(F.array(_anchor(0, F.col("home0")), _anchor(1, F.col("home1")))).alias("anchor"), F.col("fingerprint").alias("x"))
+
+
+def _decoded(prints: DataFrame) -> DataFrame:
+    """Both halves with syndrome and home as columns, so that no expression is computed twice."""
+    named = prints.select("fingerprint", *[_half(k).alias(f"half{k}") for k in (0, 1)])
+    checked = named.select("*", *[_syndrome(F.col(f"half{k}")).alias(f"syndrome{k}") for k in (0, 1)])
+    return checked.select("*", *[F.col(f"half{k}").bitwiseXOR(_bit(F.col(f"syndrome{k}"))).alias(f"home{k}") for k in (0, 1)])
 
 
 def _around(k: int) -> Column:
     """The anchors of half ``k`` within covering radius plus one: home, home with the free bit turned, and the
     words of the code at distance two, one for each pair of labels whose exclusive or is the syndrome."""
-    half, syndrome = _half(k), _syndrome(_half(k))
-    home = half.bitwiseXOR(_bit(syndrome))
+    half, syndrome, home = F.col(f"half{k}"), F.col(f"syndrome{k}"), F.col(f"home{k}")
     pairs = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: (syndrome > 0) & (i < i.bitwiseXOR(syndrome)))
     apart = F.transform(pairs, lambda i: half.bitwiseXOR(_bit(i)).bitwiseXOR(_bit(i.bitwiseXOR(syndrome))))
     near = F.concat(F.array(home, home.bitwiseXOR(F.lit(1 << 31).cast("long"))), apart)
@@ -119,7 +128,7 @@ def _around(k: int) -> Column:
 
 def replicas(prints: DataFrame) -> DataFrame:
     """(anchor, fingerprint): each half at every anchor within covering radius plus one."""
-    return prints.select(F.explode(F.concat(_around(0), _around(1))).alias("anchor"), F.col("fingerprint").alias("y"))
+    return _decoded(prints).select(F.explode(F.concat(_around(0), _around(1))).alias("anchor"), F.col("fingerprint").alias("y"))
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

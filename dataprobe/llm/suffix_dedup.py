@@ -22,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataprobe.llm.base import mixed, slabs, text_bytes, text_size
 from dataprobe.llm.runs import LENGTH, runs
@@ -44,8 +46,24 @@ def _groups(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
 
 
+def _packed(values: np.ndarray | bytes, level: int = 1) -> bytes:
+    """Compressed for the shuffle, harder than the shuffle itself does."""
+    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), level)
+
+
+def _unpacked(blob: bytes, kind=None):
+    raw = zstandard.decompress(blob)
+    return raw if kind is None else np.frombuffer(raw, kind)
+
+
 def _join(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(v for v in column.to_pylist() if v), kind)
+    parts = [_unpacked(v, kind) for v in column.to_pylist() if v]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of a rising uint32 sequence; its running sum gives it back."""
+    return np.diff(values, prepend=values[:0].dtype.type(0))
 
 
 # ---- 1. which runs repeat ------------------------------------------------------------------------------------------
@@ -76,10 +94,10 @@ def _named(docs: DataFrame, buckets: int) -> DataFrame:
             yield _batch({
                 "bucket": ([int(place[a]) for a, _ in parts] + [block % buckets], pa.int32()),
                 "block": ([block] * (n + 1), pa.int64()),
-                "names": ([low[a:b].tobytes() for a, b in parts] + [None], pa.binary()),
-                "at": ([order[a:b].astype(np.uint32).tobytes() for a, b in parts] + [None], pa.binary()),
-                "many": ([many[a:b].tobytes() for a, b in parts] + [None], pa.binary()),
-                "head": ([None] * n + [np.stack([ids, k1, k2, np.bincount(owner, minlength=len(ids))]).tobytes()], pa.binary()),
+                "names": ([_packed(_steps(low[a:b])) for a, b in parts] + [None], pa.binary()),
+                "at": ([_packed(order[a:b].astype(np.uint32)) for a, b in parts] + [None], pa.binary()),
+                "many": ([_packed(many[a:b]) for a, b in parts] + [None], pa.binary()),
+                "head": ([None] * n + [_packed(np.stack([ids, k1, k2, np.bincount(owner, minlength=len(ids))]))], pa.binary()),
             })
 
     return docs.mapInArrow(run, "bucket int, block bigint, names binary, at binary, many binary, head binary")
@@ -90,8 +108,10 @@ def _repeating(key: tuple, rows: pa.Table) -> pa.Table:
     parts = rows.filter(pa.compute.is_null(rows["head"]))
     heads = rows.filter(pa.compute.is_valid(rows["head"]))
     block = parts["block"].to_numpy()
-    sizes = pa.compute.binary_length(parts["names"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    names, at, many = _join(parts["names"], np.uint32), _join(parts["at"], np.uint32), _join(parts["many"], np.uint8)
+    each = [np.cumsum(_unpacked(v, np.uint32), dtype=np.uint32) for v in parts["names"].to_pylist()]
+    sizes = np.array([len(e) for e in each], np.int64)
+    names = np.concatenate(each) if each else np.zeros(0, np.uint32)
+    at, many = _join(parts["at"], np.uint32), _join(parts["many"], np.uint8)
     owner = np.repeat(np.arange(len(block)), sizes)
     order = np.argsort(names, kind="stable")
     cut = _groups(names[order])
@@ -105,7 +125,7 @@ def _repeating(key: tuple, rows: pa.Table) -> pa.Table:
         edges = _groups(who)
         if len(who):
             out_block = [int(block[who[a]]) for a in edges[:-1]]
-            out_at = [picked[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            out_at = [_packed(picked[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     n = len(out_block)
     return pa.table({
         "block": pa.array(out_block + heads["block"].to_pylist(), pa.int64()),
@@ -116,7 +136,7 @@ def _repeating(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _by_text(key: tuple, rows: pa.Table) -> pa.Table:
     """(id, k1, k2, runs): the repeating runs of every text of a block, numbered within the text."""
-    head = np.frombuffer(next(v for v in rows["head"].to_pylist() if v is not None), np.int64).reshape(4, -1)
+    head = _join(rows["head"], np.int64).reshape(4, -1)
     ids, k1, k2, counts = head
     at = np.sort(_join(rows["at"], np.uint32)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
@@ -132,12 +152,32 @@ def _by_text(key: tuple, rows: pa.Table) -> pa.Table:
 # ---- 2. classes of equal strings -----------------------------------------------------------------------------------
 
 
+def _compressed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` as compressed bytes: texts cross the network in this form."""
+    names = docs.columns
+    at = names.index(text)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            packed = pa.array([None if v is None else packer.compress(v.encode("utf-8", "surrogatepass")) for v in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _texts(column: pa.Array) -> list[bytes | None]:
+    reader = zstandard.ZstdDecompressor()
+    return [None if v is None else reader.decompress(v) for v in column.to_pylist()]
+
+
 def _run_texts(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, names, sizes, texts, which, docs, who, firsts): run texts by the bucket of their name, packed per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "text", _BLOCK):
-            body, starts, ends = text_bytes(batch.column(1))
+        for batch in slabs(batches, "text", _BLOCK // 4):
+            body, starts, ends = text_bytes(pa.array(_texts(batch.column(1)), pa.binary()))
             name, first, size, owner = runs(body, starts, ends)
             base = np.searchsorted(owner, np.arange(batch.num_rows))
             chosen = np.concatenate([np.frombuffer(v, np.uint32).astype(np.int64) + b for v, b in zip(batch.column(2).to_pylist(), base, strict=True)])
@@ -155,14 +195,14 @@ def _run_texts(rows: DataFrame, buckets: int) -> DataFrame:
                 lead = np.zeros(len(seen), np.int64)
                 lead[which[::-1]] = part[::-1]
                 out["bucket"].append(int(place[part[0]]))
-                out["names"].append(name[lead].tobytes())
-                out["sizes"].append(size[lead].astype(np.uint32).tobytes())
-                out["texts"].append(b"".join(seen))
-                out["which"].append(which.tobytes())
+                out["names"].append(_packed(name[lead]))
+                out["sizes"].append(_packed(size[lead].astype(np.uint32)))
+                out["texts"].append(_packed(b"".join(seen), 3))
+                out["which"].append(_packed(which))
                 met, who = np.unique(owner[part], return_inverse=True)
-                out["docs"].append(docs[:, met].tobytes())
-                out["who"].append(who.astype(np.uint32).tobytes())
-                out["firsts"].append((first[part] - starts[owner[part]]).astype(np.uint32).tobytes())
+                out["docs"].append(_packed(docs[:, met]))
+                out["who"].append(_packed(who.astype(np.uint32)))
+                out["firsts"].append(_packed((first[part] - starts[owner[part]]).astype(np.uint32)))
             yield _batch({k: (v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
 
     return rows.mapInArrow(run, "bucket int, names binary, sizes binary, texts binary, which binary, docs binary, who binary, firsts binary")
@@ -204,10 +244,10 @@ def _removed_starts(buckets: int):
         seen: dict[tuple[int, bytes], int] = {}
         texts, sizes, names, run_text, run_doc, run_first = [], [], [], [], [], []
         for row in rows.to_pylist():
-            name, size = np.frombuffer(row["names"], np.uint64).tolist(), np.frombuffer(row["sizes"], np.uint32).tolist()
+            name, size, joined = _unpacked(row["names"], np.uint64).tolist(), _unpacked(row["sizes"], np.uint32).tolist(), _unpacked(row["texts"])
             at, here = 0, []
             for n, s in zip(name, size, strict=True):
-                text = row["texts"][at : at + s + _TAIL]
+                text = joined[at : at + s + _TAIL]
                 at += s + _TAIL
                 index = seen.setdefault((n, text), len(texts))
                 if index == len(texts):
@@ -215,9 +255,9 @@ def _removed_starts(buckets: int):
                     sizes.append(s)
                     names.append(n)
                 here.append(index)
-            run_text.append(np.array(here, np.int64)[np.frombuffer(row["which"], np.uint32)])
-            run_doc.append(np.frombuffer(row["docs"], np.int64).reshape(2, -1)[:, np.frombuffer(row["who"], np.uint32)])
-            run_first.append(np.frombuffer(row["firsts"], np.uint32).astype(np.int64))
+            run_text.append(np.array(here, np.int64)[_unpacked(row["which"], np.uint32)])
+            run_doc.append(_unpacked(row["docs"], np.int64).reshape(2, -1)[:, _unpacked(row["who"], np.uint32)])
+            run_first.append(_unpacked(row["firsts"], np.uint32).astype(np.int64))
         del seen
         text, (ids, keys), first = np.concatenate(run_text), np.concatenate(run_doc, axis=1), np.concatenate(run_first)
         size_of, name_of = np.array(sizes, np.int64), np.array(names, np.uint64)
@@ -265,10 +305,10 @@ def _removed_starts(buckets: int):
         pieces = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)] if len(order) else []
         return pa.table({
             "place": pa.array([int(place[p[0]]) for p in pieces], pa.int32()),
-            "ids": pa.array([doc[p].tobytes() for p in pieces], pa.binary()),
-            "keys": pa.array([key[p].tobytes() for p in pieces], pa.binary()),
-            "firsts": pa.array([start[p].astype(np.uint32).tobytes() for p in pieces], pa.binary()),
-            "sizes": pa.array([count[p].astype(np.uint32).tobytes() for p in pieces], pa.binary()),
+            "ids": pa.array([_packed(doc[p]) for p in pieces], pa.binary()),
+            "keys": pa.array([_packed(key[p]) for p in pieces], pa.binary()),
+            "firsts": pa.array([_packed(start[p].astype(np.uint32)) for p in pieces], pa.binary()),
+            "sizes": pa.array([_packed(count[p].astype(np.uint32)) for p in pieces], pa.binary()),
         })
 
     return removed
@@ -308,7 +348,7 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     flagged = blocks.groupBy("block").applyInArrow(_by_text, "id bigint, k1 bigint, k2 bigint, runs binary")
     # one row per distinct text that has a repeating run, under its smallest id
     single = flagged.groupBy("k1", "k2").agg(F.min(F.struct("id", "runs")).alias("m")).select("k1", "k2", "m.id", "m.runs")
-    joined = long.join(single.hint("shuffle_hash"), ["id", "k1", "k2"]).select("id", "text", "runs", "k1")
+    joined = _compressed(long.select("id", "k1", "k2", "text")).join(single.hint("shuffle_hash"), ["id", "k1", "k2"]).select("id", "text", "runs", "k1")
     packed = _run_texts(joined, buckets).groupBy("bucket").applyInArrow(_removed_starts(buckets), "place int, ids binary, keys binary, firsts binary, sizes binary")
     cuts = packed.groupBy("place").applyInArrow(_ranges, "id bigint, k1 bigint, ranges array<struct<first:int,last:int>>")
     slim = long.select("id", "k1", "k2", F.octet_length("text").alias("size"))
@@ -317,15 +357,15 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return gone.unionByName(cuts).dropDuplicates(["id", "k1"])
 
 
-def kept_bytes(text: Column, ranges: Column) -> Column:
-    """The bytes of ``text`` outside ``ranges``, one after the other, as binary."""
-    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    end = F.struct(F.octet_length(raw).alias("first"), F.octet_length(raw).alias("last"))
-    nothing = F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))
-    closed = F.concat(ranges, F.array(end))
-    before = F.concat(F.array(nothing), ranges)
-    pieces = F.zip_with(before, closed, lambda a, b: F.substring(raw, a["last"] + 1, b["first"] - a["last"]).cast("string"))
-    return F.when(ranges.isNull(), raw).otherwise(F.array_join(pieces, "").cast("binary"))
+def _left(text: bytes, ranges: list[dict] | None) -> bytes:
+    """The bytes outside ``ranges``, one after the other."""
+    if not ranges:
+        return text
+    at, out = 0, []
+    for r in ranges:
+        out.append(text[at : r["first"]])
+        at = r["last"]
+    return b"".join([*out, text[at:]])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -333,7 +373,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
     keep = [id_col] if keep is None else keep
     own = F.col(f"`{text}`")
     found = removed_ranges(docs, id_col, text).select(F.col("id").alias("_id"), F.col("k1").alias("_a"), F.col("ranges").alias("removed"))
-    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").cast("long").alias("_i"), own.alias("_text"), F.xxhash64(own).alias("_k1"))
+    # the text travels once, compressed, also where it is one of the columns to keep
+    others = [c for c in keep if c != text]
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)], F.col(f"`{id_col}`").cast("long").alias("_i"), own.alias("_text"), F.xxhash64(own).alias("_k1"))
     on = (F.col("_i") == F.col("_id")) & (F.col("_k1") == F.col("_a"))
-    met = named.join(found.hint("shuffle_hash"), on, "left")
-    return met.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "removed", kept_bytes(F.col("_text"), F.col("removed")).alias("kept"))
+    met = _compressed(named, "_text").join(found.hint("shuffle_hash"), on, "left").select(*[f"_c{i}" for i in range(len(others))], "_text", "removed")
+    kinds = {f.name: f for f in docs.schema.fields}
+    removed = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+    schema = T.StructType([T.StructField(c, kinds[c].dataType) for c in keep] + [T.StructField("removed", removed), T.StructField("kept", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slabs(iter([batch]), "_text", _BLOCK // 4):
+                texts, ranges = _texts(part.column(len(others))), part.column(len(others) + 1)
+                kept = pa.array([_left(t or b"", r) for t, r in zip(texts, ranges.to_pylist(), strict=True)], pa.binary())
+                columns = dict(zip(others, part.columns[: len(others)], strict=True))
+                if text in keep:
+                    columns[text] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*[columns[c] for c in keep], ranges, kept], names=[*keep, "removed", "kept"])
+
+    return met.mapInArrow(run, schema)
