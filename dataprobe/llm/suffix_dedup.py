@@ -33,7 +33,8 @@ from dataprobe.llm.suffixes import ranks
 
 _BLOCK = 8 << 20
 _BUCKET = 8 << 20
-_SORTED = 2 << 20
+_SORTED = 1 << 20
+_PART = 1 << 20
 _TAIL = LENGTH - 1
 
 
@@ -69,6 +70,17 @@ def _steps(values: np.ndarray) -> np.ndarray:
 # ---- 1. which runs repeat ------------------------------------------------------------------------------------------
 
 
+def _names_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(name, row) of every run of a block, hashed a part at a time: the arrays take many times the text's size."""
+    names, owners, row = [], [], 0
+    for part in slabs(iter([batch]), "text", _PART):
+        name, _, _, owner = runs(*text_bytes(part.column(3)))
+        names.append(name)
+        owners.append(owner + row)
+        row += part.num_rows
+    return np.concatenate(names), np.concatenate(owners)
+
+
 def _named(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, names, at, many, ids, keys, counts): packed names of a block by bucket, and one head per block."""
 
@@ -78,7 +90,7 @@ def _named(docs: DataFrame, buckets: int) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in slabs(batches, "text", _BLOCK):
             block += 1
-            name, _, _, owner = runs(*text_bytes(batch.column(3)))
+            name, owner = _names_of(batch)
             ids, k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             place = ((name >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort([name & np.uint64(0xFFFFFFFF), place]) if buckets > 1 else np.argsort(name & np.uint64(0xFFFFFFFF), kind="stable")
@@ -176,7 +188,7 @@ def _run_texts(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, names, sizes, texts, which, docs, who, firsts): run texts by the bucket of their name, packed per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "text", _BLOCK // 4):
+        for batch in slabs(batches, "text", _PART):
             body, starts, ends = text_bytes(pa.array(_texts(batch.column(1)), pa.binary()))
             name, first, size, owner = runs(body, starts, ends)
             base = np.searchsorted(owner, np.arange(batch.num_rows))
@@ -384,7 +396,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slabs(iter([batch]), "_text", _BLOCK // 4):
+            for part in slabs(iter([batch]), "_text", _PART):
                 texts, ranges = _texts(part.column(len(others))), part.column(len(others) + 1)
                 kept = pa.array([_left(t or b"", r) for t, r in zip(texts, ranges.to_pylist(), strict=True)], pa.binary())
                 columns = dict(zip(others, part.columns[: len(others)], strict=True))

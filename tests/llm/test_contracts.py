@@ -122,6 +122,7 @@ def test_suffix_small_buckets(tables, edge, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_BUCKET", 1 << 14)
     monkeypatch.setattr(suffix_dedup, "_BLOCK", 1 << 13)
     monkeypatch.setattr(suffix_dedup, "_SORTED", 1 << 11)
+    monkeypatch.setattr(suffix_dedup, "_PART", 1 << 11)
     check_suffix(edge)
 
 
