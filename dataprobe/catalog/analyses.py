@@ -292,19 +292,32 @@ def robustness_recheck(spark, d):
     return _rounded(robustness.robustness_report(again, relabel(base, changed, new).predictions, test))
 
 
-@query("explain_corruption", with_(sql_robust("label")) + """
+SQL_EXPLAIN_CORRUPTION = """
   select w.*, q.lang, q.source, q.text, c.text as corrupted_text, r.text as fix_corrupted_text, """ + f"{sql_packed('a.v')} as features, {sql_packed('b.v')} as features_corrupted, {sql_packed('f.v')} as features_fix_corrupted," + """
          predicted_label = w.truth and predicted_label <> predicted_corrupt_label as corruption_effect,
          predicted_label = w.truth and predicted_label <> predicted_corrupt_label and predicted_label = predicted_fix_corrupt_label as successfully_fixed,
          predicted_label = w.truth and predicted_label <> predicted_fix_corrupt_label as worsened, predicted_label <> w.truth and predicted_fix_corrupt_label = w.truth as otherwise_fixed
   from corrupt_diff c join wide w using (prediction_id) join doc_test q using (prediction_id) join repaired r using (prediction_id)
-  join f_test a on a.vid = prediction_id * 3 join f_test b on b.vid = prediction_id * 3 + 1 join f_test f on f.vid = prediction_id * 3 + 2""")
+  join f_test a on a.vid = prediction_id * 3 join f_test b on b.vid = prediction_id * 3 + 1 join f_test f on f.vid = prediction_id * 3 + 2"""
+
+
+@query("explain_corruption", with_(sql_robust("label")) + SQL_EXPLAIN_CORRUPTION)
 def explain_corruption(spark, d):
     _, test, base, state = _robust(spark, d)
     out = robustness.robustness_explanation(state, base.predictions, test, ["lang", "source"], features_of)
     return out.withColumns({c: packed(c) for c in ("features", "features_corrupted", "features_fix_corrupted")})
 
 
+@query("explain_corruption_recheck", with_(sql_robust("label_new")) + SQL_EXPLAIN_CORRUPTION)
+def explain_corruption_recheck(spark, d):
+    """The explanation after the rule edit: stored texts and neighbours, patched predictions."""
+    train, test, base, state = _robust(spark, d)
+    changed, new = _label_edit(train)
+    again = robustness.robustness_recheck(state, lambda diffs: relabel(diffs, changed, new))
+    out = robustness.robustness_explanation(again, relabel(base, changed, new).predictions, test, ["lang", "source"], features_of)
+    return out.withColumns({c: packed(c) for c in ("features", "features_corrupted", "features_fix_corrupted")})
+
+
 # ---- fairness --------------------------------------------------------------------------------------
 
 
@@ -355,12 +368,27 @@ def fairness_recheck(spark, d):
     return _rounded(fairness.fairness_report(again, rebased.predictions, test))
 
 
-@query("explain_enrichment", with_(sql_fair("label")) + """
+SQL_EXPLAIN_ENRICHMENT = """
   select b.prediction_id, b.lang, b.source, b.text, t.text as enriched_text, b.truth, """ + f"{sql_packed('fb.v')} as features, {sql_packed('fa.v')} as features_enriched," + """
          before as predicted_label, after as predicted_enriched_label,
          case when before = truth and before <> after then 'broken' when before <> truth and after = truth then 'successfully_fixed' when before <> truth and after <> truth then 'nothing_changed' end as category
-  from both_preds b join translated t using (prediction_id) join f_test fb using (prediction_id) join f_tr fa using (prediction_id)""")
+  from both_preds b join translated t using (prediction_id) join f_test fb using (prediction_id) join f_tr fa using (prediction_id)"""
+
+
+@query("explain_enrichment", with_(sql_fair("label")) + SQL_EXPLAIN_ENRICHMENT)
 def explain_enrichment(spark, d):
     _, _, test, base, _, state = _fair(spark, d)
     out = fairness.fairness_explanation(state, base.predictions, test, ["lang", "source"], features_of)
     return out.withColumns({c: packed(c) for c in ("features", "features_enriched")})
+
+
+@query("explain_enrichment_recheck", with_(sql_fair("label_new")) + SQL_EXPLAIN_ENRICHMENT)
+def explain_enrichment_recheck(spark, d):
+    """The explanation after the rule edit, for the slice that is worst then."""
+    train, vectors, test, base, enrich, state = _fair(spark, d)
+    changed, new = _label_edit(train)
+    rebased = relabel(base, changed, new)
+    update = lambda diffs, needed: retrieval.extend(diffs, needed, changed, vectors, new, features_of)
+    again = fairness.fairness_recheck(state, test, rebased.predictions, enrich, update)
+    out = fairness.fairness_explanation(again, rebased.predictions, test, ["lang", "source"], features_of)
+    return out.withColumns({c: packed(c) for c in ("features", "features_enriched")})

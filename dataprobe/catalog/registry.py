@@ -53,7 +53,7 @@ def packed(vector: str) -> Column:
 
 
 def sql_packed(vector: str) -> str:
-    return f"array_to_string(list_transform({vector}, x -> cast(cast(round(x::double * 1000000.0) as bigint) as varchar)), ',')"
+    return f"array_to_string(list_transform({vector}, lambda x: cast(cast(round(x::double * 1000000.0) as bigint) as varchar)), ',')"
 
 
 # ---- rules on the document table -------------------------------------------------------------------

@@ -240,7 +240,9 @@ def knn_retrieve(
         stored = written(queries, "queries") if local is None else None
     finally:
         queries.unpersist()
-    if local is not None:
+    if local is not None and not len(local[0]):
+        hits = vectors.sparkSession.createDataFrame([], schema)  # nobody asks: no scan
+    elif local is not None:
         hits = _broadcast_hits(vectors, local, k, query_id, train_id, vector, schema)
     else:
         hits = _pivot_hits(stored, written(vectors, "vectors"), k, query_id, train_id, vector, schema, block_rows)

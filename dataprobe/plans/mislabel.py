@@ -63,6 +63,14 @@ def flipped_predictions(state: MislabelState, retrieval: Retrieval) -> DataFrame
     return patched
 
 
+def model_report(before: DataFrame, after: DataFrame, state: MislabelState) -> DataFrame:
+    """One row: scores of a trained model on the labels as they are and on the flipped ones, and rows flipped."""
+    flipped = state.candidates.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return before.select(
+        "rows", "known_class", "majority", F.col("accuracy").alias("accuracy_before"), after.select("accuracy").scalar().alias("accuracy_after"), flipped.alias("flipped_rows")
+    )
+
+
 def model_what_if(train: DataFrame, test: DataFrame, state: MislabelState, kind: str = "logistic") -> tuple[DataFrame, DataFrame]:
     """Predictions of a (proxy) model trained on the labels as they are, and on the flipped ones."""
     original = fit_predict(train, test, kind)

@@ -37,9 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/dataprobe/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder: no two calls and no two runs ever meet."""
-    return f"{shared_dir(spark)}/dataprobe/{uuid.uuid4().hex}/{name}"
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written with ``written`` and ``scratch_path``.
+
+    For the end of a job: results that still read these tables can no longer be computed.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -190,3 +190,12 @@ def test_csv_and_records_round_trip(spark):
     path = scratch_path(spark, "x.csv")
     sink_csv(df, path)
     assert rows(read_csv(spark, path, schema)) == rows(df)
+
+
+def test_scratch_has_a_folder_of_its_own(spark):
+    """Written tables lie below the application's folder, which ``clear_scratch`` removes in one go."""
+    from dataprobe.session import scratch_path, scratch_root
+
+    one, other = scratch_path(spark, "t"), scratch_path(spark, "t")
+    assert one != other and all(p.startswith(scratch_root(spark) + "/") for p in (one, other))
+    assert spark.sparkContext.applicationId in scratch_root(spark)
