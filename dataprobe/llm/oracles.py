@@ -26,11 +26,11 @@ b as (select *, ({_BITS})::bigint as failed_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {quality.BASE}) <> 0 as base_failed,
        (failed_bits & {quality.POLICIES[quality.CURRENT]}) = 0 as kept, failed_bits from b"""
 
-# ---- 2: every 50-byte string by its hex digits ---------------------------------------------------------------------
+# ---- 2: every 50-byte string as a slice of bytes ---------------------------------------------------------------------
 
 SUFFIX = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n_bytes from documents),
-g as (select doc_id, i, substr(x, 2 * i + 1, 100) as s from (select doc_id, x, unnest(range(0, n_bytes - 49)) as i from d)),
+g as (select doc_id, i, x[i + 1:i + 50] as s from (select doc_id, encode(coalesce(text, '')) as x, unnest(range(0, strlen(coalesce(text, '')) - 49)) as i from documents)),
 least_doc as (select s, min(doc_id) as m from g group by s),
 hit as (select doc_id, i from g join least_doc using (s) where m < doc_id),
 edge as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from hit),
