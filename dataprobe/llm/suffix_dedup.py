@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,8 +118,8 @@ def _named(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _repeating(key: tuple, rows: pa.Table) -> pa.Table:
     """The runs of each block whose name occurs in more than one text; heads pass through."""
-    parts = rows.filter(pa.compute.is_null(rows["head"]))
-    heads = rows.filter(pa.compute.is_valid(rows["head"]))
+    parts = rows.filter(pc.is_null(rows["head"]))
+    heads = rows.filter(pc.is_valid(rows["head"]))
     block = parts["block"].to_numpy()
     each = [np.cumsum(_unpacked(v, np.uint32), dtype=np.uint32) for v in parts["names"].to_pylist()]
     sizes = np.array([len(e) for e in each], np.int64)
