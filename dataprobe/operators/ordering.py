@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.functions.draws import seeded_uniform
 from dataprobe.schemas import require
+from dataprobe.session import written
 
 _SAMPLE_BUCKETS = 65536
 
@@ -52,40 +49,20 @@ def sample_bernoulli(df: DataFrame, key: str, fraction: float, seed: int) -> Dat
     return df.filter(seeded_uniform(seed, key) < float(fraction))
 
 
-def _bucket_of(bounds: list) -> Column:
-    ordered = np.array(bounds)
-
-    @F.pandas_udf("int")
-    def lookup(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in keys:
-            yield pd.Series(np.searchsorted(ordered, batch.to_numpy(), side="right").astype("int32"))
-
-    return lookup
-
-
-def assign_row_id(df: DataFrame, key: str, name: str = "row_id", rows_per_bucket: int = 1_000_000) -> DataFrame:
+def assign_row_id(df: DataFrame, key: str, name: str = "row_id", rows_per_bucket: int = 100_000) -> DataFrame:
     """0..n-1 in the order of a unique, non-null key.
 
-    Up to ``rows_per_bucket`` rows one window is enough.  Beyond that the key range is cut at sampled
-    bounds: each range is ranked on its own and shifted by the number of rows in the ranges before it.
-    Any bounds give the same ids; they only decide how even the ranges are.
+    Spark cuts the key range into partitions of about ``rows_per_bucket`` rows, which are written once; each range is
+    ranked on its own and shifted by the number of rows in the ranges before it.  Any cuts give the same ids.
     """
     require(df, "assign_row_id", key)
-    total = df.count()
-    if total <= rows_per_bucket:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("long") - 1)
-    buckets = -(-total // rows_per_bucket)
-    # About 64 sampled keys per bound: the sample grows with the number of ranges, not of rows.
-    sample = df.select(key).filter(seeded_uniform(17, key) < min(1.0, 64.0 * buckets / total))
-    keys = sorted(row[0] for row in sample.collect())
-    bounds = [keys[i * len(keys) // buckets] for i in range(1, buckets)] if keys else []
-    ranged = df.withColumn("_range", _bucket_of(bounds)(F.col(key)))
+    ranges = max(1, -(-df.count() // rows_per_bucket))
+    ranged = written(df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = sizes.withColumn("_offset", F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows"))
+    # one row per range goes through this window
+    offsets = sizes.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_offset"))
     ranked = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
-    return ranked.join(F.broadcast(offsets.select("_range", "_offset")), "_range").select(
-        *df.columns, (F.col("_offset") + F.col("_nth") - 1).cast("long").alias(name)
-    )
+    return ranked.join(offsets, "_range").select(*df.columns, (F.col("_offset") + F.col("_nth") - 1).cast("long").alias(name))
 
 
 def rank_by_distance(index: DataFrame, query: str, distance: str, row: str) -> DataFrame:

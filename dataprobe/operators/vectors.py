@@ -13,6 +13,7 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,7 +149,8 @@ def _pivot_hits(
     anchors = column_matrix(sample.limit(_BOUND_ROWS).toArrow()[vector])
     if len(anchors) < k:
         anchors = column_matrix(vectors.orderBy(train_id).limit(_BOUND_ROWS).toArrow()[vector])
-    pivots = anchors[:_PIVOTS]
+    # cells grow with the square root of the table, so that both the number of cells and their size do
+    pivots = anchors[: max(_PIVOTS, math.isqrt(total))]
     shared = spark.sparkContext.broadcast((anchors, pivots))
 
     def place(batches):
@@ -166,7 +168,7 @@ def _pivot_hits(
     cells = placed.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("rows"), F.min("_radius").alias("near"), F.max("_radius").alias("far")
     )
-    outline = {r["_cell"]: (r["rows"], r["near"], r["far"]) for r in cells.collect()}  # at most _PIVOTS rows
+    outline = {r["_cell"]: (r["rows"], r["near"], r["far"]) for r in cells.collect()}  # at most _BOUND_ROWS rows
     numbers = sorted(outline)
     near = np.array([outline[c][1] for c in numbers])
     far = np.array([outline[c][2] for c in numbers])
@@ -192,7 +194,7 @@ def _pivot_hits(
     routed = queries.mapInArrow(route, f"{query_id} long, {vector} {kinds[0]}, _cell int")
     asked = {r["_cell"]: r["rows"] for r in routed.groupBy("_cell").agg(F.count(F.lit(1)).alias("rows")).collect()}
 
-    # Blocks per cell on either side, as one small map literal (at most _PIVOTS entries).
+    # Blocks per cell on either side, as one small map literal (at most _BOUND_ROWS entries).
     def splits(counts: dict) -> F.Column:
         pairs = [F.lit(x) for c in numbers for x in (c, max(1, -(-counts.get(c, 0) // block_rows)))]
         return F.element_at(F.create_map(*pairs), F.col("_cell"))
@@ -234,12 +236,8 @@ def knn_retrieve(
     """The k nearest training rows of every query: (query_id, rank, train_id, distance), ties by train id."""
     queries, vectors = _prepared(queries, query_id, vector), _prepared(vectors, train_id, vector)
     schema = f"{query_id} long, {train_id} long, distance double"
-    queries = queries.persist()  # measured and then read: whatever computes the vectors runs once
-    try:
-        local = local_vectors(queries, query_id, vector, broadcast_numbers)
-        stored = written(queries, "queries") if local is None else None
-    finally:
-        queries.unpersist()
+    stored = written(queries, "queries")  # measured and then read: whatever computes the vectors runs once
+    local = local_vectors(stored, query_id, vector, broadcast_numbers)
     if local is not None and not len(local[0]):
         hits = vectors.sparkSession.createDataFrame([], schema)  # nobody asks: no scan
     elif local is not None:
