@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm.base import table
+from dataprobe.llm.base import masked, table
 from dataprobe.llm.decontaminate import decontaminate
 from dataprobe.llm.mixing import mix
 from dataprobe.llm.quality import quality_filter
@@ -43,9 +43,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A cut may fall inside a character: bytes that are no character any more are left out.
     """
-    found = suffix_dedup(docs, keep=docs.columns).filter(F.col("removed").isNull() | (F.octet_length("kept") > 0))
+    own, names = masked(docs)
+    found = suffix_dedup(own, names["doc_id"], names["text"], keep=own.columns).filter(F.col("removed").isNull() | (F.octet_length("kept") > 0))
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), _BROKEN, "")
-    return _retold(found.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)), docs.columns)
+    text = F.when(F.col("removed").isNull(), F.col(names["text"])).otherwise(left)
+    return _retold(found.select(*[text.alias(c) if c == "text" else F.col(n).alias(c) for c, n in names.items()]), docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with neutral column names and the names by the original ones, so that no result's name clashes."""
+    names = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), names
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; texts of ASCII alone take the faster built-in."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))

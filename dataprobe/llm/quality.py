@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataprobe.llm.base import BLANKS, SpanHash, mixed, slabs, text_bytes, windows, words_at
+from dataprobe.llm.base import BLANKS, SpanHash, masked, mixed, slabs, text_bytes, windows, words_at
 
 WINDOW = 8
 _SLAB = 2 << 20
@@ -142,4 +142,5 @@ def ablations(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def quality_filter(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
     """The documents that the policy keeps, with their columns."""
-    return rule_ledger(docs, text).filter(~rejected(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, names = masked(docs)
+    return rule_ledger(own, names[text]).filter(~rejected(policy)).select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.base import BLANK, ascii_lower, split_words
+from dataprobe.llm.base import BLANK, ascii_lower, masked, split_words
 from dataprobe.llm.components import components
 from dataprobe.session import written
 
@@ -155,9 +155,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each component: that with the smallest id.  Rows without an id are kept."""
-    found = simhash_components(docs, id_col, text, shingle, max_bits, keep=docs.columns)
-    same = F.col(f"`{id_col}`").isNull() | (F.col(f"`{id_col}`") == F.col("component_id"))
-    return found.filter(same).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, names = masked(docs)
+    found = simhash_components(own, names[id_col], names[text], shingle, max_bits, keep=own.columns)
+    same = F.col(names[id_col]).isNull() | (F.col(names[id_col]) == F.col("component_id"))
+    return found.filter(same).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def hex16(fingerprint: Column) -> Column:

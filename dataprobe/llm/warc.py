@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataprobe.session import written
+
 SEGMENT = 1 << 16
 CHUNK = 1 << 13
 RECORDS_PER_FILE = 256
@@ -89,8 +91,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
     own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = own.withColumn("key", F.sha2("payload", 256))
     last = keyed.filter(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies"))
-    # only payloads that occur more than once are looked up
-    held = keyed.join(last.filter("copies > 1").drop("copies"), "key", "left")
+    # only payloads that occur more than once are looked up; as a stored table their size is known, and pages are
+    # not shuffled where that is small
+    again = written(last.filter("copies > 1").drop("copies"), "copies")
+    held = keyed.join(again, "key", "left")
     shaped = held.select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +109,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
                 seen += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    written = shaped.mapInArrow(run, "record binary")
+    made = shaped.mapInArrow(run, "record binary")
     # a record ends with two line ends, which is the writer's line separator; text keeps the bytes as they are
-    writer = written.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode())
+    writer = made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode())
     writer.option("maxRecordsPerFile", records_per_file).text(path)
 
 

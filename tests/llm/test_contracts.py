@@ -295,8 +295,8 @@ def test_chains_find_planted_passages(spark):
         if i % 4 == 0:
             own = list(passage)
             if i:
-                for _ in range(rng.randint(0, 3)):
-                    k = rng.randrange(len(own))
+                # differences with more than RESUME equal words between them, and before the ends
+                for k in sorted(rng.sample(range(8, 80, 9), rng.randint(0, 3)), reverse=True):
                     own[k : k + 1] = rng.choice([[], ["new"], ["new", "one"]])
                 planted.add(i)
             at = rng.randrange(len(body))
@@ -313,8 +313,6 @@ def test_chains_find_planted_passages(spark):
 
 
 def test_edit_distance():
-    import numpy as np
-
     rng = random.Random(2)
 
     def slow(a, b):
@@ -327,7 +325,7 @@ def test_edit_distance():
 
     for _ in range(300):
         a, b = [rng.randrange(4) for _ in range(rng.randrange(9))], [rng.randrange(4) for _ in range(rng.randrange(9))]
-        assert chains.edit_distance(np.array(a, int), np.array(b, int)) == slow(a, b)
+        assert chains.edit_distance(a, b) == slow(a, b)
 
 
 def test_chain_takes_the_best_order():

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from dataprobe.llm import mixing, quality
 from tests.llm import brute
@@ -93,6 +95,17 @@ def test_stages_return_the_columns_of_documents(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None and quality.CURRENT in quality.POLICIES
 
 
+def test_stages_keep_columns_with_clashing_names(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(30)
+    for name in ("n_words", "fingerprint", "component_id", "removed", "kept", "id", "failed_bits"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    docs = docs.cache()
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert {r[c] for r in out.collect() for c in ("n_words", "fingerprint", "removed", "kept", "id")} <= {"mine"}
+
+
 def test_stages_take_empty_tables(spark, folder):
     empty = spark.createDataFrame([], DOC)
     assert all(stage(spark, empty, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
