@@ -312,6 +312,34 @@ def test_chains_find_planted_passages(spark):
     assert found[50]["class_id"] == 3 and found[50]["n_words"] == len(docs[3][1].split())
 
 
+@pytest.mark.parametrize("size, more", [(60, 0), (60, 3), (100, 0)])
+def test_exact_passages_survive_what_lies_between(spark, size, more):
+    """Two exact passages with ``gap`` different words between them, ``more`` words longer in one document."""
+    rng = random.Random(size + more)
+    say = lambda n: [f"u{rng.getrandbits(48)}" for _ in range(n)]
+    gaps, docs = list(range(10, 151, 10)), []
+    for g in gaps:
+        one, two = say(size), say(size)
+        docs += [(2 * g, " ".join(say(20) + one + say(g) + two + say(20))), (2 * g + 1, " ".join(say(25) + one + say(g + more) + two + say(9)))]
+    found = {r["doc_id"]: r for r in chains.document_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for g in gaps:
+        r = found[2 * g + 1]
+        assert r["class_id"] == 2 * g and r["n_links"] == 1 and r["n_passages"] in (1, 2), (g, r)
+        assert r["n_words"] == 2 * size + (g + more if r["n_passages"] == 1 else 0), (g, r)
+
+
+def test_failed_chain_keeps_every_range_of_its_own():
+    """The worst gap may lie inside a passage: cutting there would leave parts that are too short."""
+    a, b, parts, at = [], [], [], 0
+    for size, gap in [(20, 5), (20, 4), (6, 4), (6, 4), (6, 4), (6, 4), (6, 0)]:
+        same = list(range(at, at + size))
+        parts.append([len(a), len(a) + size, len(b), len(b) + size])
+        a, b, at = a + same + list(range(1000 + at, 1000 + at + gap)), b + same + list(range(2000 + at, 2000 + at + gap)), at + size
+    assert not chains.is_passage(*chains.align(a, b, parts, 0, 0))
+    found = chains.passages_of(a, b, parts, 0, 0)
+    assert all(chains.is_passage(*x) for x in found) and min(x[0] for x in found) == 0 and max(x[1] for x in found) >= 45
+
+
 def test_edit_distance():
     rng = random.Random(2)
 
