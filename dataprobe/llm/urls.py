@@ -4,6 +4,10 @@ Hosts of allowed pages are trusted seeds, hosts of blocked pages distrusted ones
 Personalised PageRank spreads trust along links and distrust against them (who links to a blocked host is
 suspect).  A page without a rule is blocked if its host's distrust is above ``threshold`` times its trust.
 
+Scores are counts of seed pages, so their size does not depend on how many pages the table has; they are divided by
+the two totals only where they are compared.  Rounds go on until one changes no score by more than ``TOLERANCE`` of
+itself: a host reached for the first time is always a change, so every host that links lead to gets its score.
+
 Only distinct host pairs are ranked, after pages were counted into them; each round is one join on the link's
 source, pre-aggregated sums by target, and is written to the shared folder.  Built-in functions only.
 
@@ -14,6 +18,7 @@ has no links.  Repeated rows are judged row by row (and count as often as seeds)
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +27,13 @@ from dataprobe.llm.base import ascii_lower
 from dataprobe.session import written
 
 DAMPING = 0.85
-ROUNDS = 20
 THRESHOLD = 1.0
+# a score is final when a round changes it by at most this share of itself
+TOLERANCE = 1e-6
+# sums in another order differ by less than this share: no difference when scores are compared
+NOISE = 1e-12
+# of the SQL version, which stops early and rounds: equal where no host links to another
+ROUNDS = 20
 DIGITS = 12
 # up to so many rules are an expression inside the scan; longer lists are a table and a join
 INLINE_RULES = 1000
@@ -101,10 +111,10 @@ def host_links(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return each.filter((F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds, or as soon as a round changes nothing.
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
+    """(host, trust, distrust) when no score changes any more (see ``TOLERANCE``), or after ``rounds`` rounds.
 
-    ``seeds(host, trust, distrust)`` are shares that add up to one each; ``links(src, dst, links)``.
+    ``seeds(host, trust, distrust)`` are amounts of any scale, which the scores share; ``links(src, dst, links)``.
     """
     # both directions as one graph of typed arcs: trust goes src -> dst, distrust dst -> src, by share of links
     out = links.groupBy("src").agg(F.sum("links").alias("all"))
@@ -115,20 +125,21 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     hosts = seeds.select("host").union(arcs.select("to")).union(arcs.select("at")).distinct()
     start = hosts.join(seeds, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("s"), F.coalesce("distrust", F.lit(0.0)).alias("d"))
     state = written(start.select("host", "s", "d", ((1 - damping) * F.col("s")).alias("trust"), ((1 - damping) * F.col("d")).alias("distrust")), "trust")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         sent = arcs.join(state, arcs["at"] == state["host"]).select("to", *[F.when(F.col("trusts") == side, F.col("share") * F.col(c)).otherwise(0.0).alias(c) for side, c in ((True, "trust"), (False, "distrust"))])
         got = sent.groupBy(F.col("to").alias("host")).agg(F.sum("trust").alias("t"), F.sum("distrust").alias("u"))
-        new = lambda base, more: F.round((1 - damping) * F.col(base) + damping * F.coalesce(F.col(more), F.lit(0.0)), DIGITS)
+        new = lambda base, more: (1 - damping) * F.col(base) + damping * F.coalesce(F.col(more), F.lit(0.0))
         after = state.join(got, "host", "left").select("host", "s", "d", new("s", "t").alias("trust"), new("d", "u").alias("distrust"), F.col("trust").alias("t0"), F.col("distrust").alias("u0"))
         after = written(after, "trust")
-        moved = after.filter((F.abs(F.col("trust") - F.col("t0")) > 10.0**-DIGITS) | (F.abs(F.col("distrust") - F.col("u0")) > 10.0**-DIGITS)).limit(1).count()
+        differs = lambda now, old: F.abs(F.col(now) - F.col(old)) > TOLERANCE * F.col(now)
+        moved = after.filter(differs("trust", "t0") | differs("distrust", "u0")).limit(1).count()
         state = after.select("host", "s", "d", "trust", "distrust")
         if not moved:
             break
     return state.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, threshold: float = THRESHOLD, rounds: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, trust, distrust, verdict), one row per row of ``pages(page_id, url, html)``."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = match_rules(parsed.select("page_id", "host", "path"), rules)
@@ -137,8 +148,8 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, threshold: fl
     )
     sums = counted.agg(F.greatest(F.sum("good"), F.lit(1)).alias("good"), F.greatest(F.sum("bad"), F.lit(1)).alias("bad"))
     goods, bads = sums.select("good").scalar(), sums.select("bad").scalar()
-    seeds = counted.select("host", (F.col("good") / goods).alias("trust"), (F.col("bad") / bads).alias("distrust"))
+    seeds = counted.select("host", F.col("good").cast("double").alias("trust"), F.col("bad").cast("double").alias("distrust"))
     ranks = propagate(seeds, written(host_links(parsed), "links"), rounds=rounds)
-    judged = ruled.join(ranks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    own = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
+    judged = ruled.join(ranks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) / total for c, total in (("trust", goods), ("distrust", bads))})
+    own = F.when(F.col("distrust") > threshold * (1 + NOISE) * F.col("trust"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", "trust", "distrust", F.coalesce("ruled", own).alias("verdict"))

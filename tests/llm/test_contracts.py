@@ -237,6 +237,33 @@ def test_links_reach_other_hosts(spark):
     assert {r["page_id"]: r["verdict"] for r in judged.collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_distrust_reaches_far_hosts_of_large_tables(spark):
+    """10,000 blocked pages elsewhere, fans of 300 hosts and a path of 30 hosts in front of one blocked page."""
+    to = lambda host: f'<a href="http://{host}/">x</a>'
+    rows = [("bad.net", "")] + [(f"path{k}", to(f"path{k - 1}" if k else "bad.net")) for k in range(30)]
+    for level in range(3):
+        rows += [(f"fan{level}-{k}", to(f"fan{level - 1}-0" if level else "bad.net")) for k in range(300)]
+    near = spark.createDataFrame([(i, f"http://{h}/", html) for i, (h, html) in enumerate(rows)], "page_id bigint, url string, html string")
+    far = spark.range(10_000).selectExpr("-1 - id as page_id", "'http://other.net/' as url", "'' as html")
+    judged = {r["host"]: r["verdict"] for r in urls.judge(near.union(far).union(spark.createDataFrame([(-20000, "http://clean.org/", to("bad.org"))], near.schema))).collect()}
+    assert judged.pop("clean.org") == "allow"
+    assert set(judged.values()) == {"block"} and len(judged) == len(rows) + 1
+
+
+def test_propagation_settles(spark):
+    """Scores of a circle are those of the equation, whatever the scale of the seeds."""
+    links, scale = [("a", "b", 1), ("b", "c", 2), ("c", "a", 1), ("b", "d", 1)], 1e-9
+    seeds = spark.createDataFrame([("a", scale, 0.0), ("d", 0.0, scale)], "host string, trust double, distrust double")
+    got = {r["host"]: (r["trust"] / scale, r["distrust"] / scale) for r in urls.propagate(seeds, spark.createDataFrame(links, "src string, dst string, links bigint")).collect()}
+    a = 0.15 / (1 - 0.85**3 * 2 / 3)
+    trust = {"a": a, "b": 0.85 * a, "c": 0.85**2 * a * 2 / 3, "d": 0.85**2 * a / 3}
+    # back from d to b, and around; b is the only one that links to c and d
+    b = 0.85 * 0.15 / (1 - 0.85**3)
+    distrust = {"a": 0.85 * b, "b": b, "c": 0.85**2 * b, "d": 0.15}
+    for h in got:
+        assert got[h] == (pytest.approx(trust[h], rel=1e-5), pytest.approx(distrust[h], rel=1e-5)), h
+
+
 def test_mixing(spark, tables, edge):
     for df in (tables["documents"], edge):
         got = mixing.mix(df, keep=["doc_id", "source"]).collect()
