@@ -6,10 +6,12 @@ released block with the earliest deadline (ties: the smaller source name).  One
 weights add up to one, so earliest-deadline-first meets every deadline, and at any time every source is less than one
 block away from its share.
 
-Weights are whole numbers of slots per period (``PERIOD`` by default, at least one slot for each source), so the
-schedule repeats after one period and only one is computed: its size follows the number of slots and sources, both
-parameters of the mixture, not the data.  Ranks within a source come from counts of hash buckets; no source is
-ranked by one task.
+Weights are whole numbers of slots per period, so the schedule repeats after one period and only one is computed.  A
+period has ``PERIOD`` slots, or as many more as give the smallest source ``MIN_SLOTS``: rounding to half a slot then
+changes no target by more than ``1 / (2 * MIN_SLOTS)`` of itself (and the sum of all, by which it is divided, by no
+more than that).  The bound of one block holds for the rounded weights.  Small schedules are folded in an expression;
+others go through a heap, one task that streams the slots in order.  Ranks within a source come from counts of hash
+buckets; no source is ranked by one task.
 
 When a source runs out, its later slots stay empty and the others keep theirs: no document is left out or repeated.
 A null source is a source of its own, named by null.  Null ids, null texts and repeated rows are documents like
@@ -18,6 +20,10 @@ others (rows that share id and text have an arbitrary order among them).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +31,12 @@ from dataprobe.functions.draws import seeded_uniform
 from dataprobe.session import written
 
 PERIOD = 200
+MIN_SLOTS = 8
+# slots times sources that are folded in one expression, whose cost follows that product
+FOLD = 20_000
+# schedules up to so many slots are broadcast
+BROADCAST_SLOTS = 100_000
+_ROWS = 1 << 16
 BLOCK_DOCS = 16
 # a bucket of a source holds about this many documents
 BUCKET_DOCS = 1024
@@ -34,22 +46,29 @@ SEED = 17
 def size_weights(docs: DataFrame, source: str = "source", power: float = 0.5, period: int = PERIOD) -> DataFrame:
     """(source, slots): weights proportional to a power of the source's documents, in slots of a period.
 
-    Slots are rounded, at least one, so a period has about ``period`` slots.
+    A period has about ``period`` slots, or so many that the smallest source has ``MIN_SLOTS`` before rounding.
     """
-    counts = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("size"))
-    # the list of sources is the mixture's definition and fits into one row
-    listed = counts.agg(F.array_sort(F.collect_list(F.struct("source", "size"))).alias("all"))
-    whole = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + x["size"])
-    each = listed.select(F.explode("all").alias("x"), whole.alias("whole"))
-    return each.select("x.source", F.greatest(F.round(F.col("x.size") / F.col("whole") * period), F.lit(1.0)).cast("int").alias("slots"))
+    counts = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    size = lambda n: F.pow(n.cast("double"), F.lit(power))
+    # one entry per different size: their number is below the root of twice the documents; summed in a fixed order
+    listed = counts.groupBy("n").agg(F.count(F.lit(1)).alias("sources")).agg(F.array_sort(F.collect_list(F.struct("n", "sources"))).alias("all"))
+    whole = listed.select(
+        F.aggregate("all", F.lit(0.0), lambda acc, x: acc + x["sources"] * size(x["n"])).alias("whole"), F.array_min(F.transform("all", lambda x: size(x["n"]))).alias("least")
+    )
+    each = counts.crossJoin(F.broadcast(whole))
+    slots = F.greatest(F.lit(period), F.ceil(MIN_SLOTS * F.col("whole") / F.col("least")))
+    return each.select("source", F.greatest(F.round(size(F.col("n")) / F.col("whole") * slots), F.lit(1.0)).cast("int").alias("slots"))
 
 
 def period_schedule(weights: DataFrame) -> DataFrame:
     """(source, turn, slot, release, deadline, period): the earliest-deadline-first schedule of one period.
 
-    ``weights(source, slots)`` is the mixture's definition: one row per source.  It is folded slot by slot inside one
-    expression; the state is the next turn of each source.
+    ``weights(source, slots)`` is the mixture's definition: one row per source.  A small one is folded slot by slot
+    inside one expression; the state is the next turn of each source.
     """
+    sources, total = weights.filter("slots > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("slots"), F.lit(0))).first()
+    if sources * total > FOLD:
+        return _heap_schedule(weights.filter("slots > 0"))
     listed = weights.filter("slots > 0").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("source"), F.lit("")).alias("name"), F.col("source").isNull().alias("none"), F.col("slots").alias("q")))).alias("s"),
         F.sum("slots").cast("int").alias("p"),
@@ -84,9 +103,54 @@ def period_schedule(weights: DataFrame) -> DataFrame:
     )
 
 
-def source_ranks(docs: DataFrame, source: str, id_col: str, text: str, seed: int = SEED) -> DataFrame:
+def earliest_first(slots: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, turn, slot, release, deadline) of a period, slot by slot; sources are positions in ``slots``."""
+    p = sum(slots)
+    # the next block of every source is in one of both: released ones by deadline, others by release
+    ready = [(-(-p // q), i, 0) for i, q in enumerate(slots)]
+    waiting: list[tuple[int, int, int]] = []
+    ready.sort()
+    for slot in range(p):
+        while waiting and waiting[0][0] <= slot:
+            _, i, turn = heappop(waiting)
+            heappush(ready, (-(-(turn + 1) * p // slots[i]), i, turn))
+        due, i, turn = heappop(ready)
+        yield i, turn, slot, turn * p // slots[i], due
+        if turn + 1 < slots[i]:
+            heappush(waiting, ((turn + 1) * p // slots[i], i, turn + 1))
+
+
+def _heap_schedule(weights: DataFrame) -> DataFrame:
+    """``period_schedule`` in time of slots times the logarithm of sources; one task holds the list of sources."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        rows.sort(key=lambda x: (x[0] or "", x[0] is None))
+        slots = [q for _, q in rows]
+        period, held = sum(slots), []
+
+        def made() -> pa.RecordBatch:
+            index, *numbers = zip(*held, strict=True)
+            columns = [pa.array([rows[i][0] for i in index], pa.string()), *[pa.array(x, pa.int64()) for x in numbers], pa.array([period] * len(held), pa.int64()), pa.array([slots[i] for i in index], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["source", "turn", "slot", "release", "deadline", "period", "slots"])
+
+        for x in earliest_first(slots):
+            held.append(x)
+            if len(held) == _ROWS:
+                yield made()
+                held = []
+        if held:
+            yield made()
+
+    one = weights.select(F.col("source").cast("string"), F.col("slots").cast("long")).repartition(1)
+    return one.mapInArrow(run, "source string, turn bigint, slot bigint, release bigint, deadline bigint, period bigint, slots bigint")
+
+
+def source_ranks(docs: DataFrame, source: str, id_col: str, text: str, seed: int = SEED, per_source: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``_rank``, the place of a row in its source's mixed order, from 0.
 
+    Columns of ``per_source(_source, ...)`` come along with the offsets; rows of sources it does not name go.
+
     Order: a keyed draw, then the id.  The range of draws is cut into buckets; counts of (source, bucket) give each
     bucket its offset, rows are ranked inside a bucket only, and the number of buckets follows the number of rows.
     """
@@ -97,10 +161,14 @@ def source_ranks(docs: DataFrame, source: str, id_col: str, text: str, seed: int
     drawn = docs.withColumn("_draw", seeded_uniform(seed, named)).withColumn("_bucket", F.floor(F.col("_draw") * buckets))
     counts = drawn.groupBy(F.col(f"`{source}`").alias("_s"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_s", "_b", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    carried = []
+    if per_source is not None:
+        carried = [c for c in per_source.columns if c != "_source"]
+        offsets = offsets.join(per_source, F.col("_s").eqNullSafe(F.col("_source"))).drop("_source")
     inside = Window.partitionBy(F.col(f"`{source}`"), "_bucket").orderBy("_draw", F.col(f"`{id_col}`"))
     placed = drawn.withColumn("_in", F.row_number().over(inside) - 1)
     on = F.col(f"`{source}`").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))
-    return placed.join(offsets, on, "left").withColumn("_rank", F.col("_before") + F.col("_in")).drop("_draw", "_bucket", "_s", "_b", "_before", "_in")
+    return placed.join(offsets, on, "inner" if carried else "left").withColumn("_rank", F.col("_before") + F.col("_in")).drop("_draw", "_bucket", "_s", "_b", "_before", "_in")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, keep: list[str] | None = None) -> DataFrame:
@@ -112,20 +180,20 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     """
     added = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_place"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    clock = written(period_schedule(size_weights(docs, source) if weights is None else weights), "schedule")
+    clock = written(period_schedule(written(size_weights(docs, source), "weights") if weights is None else weights), "schedule")
     need = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, source, id_col, text])])
     # texts take part in the draw by their hash alone and are not carried through the ranking unless asked for
     slim = need.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, source, id_col])], F.xxhash64(F.col(f"`{text}`")).alias("_key"))
-    ranked = source_ranks(slim, source, id_col, "_key")
-    block = F.floor(F.col("_rank") / block_docs)
-    placed = ranked.withColumn("mix_block", block).withColumn("mix_place", (F.col("_rank") - block * block_docs).cast("int"))
     names = ["source", "turn", "slot", "release", "deadline", "period", "slots"]
     c = clock.select(*[F.col(n).alias(f"_{n}") for n in names])
-    per_source = c.select("_source", "_slots", "_period").distinct()
-    # both tables below have one row per slot of a period: bounded by the mixture
-    timed = placed.join(F.broadcast(per_source), F.col(f"`{source}`").eqNullSafe(F.col("_source"))).drop("_source", "_period")
+    # a counted schedule of bounded size is broadcast; a larger one is met by source and turn, over which documents spread
+    small = clock.count() <= BROADCAST_SLOTS
+    per_source = c.filter("_turn = 0").select("_source", "_slots")
+    ranked = source_ranks(slim, source, id_col, "_key", per_source=F.broadcast(per_source) if small else per_source)
+    block = F.floor(F.col("_rank") / block_docs)
+    timed = ranked.withColumn("mix_block", block).withColumn("mix_place", (F.col("_rank") - block * block_docs).cast("int"))
     timed = timed.withColumn("_turn_of", (F.col("mix_block") % F.col("_slots")).cast("int")).withColumn("_round", F.call_function("div", F.col("mix_block"), F.col("_slots"))).drop("_slots")
-    out = timed.join(F.broadcast(c), F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_turn_of") == F.col("_turn")))
+    out = timed.join(F.broadcast(c) if small else c, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_turn_of") == F.col("_turn")))
     shift = F.col("_round") * F.col("_period")
     return out.select(
         *[F.col(f"`{k}`") for k in keep], "mix_block", (shift + F.col("_slot")).alias("mix_slot"), (shift + F.col("_release")).alias("mix_release"),

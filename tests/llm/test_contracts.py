@@ -291,6 +291,42 @@ def test_schedule_is_within_one_block(spark, slots):
             assert abs(sum(r["source"] == s and r["slot"] < t for r in got) - t * q / p) < 1
 
 
+def test_targets_hold_with_many_sources(spark):
+    """1,000 sources of 1 to 400 documents, and a target of 0.1% among 20: slots follow the targets."""
+    many = {f"s{i:04}": 1 + i * 2 // 5 for i in range(1000)}
+    for sizes in (many, {"tiny": 1, **{f"b{i}": 2700 for i in range(19)}}):
+        rows = spark.createDataFrame(list(sizes.items()), "source string, n int").selectExpr("source", "explode(sequence(1, n)) as k").drop("k")
+        slots = {r["source"]: r["slots"] for r in mixing.size_weights(rows).collect()}
+        whole, p = sum(n**0.5 for n in sizes.values()), sum(slots.values())
+        assert set(slots) == set(sizes)
+        for s, n in sizes.items():
+            want = n**0.5 / whole
+            assert abs(slots[s] / p - want) <= 0.08 * want, (s, slots[s], p)
+
+
+def test_large_schedules_go_another_way(spark, monkeypatch):
+    slots = {"a": 7, "b": 5, None: 3, "": 2, "é": 1, "d": 40}
+    weights = spark.createDataFrame(list(slots.items()), "source string, slots int")
+    docs = spark.createDataFrame([(i, f"t{i}", s) for i in range(900) for s in ["a", "b", None, "é", "unnamed"][i % 5 : i % 5 + 1]], "doc_id bigint, text string, source string")
+    folded = sorted(map(tuple, mixing.period_schedule(weights).collect()), key=repr)
+    mixed = sorted(map(tuple, mixing.mix(docs, weights, block_docs=4).collect()), key=repr)
+    assert len(mixed) == 720
+    monkeypatch.setattr(mixing, "FOLD", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    assert sorted(map(tuple, mixing.period_schedule(weights).collect()), key=repr) == folded
+    assert sorted(map(tuple, mixing.mix(docs, weights, block_docs=4).collect()), key=repr) == mixed
+
+
+def test_large_schedule_stays_near_the_targets():
+    """Every source of 300 is within one block of its share at every moment of a long period."""
+    slots = [8 + i % 90 for i in range(300)]
+    p, done = sum(slots), [0] * 300
+    for i, turn, slot, release, deadline in mixing.earliest_first(slots):
+        assert turn == done[i] and release <= slot < deadline
+        done[i] += 1
+    assert done == slots
+
+
 def test_chat(spark, tables, folder):
     rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in tables["conversations"].collect()]
     odd = [(10**6, 0, None, None), (10**6, 0, "x", None), (None, None, None, None), (None, 1, "p", "t"), (7 * 10**5, 0, "system", "s")] + [(10**6 + 1, i // 2, f"n{i % 5}", "same") for i in range(400)] + [(10**6 + 1, 0, "n0", "same")] * 3
