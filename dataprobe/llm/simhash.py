@@ -154,11 +154,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component: that with the smallest id.  Rows without an id are kept."""
+    """One row of each component: that with the smallest id; rows without an id come last.
+
+    Rows that share the smallest id, or have none, are told apart by a hash of the row.
+    """
     own, names = masked(docs)
-    found = simhash_components(own, names[id_col], names[text], shingle, max_bits, keep=own.columns)
-    same = F.col(names[id_col]).isNull() | (F.col(names[id_col]) == F.col("component_id"))
-    return found.filter(same).select(*[F.col(n).alias(c) for c, n in names.items()])
+    # numbers are given once, as the rows are stored: they tell repeated rows apart
+    printed = written(fingerprints(own, names[text], shingle, own.columns).withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
+    key = F.col(names[id_col])
+    hashed = F.xxhash64(*[F.col(f.name) for f in own.schema.fields if "map<" not in f.dataType.simpleString()])
+    first = F.min(F.struct(key.isNull().alias("none"), key.alias("id"), hashed.alias("hash"), F.col("_row").alias("row")))
+    nodes = written(printed.groupBy("fingerprint").agg(first.alias("label")), "nodes")
+    found = components(nodes.select(F.col("fingerprint").alias("node"), "label"), links(nodes.select("fingerprint"), max_bits))
+    # one row per component: its first row lies in the fingerprint whose own label is the component's
+    best = found.select(F.col("label.row").alias("_row")).distinct()
+    return printed.join(best, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def hex16(fingerprint: Column) -> Column:

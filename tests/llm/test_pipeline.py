@@ -109,3 +109,14 @@ def test_stages_keep_columns_with_clashing_names(spark, folder):
 def test_stages_take_empty_tables(spark, folder):
     empty = spark.createDataFrame([], DOC)
     assert all(stage(spark, empty, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_one_row_of_a_group_stays(spark, tmp_path):
+    """Repeated rows of one id and copies without an id through run()."""
+    rng = random.Random(4)
+    one, two, three = (" ".join(f"x{rng.getrandbits(40)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (5, one), (5, one), (None, one), (9, one), (None, two), (None, two), (None, two), (7, three), (None, three)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this is here")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(5, one), (None, two), (7, three)], key=repr)
