@@ -19,10 +19,6 @@ from dataprobe.llm.suffix_dedup import suffix_dedup
 from dataprobe.session import scratch_path
 
 
-# what broken bytes become: the replacement character
-_BROKEN = "\ufffd"
-
-
 def _retold(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with ``n_chars`` counted anew."""
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else docs.select(*columns)
@@ -41,12 +37,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes that repeat an earlier document; documents of which nothing is left go.
 
-    A cut may fall inside a character: bytes that are no character any more are left out.
+    A cut may fall inside a character: what it leaves of that character is left out.
     """
     own, names = masked(docs)
-    found = suffix_dedup(own, names["doc_id"], names["text"], keep=own.columns).filter(F.col("removed").isNull() | (F.octet_length("kept") > 0))
-    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), _BROKEN, "")
-    text = F.when(F.col("removed").isNull(), F.col(names["text"])).otherwise(left)
+    found = suffix_dedup(own, names["doc_id"], names["text"], keep=own.columns, characters=True).filter(F.col("removed").isNull() | (F.octet_length("kept") > 0))
+    text = F.when(F.col("removed").isNull(), F.col(names["text"])).otherwise(F.col("kept").cast("string"))
     return _retold(found.select(*[text.alias(c) if c == "text" else F.col(n).alias(c) for c, n in names.items()]), docs.columns)
 
 

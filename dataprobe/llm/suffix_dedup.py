@@ -370,10 +370,25 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return gone.unionByName(cuts).dropDuplicates(["id", "k1"])
 
 
-def _left(text: bytes, ranges: list[dict] | None) -> bytes:
-    """The bytes outside ``ranges``, one after the other."""
+def _whole(text: bytes, ranges: list[dict]) -> list[dict]:
+    """``ranges`` widened to whole characters of UTF-8."""
+    out = []
+    for r in ranges:
+        first, last = r["first"], r["last"]
+        while first > 0 and first < len(text) and text[first] & 0xC0 == 0x80:
+            first -= 1
+        while last < len(text) and text[last] & 0xC0 == 0x80:
+            last += 1
+        out.append({"first": first, "last": last})
+    return out
+
+
+def _left(text: bytes, ranges: list[dict] | None, characters: bool = False) -> bytes:
+    """The bytes outside ``ranges``, one after the other; with ``characters`` only those of whole characters."""
     if not ranges:
         return text
+    if characters:
+        ranges = _whole(text, ranges)
     at, out = 0, []
     for r in ranges:
         out.append(text[at : r["first"]])
@@ -381,8 +396,11 @@ def _left(text: bytes, ranges: list[dict] | None) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: the id), ``removed`` ranges (null where none) and ``kept``, the bytes left."""
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, characters: bool = False) -> DataFrame:
+    """``keep`` columns (default: the id), ``removed`` ranges (null where none) and ``kept``, the bytes left.
+
+    With ``characters``, what a cut leaves of a character is not kept either.
+    """
     keep = [id_col] if keep is None else keep
     own = F.col(f"`{text}`")
     found = removed_ranges(docs, id_col, text).select(F.col("id").alias("_id"), F.col("k1").alias("_a"), F.col("ranges").alias("removed"))
@@ -399,7 +417,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
         for batch in batches:
             for part in slabs(iter([batch]), "_text", _PART):
                 texts, ranges = _texts(part.column(len(others))), part.column(len(others) + 1)
-                kept = pa.array([_left(t or b"", r) for t, r in zip(texts, ranges.to_pylist(), strict=True)], pa.binary())
+                kept = pa.array([_left(t or b"", r, characters) for t, r in zip(texts, ranges.to_pylist(), strict=True)], pa.binary())
                 columns = dict(zip(others, part.columns[: len(others)], strict=True))
                 if text in keep:
                     columns[text] = pa.array(texts, pa.binary()).cast(pa.string())

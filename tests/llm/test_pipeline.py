@@ -120,3 +120,13 @@ def test_one_row_of_a_group_stays(spark, tmp_path):
     spark.createDataFrame([(1, "nothing of this is here")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(5, one), (None, two), (7, three)], key=repr)
+
+
+def test_cuts_keep_replacement_characters(spark, folder):
+    """Only what a cut leaves of a character goes; characters that were there before stay."""
+    shared = "".join(chr(0x4E00 + i) for i in range(40))
+    # "\u4e2d" and "\u4e2e" share their first two bytes, "\u5128" and "\u4e28" their last
+    docs = [(1, "\u4e2dxx" + "a" * 60 + "\u4e28" + shared + "\u4e2d"), (2, "one \ufffd two \u5128" + shared + "\u4e2e tail \ufffd")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], DOC)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.substring_dedup(spark, frame, folder).collect()}
+    assert got == {1: (docs[0][1], len(docs[0][1])), 2: ("one \ufffd two  tail \ufffd", 17)}
