@@ -131,3 +131,76 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY, "op2_suffix_dedup": SUFFIX, "op3_decontaminate": CONTAMINATION, "op4_chat_rotation": CHAT,
     "op5_url_filter": _url_sql(), "op7_warc": WARC, "op9_mixing": MIXING,
 }
+
+# ---- 11 and 12: crc32 by its table, byte by byte -----------------------------------------------------------------------
+
+_BIT = "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end"
+_CRC_TABLE = "crc_table as (select list(v order by k) as tab from (select k, list_reduce(list_prepend(k, [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]), lambda c, i: " + _BIT + ") as v from (select unnest(range(256)) as k)))"
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + unicode(x) // 64, 128 + unicode(x) % 64]::bigint[] end))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, " + _BYTES + "), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295)"
+
+VARIANTS = rf"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+each as (select doc_id, run, count(*) as k from runs group by all),
+hashed as (select run, k, {_CRC.format("concat(doc_id, ':', run)")} as h from each, crc_table),
+slipped as (select case when h % 97 = 0 then concat(substr(run, 1, (h % length(run))::bigint), substr(run, (h % length(run))::bigint + 2)) else run end as word, k from hashed),
+w as (select word, sum(k)::bigint as n from slipped where length(word) >= 5 group by word having sum(k) >= 3),
+cut as (select word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+near as (select a.word, b.word as other, b.n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+         union select c.word, w.word, w.n from cut c join w on w.word = c.rest
+         union select w.word, c.word, c.n from cut c join w on w.word = c.rest),
+best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as other, max(n) as top from near group by word),
+named as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when top >= 2 * w.n then other end as form, case when top >= 2 * w.n then top end as form_n from w left join best using (word)),
+way as (select word, word as at from named union all select way.word, named.form from way join named on named.word = way.at where named.form is not null)
+select named.word, named.form, way.at as root, named.n, named.n_near, named.form_n::bigint as form_n
+from named join way on way.word = named.word join named as last on last.word = way.at where last.form is null"""
+
+
+
+def _then(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 's': {state}.s || '{letter}'}}"
+
+
+_NONE = "{'c': 1000000000::bigint, 's': '~'}"
+_STEP = f"""
+step as (
+  select conv_id, 0::bigint as i, {{'c': 0::bigint, 's': ''}} as e, {_NONE} as y, {_NONE} as u, {_NONE} as a from convs
+  union all
+  select conv_id, i + 1, {_then("e", "2", "D")},
+         list_min([{_then("y", "2", "D")}, case when live and r = 's' then {_then("e", "late", "K")} else {_NONE} end]),
+         list_min([{_then("u", "2", "D")}, case when not live then {_NONE} when r = 'u' then {_then("bu", "late", "K")} else {_then("bu", "late + 1", "R")} end]),
+         list_min([{_then("a", "2", "D")}, case when not live then {_NONE} when r = 'a' then {_then("pu", "late", "K")} else {_then("pu", "late + 1", "R")} end])
+  from (select s.conv_id, s.i, e, y, u, a, r, fault not in ('blank', 'duplicate') as live, case when fault = 'truncated' then 5 else 0 end as late,
+               list_min([u, {_then("e", "5", "I")}, {_then("y", "5", "I")}, {_then("a", "5", "I")}]) as pu,
+               list_min([e, y, a, {_then("u", "5", "I")}, {_then("e", "10", "II")}, {_then("y", "10", "II")}]) as bu
+        from step s join rows_ x on x.key = s.conv_id and x.i = s.i))"""
+
+REPAIR = rf"""
+with recursive {_CRC_TABLE},
+drawn as (select conv_id, coalesce(conv_id::varchar, ' ') as key, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 {_CRC.format("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 as d from conversations, crc_table),
+hurt as (select key, turn, case when d = 4 then 'user' else role end as role, case when d = 1 then '' when d = 2 then translate(text, '.!?', '') else text end as text,
+                unnest(case when d = 3 then [0, 1] else [0] end) as copy from drawn where d > 0),
+placed as (select *, row_number() over (partition by key order by turn nulls first, role, text, copy) - 1 as i from hurt),
+marked as (select *, substr(role, 1, 1) as r, row_number() over (partition by key, role, text order by i) as nth, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as tail from placed),
+rows_ as (select *, case when tail = '' then 'blank' when nth > 1 then 'duplicate' when tail not in ('.', '!', '?') then 'truncated' else '' end as fault,
+                 lag(r) over (partition by key order by i) as before from marked),
+convs as (select distinct key as conv_id from drawn), {_STEP},
+sized as (select conv_id, coalesce(max(x.i) + 1, 0) as n from convs left join rows_ x on x.key = conv_id group by conv_id),
+ended as (select conv_id, n, list_min([e, {_then("e", "10", "II")}, {_then("y", "10", "II")}, a, {_then("u", "5", "I")}]) as b from step join sized using (conv_id) where step.i = n),
+edits as (select conv_id, k, substr(b.s, k::bigint, 1) as l, b.s as s from (select *, unnest(range(1, length(b.s) + 1)) as k from ended)),
+numbered as (select conv_id, k, l, count(*) filter (l <> 'I') over (partition by conv_id order by k) - 1 as i,
+                    count(*) filter (l in ('I', 'R', 'K')) over (partition by conv_id order by k) as o from edits where l <> 'D' or true),
+shown as (select m.conv_id, k, l, o, x.role, x.text, case when first_role = 's' then 1 else 0 end as shift
+          from numbered m left join rows_ x on l <> 'I' and x.key = m.conv_id and x.i = m.i
+          left join (select conv_id, first(r order by k) as first_role from (select m.conv_id, k, r from numbered m join rows_ x on l = 'K' and x.key = m.conv_id and x.i = m.i where o = 1) group by conv_id) using (conv_id)
+          where l <> 'D'),
+told as (select conv_id, string_agg(case when l = 'K' then role else case when (o - shift) % 2 = 1 then 'user' else 'assistant' end end || ':' || case when l = 'I' then '' else text end, chr(10) order by k) as said from shown group by conv_id),
+tally as (select key, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                 count(*) filter (fault = 'truncated') as truncated, count(*) filter (before || r not in ('su', 'ua', 'au')) as illegal from rows_ group by key)
+select case when conv_id = ' ' then null else conv_id::bigint end as conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, b.c::bigint as cost, b.s as audit, sha256(coalesce(said, '')) as repaired_sha256
+from ended left join tally on key = conv_id left join told using (conv_id)"""
+
+ORACLES |= {"op11_spelling_variants": VARIANTS, "op12_conversation_repair": REPAIR}

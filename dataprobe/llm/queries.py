@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables, each with the columns that its result is compared by."""
+"""The operators as queries over their whole tables, each with the columns that its result is compared by."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import chains, chat, decontaminate, licenses, mixing, quality, simhash, suffix_dedup, urls, warc
+from dataprobe.llm import chains, chat, decontaminate, licenses, mixing, quality, repair, simhash, suffix_dedup, toxicity, urls, variants, warc
 from dataprobe.llm.base import table
 from dataprobe.session import scratch_path
 
@@ -68,7 +68,23 @@ def op10_licenses(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, d, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return repair.conversation_audits(repair.damaged(table(spark, d, "conversations")))
+
+
+def op13_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, d, "labels").select("doc_id", "toxic"))
+    found = toxicity.toxic_passages(docs, model, keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_suffix_dedup, op3_decontaminate, op4_chat_rotation, op5_url_filter, op6_simhash, op7_warc, op8_fuzzy_substrings, op9_mixing, op10_licenses)
+    for f in (op1_quality_rules, op2_suffix_dedup, op3_decontaminate, op4_chat_rotation, op5_url_filter, op6_simhash, op7_warc, op8_fuzzy_substrings, op9_mixing, op10_licenses,
+              op11_spelling_variants, op12_conversation_repair, op13_toxicity)
 }
