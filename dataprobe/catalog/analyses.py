@@ -11,8 +11,8 @@ from dataprobe.catalog.registry import (
 )
 from dataprobe.catalog.texts import SQL_LEXICON, SQL_REPAIRED, lexicon, sql_rewritten
 from dataprobe.operators import explain, keyed, labels, slices, wordfix
-from dataprobe.operators.shapley import knn_shapley, mislabel_candidates, values_from_index
-from dataprobe.operators.vectors import knn_retrieve
+from dataprobe.operators.shapley import knn_shapley, mislabel_candidates, values_of_all_ranks
+from dataprobe.operators.vectors import every_distance
 from dataprobe.plans import fairness, mislabel, retrieval, robustness
 from dataprobe.plans.retrieval import Retrieval, changed_labels, classify, edited_labels, relabel
 from dataprobe.session import written
@@ -67,12 +67,11 @@ def knn_shapley_truncated(spark, d):
 
 @query("shapley_mean", with_(SQL_VEC_SPLIT, SQL_PAIRS, sql_shapley(3)) + "select train_id, shapley_value as mean_score from shap")
 def shapley_mean(spark, d):
-    """Mean over the test points of the scores of a stored index that holds every rank."""
+    """Mean over the test points of the scores of every rank, from stored distances."""
     train, test = vec_split(spark, d)
     points = test.withColumnRenamed("prediction_id", "test_id")
-    rows = train.count()
-    index = written(knn_retrieve(points, train, max(1, rows), "test_id"), "index")
-    values = values_from_index(index, train, points, 3, rows + 1, rows)
+    pairs = written(every_distance(points, train, "test_id"), "distances")
+    values = values_of_all_ranks(pairs, train, points, 3)
     return values.select("train_id", F.round("shapley_value", DIGITS).alias("mean_score"))
 
 
@@ -148,13 +147,13 @@ def explain_label_flip_test(spark, d):
 
 
 SQL_DOC_PAIRS = """
-pr as (select q.prediction_id, t.train_id, (l.label_new = d.truth)::int::double as eq,
+pr as (select q.prediction_id, t.train_id, (l.label_new = d.truth)::int::double as eq, count(*) over (partition by q.prediction_id) as n,
          row_number() over (partition by q.prediction_id order by round(list_distance(q.v, t.v), 9), t.train_id) as i
        from f_test q cross join f_train t join doc_train l using (train_id) join doc_test d on d.prediction_id = q.prediction_id)"""
 
 
 @query("mislabel_recheck", with_(
-    SQL_DOC_INDEX, SQL_DOC_PAIRS, "tr as (select train_id from doc_train)", "te as (select prediction_id from doc_test)", sql_truncated(1, 50), SQL_CANDIDATES,
+    SQL_DOC_INDEX, SQL_DOC_PAIRS, "tr as (select train_id from doc_train)", "te as (select prediction_id from doc_test)", sql_shapley(1), SQL_CANDIDATES,
     "flipped as (select t.train_id, case when c.train_id is not null then 1 - label_new else label_new end as label from doc_train t left join cand c on c.train_id = t.train_id)",
     sql_vote("pred", "idx", "doc_train", "label_new"), sql_vote("pred_new", "idx", "flipped")) + """
   select round(avg((p.prediction = q.truth)::int::double), 9) as accuracy_before, round(avg((n.prediction = q.truth)::int::double), 9) as accuracy_after,

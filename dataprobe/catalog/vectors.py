@@ -12,8 +12,8 @@ from dataprobe.catalog.registry import (
 from dataprobe.functions.labels import class_name
 from dataprobe.functions.prompts import prompt_parts
 from dataprobe.functions.vectors import array_distance
-from dataprobe.operators import collection, impact, keyed, ordering, predict
-from dataprobe.operators.vectors import knn_retrieve, pairwise_distance, retrieval_index_long, retrieval_index_wide
+from dataprobe.operators import collection, impact, keyed, lsh, ordering, predict
+from dataprobe.operators.vectors import every_distance, knn_retrieve, pairwise_distance, retrieval_index_long, retrieval_index_wide
 from dataprobe.plans.retrieval import changed_labels, edited_labels
 from dataprobe.session import written
 
@@ -106,6 +106,33 @@ def knn_retrieve_large(spark, d):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+def _approximate(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(found, exact): every twentieth vector against all, by the index and by brute force."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = rows.filter(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "prediction_id")
+    known = rows.withColumnRenamed("vec_id", "train_id")
+    return lsh.lsh_retrieve(lsh.lsh_index(known), asked), knn_retrieve(asked, known)
+
+
+@query("knn_retrieve_lsh")
+def knn_retrieve_lsh(spark, d):
+    """Approximate neighbours: which are found depends on random directions, their distances do not."""
+    return _approximate(spark, d)[0].withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_lsh_recall", """
+  with n as (select count(*) filter (vec_id % 20 = 0) as q, least(count(*), 4) as k from embeddings) select (q * k)::bigint as asked, true as nine_in_ten, 0::bigint as wrong from n""")
+def knn_lsh_recall(spark, d):
+    """How many exact neighbours there are, whether nine in ten are found, and how many found distances are not those of their pair."""
+    found, exact = _approximate(spark, d)
+    found = written(found, "found")
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    checked = pairwise_distance(found, rows.withColumnRenamed("vec_id", "prediction_id"), rows.withColumnRenamed("vec_id", "train_id"), "prediction_id", "train_id")
+    wrong = found.join(checked.withColumnRenamed("distance", "true"), ["prediction_id", "train_id"], "left").filter(F.abs(F.col("distance") - F.col("true")).isNull() | (F.abs(F.col("distance") - F.col("true")) > 1e-6))
+    counted = wrong.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return lsh.recall(found, exact).select("asked", (F.col("recall") >= 0.9).alias("nine_in_ten"), counted.alias("wrong"))
+
+
 @query("pairwise_distance", with_(SQL_VEC_SPLIT, SQL_VEC_INDEX) + "select prediction_id, train_id, round(distance, 6) as distance from idx")
 def pairwise_distance_query(spark, d):
     train, test = vec_split(spark, d)
@@ -117,15 +144,10 @@ def pairwise_distance_query(spark, d):
 SQL_ALL_RANKS = sql_index("idx", "te", "tr", "(select count(*) from tr)")
 
 
-def _every_rank(train: DataFrame, test: DataFrame) -> DataFrame:
-    return knn_retrieve(test, train, max(1, train.count()))
-
-
 @query("rank_by_distance", with_(SQL_VEC_SPLIT, SQL_ALL_RANKS) + "select prediction_id, train_id, rank::int as rank from idx")
 def rank_by_distance(spark, d):
     train, test = vec_split(spark, d)
-    found = _every_rank(train, test).drop("rank")
-    return ordering.rank_by_distance(found, "prediction_id", "distance", "train_id").select("prediction_id", "train_id", "rank")
+    return ordering.rank_by_distance(every_distance(test, train), "prediction_id", "distance", "train_id").select("prediction_id", "train_id", F.col("rank").cast("int").alias("rank"))
 
 
 _EQ = "eq as (select i.prediction_id, i.rank::int as rank, (t.label = q.truth)::int::double as eq from idx i join tr t using (train_id) join te q using (prediction_id))"
@@ -133,9 +155,9 @@ _EQ = "eq as (select i.prediction_id, i.rank::int as rank, (t.label = q.truth)::
 
 def _eq_ranked(spark, d) -> DataFrame:
     train, test = vec_split(spark, d)
-    index = _every_rank(train, test)
+    index = ordering.rank_by_distance(every_distance(test, train), "prediction_id", "distance", "train_id")
     joined = index.join(train.select("train_id", F.col("label").alias("known")), "train_id").join(test.select("prediction_id", "label"), "prediction_id")
-    return joined.select("prediction_id", "rank", (F.col("known") == F.col("label")).cast("double").alias("eq"))
+    return joined.select("prediction_id", F.col("rank").cast("int").alias("rank"), (F.col("known") == F.col("label")).cast("double").alias("eq"))
 
 
 @query("adjacent_diff", with_(SQL_VEC_SPLIT, SQL_ALL_RANKS, _EQ)

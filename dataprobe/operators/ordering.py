@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.functions.draws import seeded_uniform
+from dataprobe.operators import scan
 from dataprobe.schemas import require
 from dataprobe.session import written
 
@@ -65,16 +66,16 @@ def assign_row_id(df: DataFrame, key: str, name: str = "row_id", rows_per_bucket
     return ranked.join(offsets, "_range").select(*df.columns, (F.col("_offset") + F.col("_nth") - 1).cast("long").alias(name))
 
 
-def rank_by_distance(index: DataFrame, query: str, distance: str, row: str) -> DataFrame:
-    """Rank rows per query by (distance, row id), starting at 1."""
-    order = Window.partitionBy(query).orderBy(F.col(distance).asc(), F.col(row).asc())
-    return index.withColumn("rank", F.row_number().over(order))
+def rank_by_distance(index: DataFrame, query: str, distance: str, row: str, rows_per_range: int = scan.ROWS_PER_RANGE) -> DataFrame:
+    """Rank rows per query by (distance, row id), starting at 1; the rows of one query may be any number."""
+    order = [distance, row]
+    return scan.with_rank(scan.ranged(written(index, "index"), query, order, rows_per_range), query, order).drop("_range")
 
 
-def adjacent_diff(ranked: DataFrame, query: str, value: str) -> DataFrame:
+def adjacent_diff(ranked: DataFrame, query: str, value: str, rows_per_range: int = scan.ROWS_PER_RANGE) -> DataFrame:
     """value[i] - value[i+1] in rank order; null on the last rank."""
-    order = Window.partitionBy(query).orderBy("rank")
-    return ranked.withColumn("diff", F.col(value) - F.lead(value).over(order))
+    cut = scan.ranged(written(ranked, "ranked"), query, ["rank"], rows_per_range)
+    return scan.with_next(cut, query, ["rank"], value, "_next").withColumn("diff", F.col(value) - F.col("_next")).drop("_next", "_range")
 
 
 def sum_after(value: str, partition: list[str], order: list[str]) -> Column:
@@ -88,6 +89,7 @@ def sum_after(value: str, partition: list[str], order: list[str]) -> Column:
     return F.sum(value).over(whole) - F.sum(value).over(running)
 
 
-def suffix_sum(ranked: DataFrame, query: str, value: str) -> DataFrame:
+def suffix_sum(ranked: DataFrame, query: str, value: str, rows_per_range: int = scan.ROWS_PER_RANGE) -> DataFrame:
     """Sum of ``value`` (not null) from this rank to the last one."""
-    return ranked.withColumn("suffix", F.col(value) + sum_after(value, [query], ["rank"]))
+    cut = scan.ranged(written(ranked, "ranked"), query, ["rank"], rows_per_range)
+    return scan.with_suffix(cut, query, ["rank"], value, "suffix").drop("_range")

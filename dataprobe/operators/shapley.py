@@ -7,7 +7,7 @@ the test label.  With w_j = min(K, j) / (K j) for j < N and w_N = 1 / N, the val
 
 and a row's value is the mean over all test points.  Ranks from max(K, ceil(1 / epsilon)) on may count 0: no
 value is then off by more than epsilon (Jia et al., PVLDB 2019), and the nearest rows of each test point are
-enough.  An epsilon below 1 / N asks for every rank and is exact.
+enough.  Exact values read every rank.
 """
 
 from __future__ import annotations
@@ -17,36 +17,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.operators.ordering import sum_after, topk_smallest
-from dataprobe.operators.vectors import knn_retrieve
+from dataprobe.operators.scan import ROWS_PER_RANGE, ranged, with_next, with_rank, with_suffix
+from dataprobe.operators.vectors import every_distance, knn_retrieve
 from dataprobe.schemas import require
-
-# The error bound of values where none is given.
-EPSILON = 0.02
-
+from dataprobe.session import written
 
 def knn_shapley(
     train: DataFrame,
     test: DataFrame,
     k: int = 1,
-    epsilon: float = EPSILON,
+    epsilon: float = 0.0,
     train_id: str = "train_id",
     test_id: str = "test_id",
     label: str = "label",
     vector: str = "embedding",
 ) -> DataFrame:
-    """(train_id, shapley_value) for every training row, off by at most ``epsilon``; 0 is exact.
+    """(train_id, shapley_value) for every training row: exact, or off by at most a given ``epsilon``.
 
-    One neighbour search of ``last_rank`` rows per test point.  Exact values hold every pair of a test point and a
-    training row, because every rank counts: ask for them on tables where that is affordable.
+    Exact values look at every pair of a test point and a training row once, because every rank counts.  An error bound
+    of 1 / N or more needs the ``last_rank`` nearest rows of each test point only.
     """
     for df, key in ((train, train_id), (test, test_id)):
         require(df, "knn_shapley", key, label, vector)
     train = train.select(F.col(train_id).cast("long").alias("train_id"), vector, F.col(label).cast("int").alias("label"))
     test = test.select(F.col(test_id).cast("long").alias("test_id"), vector, F.col(label).cast("int").alias("label"))
-    rows = train.count() if epsilon <= 0 else None
-    last = last_rank(k, epsilon) if rows is None else rows + 1
-    index = knn_retrieve(test, train, last, "test_id", "train_id", vector)
-    return values_from_index(index, train, test, k, last, rows)
+    if epsilon <= 0:
+        return values_of_all_ranks(every_distance(test, train, "test_id", "train_id", vector), train, test, k)
+    last = last_rank(k, epsilon)
+    return values_from_index(knn_retrieve(test, train, last, "test_id", "train_id", vector), train, test, k, last)
+
+
+def values_of_all_ranks(pairs: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Exact values from (test_id, train_id, distance) of every pair.
+
+    The ranks of a test point are cut into ranges.  Counts of earlier ranges give a row its rank, the first row of the
+    next range the neighbour of the last, sums of later ranges what is added to every score.  No window and no task
+    holds more than a range, and pairs are dealt once more than they are computed.
+    """
+    train_labels, test_labels = train_labels.select("train_id", F.col("label").alias("_known")), test_labels.select("test_id", F.col("label").alias("_asked"))
+    eq = (F.col("_known") == F.col("_asked")).cast("double")
+    known = pairs.join(train_labels, "train_id").join(test_labels, "test_id").select("test_id", "train_id", "distance", eq.alias("eq"))
+    known = written(known, "pairs")
+    rows = train_labels.count()
+    order = ["distance", "train_id"]
+    cut = ranged(known, "test_id", order, rows_per_range, rows)
+    ranked = with_next(with_rank(cut, "test_id", order), "test_id", order, "eq", "next_eq")
+    weight = F.when(F.col("rank") == rows, 1.0 / max(rows, 1)).otherwise(F.least(F.lit(float(k)), F.col("rank").cast("double")) / (F.lit(float(k)) * F.col("rank")))
+    parts = [c for c in ranked.columns if c == "_range"]
+    stepped = ranked.select("test_id", "train_id", "rank", *parts, ((F.col("eq") - F.coalesce("next_eq", F.lit(0.0))) * weight).alias("step"))
+    return _mean_scores(with_suffix(written(stepped, "steps") if parts else stepped, "test_id", ["rank"], "step", "score"), train_labels, test_labels)
+
+
+def _mean_scores(scores: DataFrame, train_labels: DataFrame, test_labels: DataFrame) -> DataFrame:
+    points = test_labels.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
+    sums = scores.groupBy("train_id").agg(F.sum("score").alias("_sum"))
+    return train_labels.select("train_id").join(sums, "train_id", "left").select(
+        "train_id", (F.coalesce(F.col("_sum"), F.lit(0.0)) / points).alias("shapley_value")
+    )
 
 
 def last_rank(k: int, epsilon: float) -> int:
@@ -54,11 +81,9 @@ def last_rank(k: int, epsilon: float) -> int:
     return max(k, int(np.ceil(1.0 / epsilon)))
 
 
-def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, last: int, rows: int | None = None) -> DataFrame:
+def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, last: int) -> DataFrame:
     """Values from a stored neighbour index (test_id, rank, train_id) of ``last`` ranks, truncated there.
 
-    ``rows`` is the number of training rows if the index holds every rank: the last one weighs 1 / N, also below K.
-
     A label edit moves no neighbour: valuing the rows again after one reads this index and no vector.
     ``train_labels`` is (train_id, label), ``test_labels`` (test_id, label).
     """
@@ -69,15 +94,9 @@ def values_from_index(index: DataFrame, train_labels: DataFrame, test_labels: Da
     order = Window.partitionBy("test_id").orderBy("rank")  # at most ``last`` rows per test point
     stepped = labelled.select("test_id", "train_id", "rank", eq.alias("eq")).withColumn("next_eq", F.lead("eq").over(order))
     weight = F.least(F.lit(float(k)), F.col("rank").cast("double")) / (F.lit(float(k)) * F.col("rank"))
-    if rows is not None:
-        weight = F.when(F.col("rank") == rows, 1.0 / max(rows, 1)).otherwise(weight)
     step = F.when(F.col("rank") < last, (F.col("eq") - F.coalesce(F.col("next_eq"), F.lit(0.0))) * weight).otherwise(0.0)
     scores = stepped.withColumn("step", step).withColumn("score", F.col("step") + sum_after("step", ["test_id"], ["rank"]))
-    points = test_labels.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
-    sums = scores.groupBy("train_id").agg(F.sum("score").alias("_sum"))
-    return train_labels.select("train_id").join(sums, "train_id", "left").select(
-        "train_id", (F.coalesce(F.col("_sum"), F.lit(0.0)) / points).alias("shapley_value")
-    )
+    return _mean_scores(scores, train_labels, test_labels)
 
 
 def mislabel_candidates(values: DataFrame, n: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ Spark partitions.  A task keeps the k best rows per query and never emits the pa
 
 * Query side small (its size is counted first): one broadcast, the training table is read once where it
   lies and is not shuffled.
-* Otherwise: both sides are cut into cells around sampled pivots.  The triangle inequality tells which
+* Otherwise: two levels of cells around pivots (``operators/pivots.py``).  The triangle inequality tells which
   cells can hold a neighbour of a query; cells and query groups are split by a hash of the id until each
   block is small, so one crowded cell spreads over many tasks.
 Both ways give the same rows.
@@ -13,7 +13,6 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataprobe.functions.draws import seeded_uniform
 from dataprobe.functions.vectors import DISTANCE_DIGITS, array_distance
 from dataprobe.schemas import require, require_type
 from dataprobe.session import written
@@ -30,8 +28,6 @@ from dataprobe.session import written
 # Largest query side (in numbers) that is sent to every executor: 4M doubles = 32 MB.
 BROADCAST_NUMBERS = 4_000_000
 _TILE = 2048
-_BOUND_ROWS = 1024
-_PIVOTS = 64
 
 
 def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,95 +130,6 @@ def _broadcast_hits(vectors: DataFrame, local, k: int, query_id: str, train_id:
     return vectors.mapInArrow(best_of_partition, schema)
 
 
-def _pivot_hits(
-    queries: DataFrame, vectors: DataFrame, k: int, query_id: str, train_id: str, vector: str, schema, block_rows: int
-) -> DataFrame:
-    """Exact neighbours of a large query side, after the pivot-cell kNN join of Lu et al., PVLDB 2012."""
-    spark = vectors.sparkSession
-    total = vectors.count()
-    if total == 0:
-        return spark.createDataFrame([], schema)
-    # A bounded hash sample of the training rows: its first rows are the pivots, and the k-th smallest
-    # distance to any of its rows is an upper bound on the k-th neighbour's distance.
-    rate = min(1.0, 4.0 * _BOUND_ROWS / total)
-    sample = vectors.filter(seeded_uniform(29, train_id) < rate).orderBy(seeded_uniform(31, train_id), train_id)
-    anchors = column_matrix(sample.limit(_BOUND_ROWS).toArrow()[vector])
-    if len(anchors) < k:
-        anchors = column_matrix(vectors.orderBy(train_id).limit(_BOUND_ROWS).toArrow()[vector])
-    # cells grow with the square root of the table, so that both the number of cells and their size do
-    pivots = anchors[: max(_PIVOTS, math.isqrt(total))]
-    shared = spark.sparkContext.broadcast((anchors, pivots))
-
-    def place(batches):
-        for batch in batches:
-            if batch.num_rows:
-                dist = pair_distances(column_matrix(batch.column(1)), shared.value[1])
-                cell = dist.argmin(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(cell), pa.array(dist.min(axis=1))],
-                    names=[train_id, vector, "_cell", "_radius"],
-                )
-
-    kinds = [df.schema[vector].dataType.simpleString() for df in (queries, vectors)]
-    placed = vectors.mapInArrow(place, f"{train_id} long, {vector} {kinds[1]}, _cell int, _radius double")
-    cells = placed.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("_radius").alias("near"), F.max("_radius").alias("far")
-    )
-    outline = {r["_cell"]: (r["rows"], r["near"], r["far"]) for r in cells.collect()}  # at most _BOUND_ROWS rows
-    numbers = sorted(outline)
-    near = np.array([outline[c][1] for c in numbers])
-    far = np.array([outline[c][2] for c in numbers])
-    slack = 1e-6
-
-    def route(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix = column_matrix(batch.column(1))
-            to_anchor = pair_distances(matrix, shared.value[0])
-            kth = min(k, to_anchor.shape[1]) - 1
-            # With fewer anchors than k there is no bound: every cell stays.
-            bound = np.partition(to_anchor, kth, axis=1)[:, kth] if to_anchor.shape[1] >= k else np.full(len(matrix), np.inf)
-            to_pivot = to_anchor[:, numbers]
-            reach = bound[:, None] * (1 + slack) + slack
-            rows, cols = np.nonzero((to_pivot - far <= reach) & (near - to_pivot <= reach))
-            taken = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=[query_id, vector]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(np.array(numbers, dtype=np.int32)[cols])], names=[query_id, vector, "_cell"]
-            )
-
-    routed = queries.mapInArrow(route, f"{query_id} long, {vector} {kinds[0]}, _cell int")
-    asked = {r["_cell"]: r["rows"] for r in routed.groupBy("_cell").agg(F.count(F.lit(1)).alias("rows")).collect()}
-
-    # Blocks per cell on either side, as one small map literal (at most _BOUND_ROWS entries).
-    def splits(counts: dict) -> F.Column:
-        pairs = [F.lit(x) for c in numbers for x in (c, max(1, -(-counts.get(c, 0) // block_rows)))]
-        return F.element_at(F.create_map(*pairs), F.col("_cell"))
-
-    train_split, query_split = splits({c: outline[c][0] for c in numbers}), splits(asked)
-    wanted = [c for c in numbers if c in asked]
-    train_side = (
-        placed.filter(F.col("_cell").isin(wanted))
-        .withColumn("_part", F.pmod(F.xxhash64(train_id), train_split).cast("int"))
-        .withColumn("_share", F.explode(F.sequence(F.lit(0), query_split - 1)))
-        .select(train_id, vector, "_cell", "_part", "_share")
-    )
-    query_side = (
-        routed.withColumn("_share", F.pmod(F.xxhash64(query_id), query_split).cast("int"))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), train_split - 1)))
-        .select(query_id, vector, "_cell", "_part", "_share")
-    )
-    block = ["_cell", "_part", "_share"]
-
-    def compare(asking: pa.Table, known: pa.Table) -> pa.Table:
-        if not asking.num_rows or not known.num_rows:
-            return pa.Table.from_batches([], schema=pa.schema([(query_id, pa.int64()), (train_id, pa.int64()), ("distance", pa.float64())]))
-        found = _block_best(column_matrix(asking[vector]), _ids(known[train_id]), column_matrix(known[vector]), k)
-        return pa.Table.from_batches([_hits(_ids(asking[query_id]), found, (query_id, train_id))])
-
-    return query_side.groupBy(block).cogroup(train_side.groupBy(block)).applyInArrow(compare, schema)
-
-
 def knn_retrieve(
     queries: DataFrame,
     vectors: DataFrame,
@@ -243,12 +150,40 @@ def knn_retrieve(
     elif local is not None:
         hits = _broadcast_hits(vectors, local, k, query_id, train_id, vector, schema)
     else:
-        hits = _pivot_hits(stored, written(vectors, "vectors"), k, query_id, train_id, vector, schema, block_rows)
+        from dataprobe.operators.pivots import pivot_hits, pivot_index
+
+        index = pivot_index(written(vectors, "vectors"), train_id, vector, block_rows)
+        hits = vectors.sparkSession.createDataFrame([], schema) if index is None else pivot_hits(index, stored, k, query_id)
     order = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(train_id).asc())
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(query_id, "rank", train_id, "distance")
 
 
+def every_distance(
+    queries: DataFrame, vectors: DataFrame, query_id: str = "prediction_id", train_id: str = "train_id", vector: str = "embedding", block: int = 512
+) -> DataFrame:
+    """(query_id, train_id, distance) of every pair, for what needs every rank.
+
+    Both sides are dealt into blocks by a hash of their ids and meet block by block; a task holds two blocks and keeps
+    nothing.  The pairs are what was asked for: queries times training rows.
+    """
+    queries, vectors = written(_prepared(queries, query_id, vector), "queries"), written(_prepared(vectors, train_id, vector), "vectors")
+    of_queries, of_rows = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    asking = queries.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(of_queries))).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(of_rows - 1)).cast("array<long>")))
+    known = vectors.withColumn("_t", F.pmod(F.xxhash64(train_id), F.lit(of_rows))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(of_queries - 1)).cast("array<long>")))
+    shape = pa.schema([(query_id, pa.int64()), (train_id, pa.int64()), ("distance", pa.float64())])
+
+    def measure(ask: pa.Table, rows: pa.Table) -> pa.Table:
+        if not ask.num_rows or not rows.num_rows:
+            return pa.Table.from_batches([], schema=shape)
+        a, b = _ids(ask[query_id]), _ids(rows[train_id])
+        dist = pair_distances(column_matrix(ask[vector]), column_matrix(rows[vector]))
+        return pa.table([pa.array(np.repeat(a, len(b))), pa.array(np.tile(b, len(a))), pa.array(dist.ravel())], names=shape.names)
+
+    key = ["_q", "_t"]
+    return asking.groupBy(key).cogroup(known.groupBy(key)).applyInArrow(measure, f"{query_id} long, {train_id} long, distance double")
+
+
 def pairwise_distance(
     pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "embedding"
 ) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from dataprobe.operators.impact import flip_what_if, rerun_and_patch
 from dataprobe.operators.keyed import flip_labels
 from dataprobe.operators.models import fit_predict
-from dataprobe.operators.shapley import EPSILON, knn_shapley, last_rank, mislabel_candidates, values_from_index
-from dataprobe.operators.vectors import knn_retrieve
+from dataprobe.operators.shapley import knn_shapley, mislabel_candidates, values_of_all_ranks
+from dataprobe.operators.vectors import every_distance
 from dataprobe.plans.retrieval import Retrieval
 from dataprobe.session import written
 
@@ -24,8 +24,8 @@ class MislabelState:
     flipped: DataFrame
 
 
-def mislabel_round(train: DataFrame, test: DataFrame, n: int = 20, k: int = 1, epsilon: float = EPSILON) -> MislabelState:
-    """Value every training row (train_id, label, embedding) and pick the n lowest.
+def mislabel_round(train: DataFrame, test: DataFrame, n: int = 20, k: int = 1, epsilon: float = 0.0) -> MislabelState:
+    """Value every training row (train_id, label, embedding) and pick the n lowest; exact unless a bound is given.
 
     ``test`` holds (prediction_id, truth, embedding).  The candidates are n rows and are written, so the
     valuation runs once.
@@ -36,18 +36,16 @@ def mislabel_round(train: DataFrame, test: DataFrame, n: int = 20, k: int = 1, e
     return MislabelState(candidates, flip_labels(train.select("train_id", "label"), candidates, "train_id", "label"))
 
 
-def value_index(train: DataFrame, test: DataFrame, k: int = 1, epsilon: float = EPSILON) -> DataFrame:
-    """The neighbour index that truncated values need, written for reuse under label edits."""
+def value_index(train: DataFrame, test: DataFrame) -> DataFrame:
+    """The distances of every pair, written for reuse under label edits: these move no neighbour."""
     points = test.select(F.col("prediction_id").alias("test_id"), "embedding")
-    return written(knn_retrieve(points, train, last_rank(k, epsilon), "test_id"), "value_index")
+    return written(every_distance(points, train, "test_id"), "value_index")
 
 
-def mislabel_round_from_index(
-    index: DataFrame, labels: DataFrame, truth: DataFrame, n: int = 20, k: int = 1, epsilon: float = EPSILON
-) -> MislabelState:
-    """Value the rows from a stored index with the labels as they are now (first round or recheck)."""
+def mislabel_round_from_index(index: DataFrame, labels: DataFrame, truth: DataFrame, n: int = 20, k: int = 1) -> MislabelState:
+    """Value the rows from stored distances with the labels as they are now (first round or recheck)."""
     asked = truth.select(F.col("prediction_id").alias("test_id"), F.col("truth").alias("label"))
-    values = values_from_index(index, labels.select("train_id", "label"), asked, k, last_rank(k, epsilon))
+    values = values_of_all_ranks(index, labels.select("train_id", "label"), asked, k)
     rounded = values.withColumn("shapley_value", F.round("shapley_value", 9))
     candidates = written(mislabel_candidates(rounded, n), "candidates")
     return MislabelState(candidates, flip_labels(labels.select("train_id", "label"), candidates, "train_id", "label"))

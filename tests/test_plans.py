@@ -92,7 +92,7 @@ def test_values_from_a_stored_index_follow_a_label_edit(spark, folder):
     index = mislabel.value_index(train, test)
     edited = train.withColumn("label", F.when(F.col("train_id") % 7 == 0, 1 - F.col("label")).otherwise(F.col("label")))
     again = mislabel.mislabel_round_from_index(index, edited, test).candidates.select("train_id")
-    assert rows(again) == rows(mislabel.mislabel_round(edited, test, epsilon=0.02).candidates.select("train_id"))
+    assert rows(again) == rows(mislabel.mislabel_round(edited, test).candidates.select("train_id"))
 
 
 def test_truncated_values_find_the_same_rows(spark, folder):
