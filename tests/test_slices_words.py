@@ -43,6 +43,43 @@ def test_no_error_no_slice(spark):
     assert slices.slice_mask(df, found, ["lang", "country"]).filter("in_slice").count() == 0
 
 
+def all_slices(data, features, max_l, alpha, min_sup):
+    """Every slice and its score, in the order of the report."""
+    import itertools
+
+    n, whole, out = len(data), sum(r[-1] for r in data), []
+    for level in range(1, max_l + 1):
+        for chosen in itertools.combinations(range(features), level):
+            groups = {}
+            for r in data:
+                groups.setdefault(tuple(r[i] for i in chosen), []).append(r[-1])
+            for values, errors in groups.items():
+                size, error = len(errors), sum(errors)
+                score = alpha * (n / size * error / whole - 1) - (1 - alpha) * (n / size - 1)
+                if size >= min_sup and error > 0 and score > 0:
+                    row = [(i not in chosen, "" if i not in chosen or values[chosen.index(i)] is None else values[chosen.index(i)]) for i in range(features)]
+                    out.append((-round(score, 9), row, size, error))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k,min_sup", [(1, 1), (5, 20), (8, 60)])
+def test_pruned_search_equals_all_slices(spark, k, min_sup):
+    rng = random.Random(k)
+    names = [f"f{i}" for i in range(10)]
+    data = []
+    for _ in range(1500):
+        row = [rng.choice("abc") if i % 2 else rng.choice(["x", "y", None]) for i in range(10)]
+        bad = row[1] == "a" and row[4] == "x" and row[7] == "b"
+        data.append((*row, int(rng.random() < (0.9 if bad else 0.05))))
+    df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in names) + ", err int")
+    found, counted = slices.slice_search(df, names, "err", k, 3, 0.95, min_sup)
+    got = [(-round(r["score"], 9), [(r[f"{c}_any"], r[c] or "") for c in names], r["slice_rows"], r["slice_err"]) for r in found.collect()]
+    assert got == all_slices(data, 10, 3, 0.95, min_sup)[:k]
+    whole, every = slices.slice_search(df, names, "err", k, 3, 0.95, min_sup, prune=False)
+    assert rows(whole) == rows(found)
+    assert counted[0] == every[0] == 30 and counted[1] <= every[1] and counted[2] < every[2]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
