@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.functions.draws import seeded_uniform
@@ -42,3 +44,42 @@ def spread_lookup(rows: DataFrame, table: DataFrame, key: str, row_key: list[str
         "_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1))
     )
     return dealt.drop("_copies").join(copied.drop("_copies"), [key, "_piece"], "left").drop("_piece")
+
+
+# A membership filter has at most this many 64-bit slots (2 MB), whatever the number of keys: more keys only pass more often.
+FILTER_SLOTS = 1 << 18
+_HASHES = 3
+
+
+def _bit(key: Column, i: int, slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(i), key), F.lit(slots * 64))
+
+
+def _one(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+
+
+def membership(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that is true for every key of the stored table ``keys`` and for few others (a Bloom filter).
+
+    It is one bounded array, made by the cluster and used inside generated code, so rows without a match are dropped
+    where they are read.
+    """
+    rows = keys.count()
+    slots = 1
+    while slots < FILTER_SLOTS and slots * 64 < 12 * rows:
+        slots *= 2
+    bits = keys.select(F.explode(F.array(*[_bit(F.col(key), i, slots) for i in range(_HASHES)])).alias("bit"))
+    filled = bits.groupBy((F.col("bit") / 64).cast("long").alias("slot")).agg(F.bit_or(_one(F.col("bit"))).alias("bits"))
+    every = keys.sparkSession.range(slots).withColumnRenamed("id", "slot").join(filled, "slot", "left")
+    listed = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    shown = every.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")).scalar()
+
+    def may_hold(value: Column) -> Column:
+        out = value.isNotNull()
+        for i in range(_HASHES):
+            bit = _bit(value, i, slots)
+            out = out & (F.get(shown, (bit / 64).cast("int")).bitwiseAND(_one(bit)) != 0)
+        return out
+
+    return may_hold
