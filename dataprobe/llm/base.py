@@ -21,7 +21,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with neutral column names and the names by the original ones, so that no result's name clashes."""
     names = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
-    return docs.withColumnsRenamed(names), names
+    return docs.toDF(*names.values()), names  # by place: a column may itself have such a name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.base import NON_WORD, ascii_lower, split_words
+from dataprobe.llm.base import NON_WORD, ascii_lower, masked, split_words
 from dataprobe.session import written
 
 NGRAM = 10
@@ -100,8 +100,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without benchmark passages: cut out of the text, or with the document where they are most of it.
 
     A cut removes the words of the passage and what separates each from the next word.  Texts without a hit are
-    returned as they are.
+    returned as they are, null texts and repeated rows too; columns may have any names; an empty table gives an empty one.
     """
+    columns = docs.columns
+    docs, names = masked(docs)
+    id_col, text = names[id_col], names[text]
     found = hits(docs, benchmark, id_col, text, ngram).filter(F.size("spans") > 0).withColumn("share", _covered(F.col("spans")) / F.col("n_words"))
     hit = written(found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"), F.col("share").alias("_share")), "hits")
     own = F.col(f"`{text}`")
@@ -110,4 +113,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     outside = F.filter(pieces, lambda p, i: ~F.exists("_spans", lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["length"])))
     cut = F.when(F.col("_share").isNull(), own).otherwise(F.concat(lead, F.array_join(outside, "")))
     marked = docs.withColumn("_text_key", F.xxhash64(own)).join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    return marked.filter(F.coalesce(F.col("_share") <= drop_share, F.lit(True))).select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return marked.filter(F.coalesce(F.col("_share") <= drop_share, F.lit(True))).select(*[(cut if names[c] == text else F.col(names[c])).alias(c) for c in columns])

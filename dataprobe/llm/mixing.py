@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.functions.draws import seeded_uniform
+from dataprobe.llm.base import masked
 from dataprobe.session import written
 
 PERIOD = 200
@@ -180,6 +181,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     """
     added = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_place"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    docs, own = masked(docs)
+    source, id_col, text, keep = own[source], own[id_col], own[text], {own[c]: c for c in keep}
     clock = written(period_schedule(written(size_weights(docs, source), "weights") if weights is None else weights), "schedule")
     need = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, source, id_col, text])])
     # texts take part in the draw by their hash alone and are not carried through the ranking unless asked for
@@ -196,6 +199,6 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     out = timed.join(F.broadcast(c) if small else c, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_turn_of") == F.col("_turn")))
     shift = F.col("_round") * F.col("_period")
     return out.select(
-        *[F.col(f"`{k}`") for k in keep], "mix_block", (shift + F.col("_slot")).alias("mix_slot"), (shift + F.col("_release")).alias("mix_release"),
+        *[F.col(k).alias(c) for k, c in keep.items()], "mix_block", (shift + F.col("_slot")).alias("mix_slot"), (shift + F.col("_release")).alias("mix_release"),
         (shift + F.col("_deadline")).alias("mix_deadline"), "mix_place",
     )

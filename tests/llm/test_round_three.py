@@ -259,3 +259,20 @@ def test_held_out_accuracy(spark, folder):
     labels = [r for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["doc_id"] in found]
     right = [found[r["doc_id"]]["predicted"] == r["toxic"] for r in labels if found[r["doc_id"]]["held_out"]]
     assert sum(right) >= 0.9 * len(right)
+
+
+# ---- columns with the names of what operators make -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["_id", "_key", "_share", "_spans", "_text_key", "_slot", "_source", "_bucket", "_rank", "_draw", "_turn", "_s", "_b", "_own1", "share", "hash"])
+def test_clashing_columns(spark, folder, name):
+    from dataprobe.llm import decontaminate, mixing
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    more = docs.withColumn(name, F.concat(F.lit("mine "), "doc_id"))
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    for run in (lambda d: decontaminate.decontaminate(d, benchmark), mixing.mix):
+        plain, clash = run(docs), run(more)
+        assert set(clash.columns) == {*plain.columns, name}
+        assert {r["doc_id"]: r[name] for r in clash.collect()} == {r["doc_id"]: f"mine {r['doc_id']}" for r in plain.collect()}
+        assert sorted(map(str, clash.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
