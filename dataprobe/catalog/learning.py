@@ -14,7 +14,7 @@ from dataprobe.catalog.analyses import SQL_FLIP, sql_robust
 from dataprobe.catalog.registry import SEED, SQL_VEC_SPLIT, VOCAB_MIN, doc_features, packed, query, sql_features, sql_packed, sql_vote, table, u, vec_split, with_
 from dataprobe.catalog.texts import SQL_WORD, lexicon
 from dataprobe.functions.draws import seeded_uniform
-from dataprobe.operators import explain, models, wordfix
+from dataprobe.operators import explain, features, models, wordfix
 from dataprobe.operators.predict import vote_from_index
 from dataprobe.operators.vectors import knn_retrieve
 from dataprobe.plans import fairness, mislabel, robustness, trained
@@ -28,6 +28,26 @@ def ml_text_features(spark, d):
     return rows.select("doc_id", packed("embedding").alias("features"), F.size("embedding").cast("long").alias("dims"))
 
 
+_BARE = "regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("ml_text_features_weighted", f"""
+  with t as (select doc_id, unnest(case when {_BARE} = '' then [] else string_split_regex({_BARE}, '\\s+') end) as token from documents),
+  c as (select doc_id, token, count(*) as n from t group by all),
+  f as (select token, count(*) as docs from c where doc_id % 7 <> 0 group by token),
+  r as (select doc_id, token, n * (ln((1.0::double + (select count(*) from documents where doc_id % 7 <> 0)) / (1.0::double + coalesce(docs, 0))) + 1.0::double) as weight
+        from c left join f using (token) where doc_id in (select doc_id from labels))
+  select doc_id, token, round(weight / sqrt(sum(weight * weight) over (partition by doc_id)), 6) as weight from r""")
+def ml_text_features_weighted(spark, d):
+    """Words of the labelled documents by weight, with frequencies to which texts were added and from which texts went."""
+    rows = table(spark, d, "documents", "doc_id").select("doc_id", "text")
+    part = lambda i: features.document_frequencies(rows.filter(F.col("doc_id") % 7 == i), "text")
+    known = features.document_frequencies(rows.filter(F.col("doc_id") % 7 != 1), "text")
+    now = written(features.merged_frequencies(known, part(1), part(0)), "frequencies")
+    judged = rows.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return features.weighted_words(judged, "doc_id", "text", now).withColumn("weight", F.round("weight", 6))
+
+
 # ---- learners: what SQL can say about a model: who was predicted, a known class, and that it fits its own rows ------
 
 _JUDGED = "select prediction_id, true as known_class, true as has_learned from te"

@@ -12,7 +12,7 @@ from dataprobe.functions import text as T
 from dataprobe.functions.draws import seeded_uniform
 from dataprobe.functions.labels import rule_label
 from dataprobe.functions.prompts import parse_response
-from dataprobe.operators import features, memo, noise, predict, wordfix
+from dataprobe.operators import features, memo, noise, ordering, predict, wordfix
 from dataprobe.session import scratch_path, written
 
 CLASSES = ("anhedonia", "regular")
@@ -113,6 +113,13 @@ def ordered_string_agg(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(F.transform(F.array_sort(placed), lambda p: p["c"]), "").alias("joined"))
 
 
+@query("ordered_string_agg_rows", "select text as joined, doc_id from documents where text <> ''")
+def ordered_string_agg_rows(spark, d):
+    """The same from a table of (document, position, character) rows."""
+    rows = docs(spark, d).select("doc_id", F.posexplode(T.split_chars("text")).alias("pos", "c"))
+    return ordering.ordered_string_agg(rows, "doc_id", "pos", "c", "joined")
+
+
 @query(
     "fn_numeric",
     "select l_orderkey, l_linenumber, abs(l_discount - 1) as gap, l_orderkey % 26 as part, cast(floor(l_extendedprice) as bigint) as whole,"

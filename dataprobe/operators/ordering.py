@@ -93,3 +93,19 @@ def suffix_sum(ranked: DataFrame, query: str, value: str, rows_per_range: int =
     """Sum of ``value`` (not null) from this rank to the last one."""
     cut = scan.ranged(written(ranked, "ranked"), query, ["rank"], rows_per_range)
     return scan.with_suffix(cut, query, ["rank"], value, "suffix").drop("_range")
+
+
+def ordered_string_agg(df: DataFrame, group: str, order: str, value: str, name: str = "text", rows_per_range: int = scan.ROWS_PER_RANGE) -> DataFrame:
+    """(group, name): the strings of each group joined in their order.
+
+    A group of any size: large ones are joined range by range, then the ranges' strings.  Null strings are left out;
+    rows of equal order are taken by value; a group of nulls alone gives an empty string.
+    """
+    require(df, "ordered_string_agg", group, order, value)
+    joined = lambda what, by: F.coalesce(F.expr(f"listagg({what}, '') within group (order by {by})"), F.lit(""))
+    narrow = df.select(F.col(group).alias("_group"), F.col(order).alias("_order"), F.col(value).cast("string").alias("_value"))
+    cut = scan.ranged(written(narrow, "strings"), "_group", ["_order", "_value"], rows_per_range)
+    if "_range" not in cut.columns:
+        return cut.groupBy(F.col("_group").alias(group)).agg(joined("_value", "_order, _value").alias(name))
+    pieces = cut.groupBy("_group", "_range").agg(joined("_value", "_order, _value").alias("_piece"))
+    return pieces.groupBy(F.col("_group").alias(group)).agg(joined("_piece", "_range").alias(name))

@@ -199,3 +199,43 @@ def test_scratch_has_a_folder_of_its_own(spark):
     one, other = scratch_path(spark, "t"), scratch_path(spark, "t")
     assert one != other and all(p.startswith(scratch_root(spark) + "/") for p in (one, other))
     assert spark.sparkContext.applicationId in scratch_root(spark)
+
+
+def test_strings_of_a_large_group_are_joined_in_order(spark):
+    from dataprobe.operators.ordering import ordered_string_agg
+
+    text = "".join(chr(97 + i * i % 26) for i in range(900))
+    data = [(1, i, c) for i, c in enumerate(text)] + [(2, 5, "b"), (2, 1, None), (2, 3, "a"), (2, 3, "A"), (None, 1, "x"), (3, 1, None)]
+    df = spark.createDataFrame(data, "g long, pos long, c string").repartition(6)
+    for size in (100, 10**6):
+        assert dict(rows(ordered_string_agg(df, "g", "pos", "c", rows_per_range=size))) == {1: text, 2: "Aab", None: "x", 3: ""}
+
+
+def test_frequencies_follow_texts_that_come_and_go(spark):
+    import math
+
+    from dataprobe.operators import features
+
+    texts = [(1, "a b b"), (2, "A c"), (3, None), (4, " "), (5, "b d d"), (6, "a")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    part = lambda *ids: features.document_frequencies(df.filter(df["id"].isin(*ids)), "text")
+    now = features.merged_frequencies(part(1, 2, 3, 5), added=part(4, 6), removed=part(2, 5))
+    assert rows(now) == rows(part(1, 3, 4, 6)) and dict(rows(now)) == {None: 4, "a": 2, "b": 1}
+    got = {(r["id"], r["token"]): r["weight"] for r in features.weighted_words(df, "id", "text", now).collect()}
+    raw = {"a": math.log(5 / 3) + 1, "b": 2 * (math.log(5 / 2) + 1)}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    assert abs(got[1, "a"] - raw["a"] / norm) < 1e-12 and abs(got[1, "b"] - raw["b"] / norm) < 1e-12
+    assert {k for k, _ in got} == {1, 2, 5, 6}
+
+
+def test_membership_filter_holds_every_key(spark):
+    from dataprobe.operators.lookup import membership
+    from dataprobe.session import written
+
+    keys = written(spark.range(3000).selectExpr("concat('k', id) as k"), "keys")
+    may_hold = membership(keys, "k")
+    assert keys.filter(may_hold(keys["k"])).count() == 3000
+    others = spark.range(3000).selectExpr("concat('other', id) as k")
+    assert others.filter(may_hold(others["k"])).count() < 300
+    nothing = membership(keys.limit(0), "k")
+    assert keys.filter(nothing(keys["k"])).count() == 0
