@@ -9,7 +9,7 @@
 3. Cuts.  The removed starts come back per document and become byte ranges.
 
 Copies of a whole text are one text with the smallest id from step 2 on; all others of the group are removed whole.
-Buckets follow the bytes of the corpus (about 8 MB each), and a bucket sorts at most ``_SORTED`` bytes at a time, or
+Buckets follow the bytes of the corpus (about 5 MB each), and a bucket sorts at most ``_SORTED`` bytes at a time, or
 one name's texts.  A name holds only distinct texts around one 24-byte string.
 
 Null texts are empty; texts under 50 bytes lose nothing.  Rows with a null id are neither removed nor a reason to
@@ -33,7 +33,7 @@ from dataprobe.llm.runs import LENGTH, runs
 from dataprobe.llm.suffixes import ranks
 
 _BLOCK = 8 << 20
-_BUCKET = 8 << 20
+_BUCKET = 5 << 20
 _SORTED = 1 << 20
 _PART = 1 << 20
 _TAIL = LENGTH - 1
