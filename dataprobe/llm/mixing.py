@@ -6,24 +6,24 @@ released block with the earliest deadline (ties: the smaller source name).  One
 weights add up to one, so earliest-deadline-first meets every deadline, and at any time every source is less than one
 block away from its share.
 
-Weights are whole numbers of slots per period, so the schedule repeats after one period and only one is computed.  A
-period has ``PERIOD`` slots, or as many more as give the smallest source ``MIN_SLOTS``: rounding to half a slot then
-changes no target by more than ``1 / (2 * MIN_SLOTS)`` of itself (and the sum of all, by which it is divided, by no
-more than that).  The bound of one block holds for the rounded weights.  Small schedules are folded in an expression;
-others go through a heap, one task that streams the slots in order.  Ranks within a source come from counts of hash
-buckets; no source is ranked by one task.
-
-When a source runs out, its later slots stay empty and the others keep theirs: no document is left out or repeated.
-A null source is a source of its own, named by null.  Null ids, null texts and repeated rows are documents like
-others (rows that share id and text have an arbitrary order among them).
+A weight is a whole number over the sum of all, and windows are whole-number arithmetic on it, so no rounding adds up
+over a long stream.  Default weights are powers of sizes in units of 1 / ``UNIT``.
+
+Time is cut into segments that are scheduled apart from each other.  A segment is longer than the longest window, so a
+block's window meets at most one border.  Which of the blocks that straddle a border T come before it is decided from
+the border alone, earliest deadline first, as long as for every s < T the blocks that must run in [s, T) still fit in
+T - s slots.  Some choice leaves every later block in time (the endless schedule makes one), what fits before the
+border is a laminar matroid, and a greedy choice of a matroid has the most members among the first deadlines of any
+length: so it leaves every later block in time, too.  All windows are then met inside each segment.
+
+When a source runs out, its slots go to no one unless a released block can use them: no document is left out or
+repeated.  A null source is a source of its own, named by null.  Null ids, null texts and repeated rows are documents
+like others (rows that share id and text have an arbitrary order among them).  An empty table gives an empty result.
+A segment's list grows with the ratio of the total to the smallest weight, a border's with the number of sources.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from heapq import heappop, heappush
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,126 +31,128 @@ from dataprobe.functions.draws import seeded_uniform
 from dataprobe.llm.base import masked
 from dataprobe.session import written
 
-PERIOD = 200
-MIN_SLOTS = 8
-# slots times sources that are folded in one expression, whose cost follows that product
-FOLD = 20_000
-# schedules up to so many slots are broadcast
-BROADCAST_SLOTS = 100_000
-_ROWS = 1 << 16
+UNIT = 1 << 30
+# slots of a segment; more where the smallest weight's windows are longer
+SEGMENT = 4096
+# blocks that one row lists before they become rows
+_RUN = 4096
 BLOCK_DOCS = 16
 # a bucket of a source holds about this many documents
 BUCKET_DOCS = 1024
 SEED = 17
 
 
-def size_weights(docs: DataFrame, source: str = "source", power: float = 0.5, period: int = PERIOD) -> DataFrame:
-    """(source, slots): weights proportional to a power of the source's documents, in slots of a period.
+def _source_counts(docs: DataFrame, source: str) -> DataFrame:
+    return docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
-    A period has about ``period`` slots, or so many that the smallest source has ``MIN_SLOTS`` before rounding.
-    """
-    counts = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    size = lambda n: F.pow(n.cast("double"), F.lit(power))
-    # one entry per different size: their number is below the root of twice the documents; summed in a fixed order
-    listed = counts.groupBy("n").agg(F.count(F.lit(1)).alias("sources")).agg(F.array_sort(F.collect_list(F.struct("n", "sources"))).alias("all"))
-    whole = listed.select(
-        F.aggregate("all", F.lit(0.0), lambda acc, x: acc + x["sources"] * size(x["n"])).alias("whole"), F.array_min(F.transform("all", lambda x: size(x["n"]))).alias("least")
-    )
-    each = counts.crossJoin(F.broadcast(whole))
-    slots = F.greatest(F.lit(period), F.ceil(MIN_SLOTS * F.col("whole") / F.col("least")))
-    return each.select("source", F.greatest(F.round(size(F.col("n")) / F.col("whole") * slots), F.lit(1.0)).cast("int").alias("slots"))
 
+def _power_weights(counts: DataFrame, power: float) -> DataFrame:
+    return counts.select("source", F.greatest(F.round(F.pow(F.col("n").cast("double"), F.lit(power)) * UNIT), F.lit(1.0)).cast("bigint").alias("slots"))
 
-def period_schedule(weights: DataFrame) -> DataFrame:
-    """(source, turn, slot, release, deadline, period): the earliest-deadline-first schedule of one period.
 
-    ``weights(source, slots)`` is the mixture's definition: one row per source.  A small one is folded slot by slot
-    inside one expression; the state is the next turn of each source.
-    """
-    sources, total = weights.filter("slots > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("slots"), F.lit(0))).first()
-    if sources * total > FOLD:
-        return _heap_schedule(weights.filter("slots > 0"))
-    listed = weights.filter("slots > 0").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("source"), F.lit("")).alias("name"), F.col("source").isNull().alias("none"), F.col("slots").alias("q")))).alias("s"),
-        F.sum("slots").cast("int").alias("p"),
+def size_weights(docs: DataFrame, source: str = "source", power: float = 0.5) -> DataFrame:
+    """(source, slots): weights proportional to a power of the source's documents, as whole numbers."""
+    return _power_weights(_source_counts(docs, source), power)
+
+
+def _whole(x: Column) -> Column:
+    return x.cast("decimal(18,0)")
+
+
+def _release(k: Column, q: Column, p: Column) -> Column:
+    """floor(k p / q)."""
+    return F.call_function("div", k.cast("decimal(20,0)") * _whole(p), _whole(q))
+
+
+def _deadline(k: Column, q: Column, p: Column) -> Column:
+    """ceil((k + 1) p / q)."""
+    return F.call_function("div", (k + 1).cast("decimal(20,0)") * _whole(p) + _whole(q) - F.lit(1), _whole(q))
+
+
+def _borders(sources: DataFrame, segment: int, last: int) -> DataFrame:
+    """(border, name, none): the sources whose straddling block comes before the border ``segment * border``."""
+    listed = sources.agg(F.collect_list(F.struct("q", "name", "none")).alias("s"), F.max("p").alias("p"))
+    t, p = F.col("t"), F.col("p")
+    at = sources.sparkSession.range(1, last).select(F.col("id").alias("border"), (F.col("id") * segment).alias("t")).crossJoin(F.broadcast(listed))
+    # blocks that are due at t, and those that a source has begun to be owed
+    low = lambda q, when: F.call_function("div", _whole(q) * when.cast("decimal(20,0)"), _whole(p))
+    high = lambda q, when: F.call_function("div", _whole(q) * when.cast("decimal(20,0)") + _whole(p) - F.lit(1), _whole(p))
+    due = at.withColumn("due", F.transform("s", lambda x: F.struct(x["q"].alias("q"), low(x["q"], t).alias("low"), high(x["q"], t).alias("high"), x["name"].alias("name"), x["none"].alias("none"))))
+    open_ = F.transform(
+        F.filter("due", lambda x: x["low"] < x["high"]),
+        lambda x: F.struct(_deadline(x["low"], x["q"], p).alias("deadline"), x["name"].alias("name"), x["none"].alias("none"), _release(x["low"], x["q"], p).alias("release")),
     )
-    # release floor(k p / q) and deadline ceil((k + 1) p / q) in whole numbers
-    release = lambda k, q: F.call_function("div", k * F.col("p"), q).cast("int")
-    deadline = lambda k, q: F.call_function("div", (k + 1) * F.col("p") + q - 1, q).cast("int")
-    first = F.struct(F.transform("s", lambda x: F.lit(0)).alias("next"), F.array().cast("array<struct<i:int,turn:int,slot:int>>").alias("out"))
-
-    def step(acc: Column, slot: Column) -> Column:
-        due = F.transform(
-            "s",
-            lambda x, i: F.struct(
-                F.when((F.get(acc["next"], i) < x["q"]) & (release(F.get(acc["next"], i), x["q"]) <= slot), deadline(F.get(acc["next"], i), x["q"])).alias("by"),
-                i.alias("i"),
-            ),
-        )
-        pick = F.array_min(F.filter(due, lambda x: x["by"].isNotNull()))["i"]
-        taken = F.struct(pick.alias("i"), F.get(acc["next"], pick).alias("turn"), slot.cast("int").alias("slot"))
-        return F.struct(
-            F.transform(acc["next"], lambda k, i: F.when(i == pick, k + 1).otherwise(k)).alias("next"),
-            F.concat(acc["out"], F.array(taken)).alias("out"),
+    total = lambda array, of: F.aggregate(array, F.lit(0).cast("bigint"), lambda acc, x: acc + of(x))
+    known = due.select("border", "t", "p", "due", F.array_sort(open_).alias("open"), (t - total("due", lambda x: x["low"])).alias("left"))
+    rooms = F.transform(
+        F.array_distinct(F.transform("open", lambda x: x["release"])),
+        lambda s: F.struct(s.alias("s"), (t - s - total("due", lambda x: F.greatest(F.lit(0).cast("bigint"), x["low"] - high(x["q"], s)))).alias("room")),
+    )
+    state = F.struct(F.col("rooms"), F.col("left"), F.array().cast("array<struct<name:string,none:boolean>>").alias("picked"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (acc["left"] > 0) & ~F.exists(acc["rooms"], lambda r: (r["s"] <= x["release"]) & (r["room"] <= 0))
+        taken = F.struct(
+            F.transform(acc["rooms"], lambda r: F.struct(r["s"].alias("s"), F.when(r["s"] <= x["release"], r["room"] - 1).otherwise(r["room"]).alias("room"))).alias("rooms"),
+            (acc["left"] - 1).alias("left"),
+            F.concat(acc["picked"], F.array(F.struct(x["name"].alias("name"), x["none"].alias("none")))).alias("picked"),
         )
-
-    # bounds as attributes of the row: sequence() of a table without sources must not be asked for
-    slots = F.sequence(F.lit(0), F.col("p") - 1)
-    run = listed.filter("p > 0").select("s", "p", F.explode(F.aggregate(slots, first, step, lambda acc: acc["out"])).alias("t"))
-    x, turn = F.get("s", F.col("t.i")), F.col("t.turn")
-    return run.select(
-        F.when(~x["none"], x["name"]).alias("source"), turn.alias("turn"), F.col("t.slot").alias("slot"),
-        release(turn, x["q"]).alias("release"), deadline(turn, x["q"]).alias("deadline"), F.col("p").alias("period"), x["q"].alias("slots"),
+        return F.when(fits, taken).otherwise(acc)
+
+    chosen = known.withColumn("rooms", rooms).select("border", F.explode(F.aggregate("open", state, step, lambda acc: acc["picked"])).alias("x"))
+    return chosen.select("border", "x.name", "x.none")
+
+
+def block_schedule(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(source, turn, slot, release, deadline): the slot of every block, for ``blocks(source, slots, blocks)`` with one
+    row per source, its whole-number weight and how many blocks it has."""
+    live = blocks.filter("slots > 0")
+    named = live.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"), F.col("source").isNull().alias("none"), F.col("slots").cast("bigint").alias("q"), F.col("blocks").cast("bigint").alias("blocks"))
+    whole = F.broadcast(named.agg(F.coalesce(_whole(F.sum(F.col("q").cast("decimal(18,0)"))), F.lit(0).cast("decimal(18,0)")).alias("p")))
+    sources = written(named.crossJoin(whole), "sources")  # one row of totals
+    # driver: one row
+    longest, end = sources.agg(F.max(_deadline(F.lit(0), F.col("q"), F.col("p"))), F.max(_deadline(F.col("blocks") - 1, F.col("q"), F.col("p")))).first()
+    segment = max(segment, (longest or 0) + 2)
+    last = -(-(end or 0) // segment)
+    q, p, k = F.col("q"), F.col("p"), F.col("turn")
+    runs = sources.filter("blocks > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1, F.lit(_RUN).cast("bigint"))).alias("from")).repartition("name", "none", "from")
+    jobs = runs.select("name", "none", "q", "p", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + _RUN, F.col("blocks")) - 1)).alias("turn"))
+    jobs = jobs.select("name", "none", "turn", _release(k, q, p).alias("release"), _deadline(k, q, p).alias("deadline"))
+    jobs = jobs.withColumn("first", F.call_function("div", F.col("release"), F.lit(segment))).withColumn("border", F.call_function("div", F.col("deadline") - 1, F.lit(segment)))
+    if last > 1:
+        chosen = _borders(sources, segment, last).withColumn("before", F.lit(True))
+        jobs = jobs.join(chosen, ["border", "name", "none"], "left")
+    else:
+        jobs = jobs.withColumn("before", F.lit(None).cast("boolean"))
+    jobs = jobs.withColumn("part", F.when((F.col("first") < F.col("border")) & F.col("before"), F.col("first")).otherwise(F.col("border")))
+    start = F.col("part") * segment
+    clipped = jobs.select(
+        "part", F.greatest("release", start).alias("from"),
+        F.struct(F.least("deadline", start + segment).alias("by"), "name", "none", "turn", "release", "deadline").alias("job"),
     )
+    # released together, then in order of release: until the next release, the earliest deadlines run
+    waves = clipped.groupBy("part", "from").agg(F.collect_list("job").alias("jobs")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("from", "jobs"))).alias("w"))
+    waves = waves.select("part", F.transform("w", lambda x, i: F.struct(x["from"].alias("from"), F.coalesce(F.get("w", i + 1)["from"], (F.col("part") + 1) * segment).alias("to"), x["jobs"].alias("jobs"))).alias("w"))
+    job = "struct<by:bigint,name:string,none:boolean,turn:bigint,release:bigint,deadline:bigint>"
+    zero = F.struct(F.array().cast(f"array<{job}>").alias("ready"), F.array().cast(f"array<struct<slot:bigint,job:{job}>>").alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        ready = F.array_sort(F.concat(acc["ready"], x["jobs"]))
+        room = (x["to"] - x["from"]).cast("int")
+        run = F.transform(F.slice(ready, F.lit(1), room), lambda j, i: F.struct((x["from"] + i).alias("slot"), j.alias("job")))
+        return F.struct(F.slice(ready, room + 1, F.size(ready) + 1).alias("ready"), F.concat(acc["out"], run).alias("out"))
 
-def earliest_first(slots: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(source, turn, slot, release, deadline) of a period, slot by slot; sources are positions in ``slots``."""
-    p = sum(slots)
-    # the next block of every source is in one of both: released ones by deadline, others by release
-    ready = [(-(-p // q), i, 0) for i, q in enumerate(slots)]
-    waiting: list[tuple[int, int, int]] = []
-    ready.sort()
-    for slot in range(p):
-        while waiting and waiting[0][0] <= slot:
-            _, i, turn = heappop(waiting)
-            heappush(ready, (-(-(turn + 1) * p // slots[i]), i, turn))
-        due, i, turn = heappop(ready)
-        yield i, turn, slot, turn * p // slots[i], due
-        if turn + 1 < slots[i]:
-            heappush(waiting, ((turn + 1) * p // slots[i], i, turn + 1))
-
-
-def _heap_schedule(weights: DataFrame) -> DataFrame:
-    """``period_schedule`` in time of slots times the logarithm of sources; one task holds the list of sources."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        rows.sort(key=lambda x: (x[0] or "", x[0] is None))
-        slots = [q for _, q in rows]
-        period, held = sum(slots), []
-
-        def made() -> pa.RecordBatch:
-            index, *numbers = zip(*held, strict=True)
-            columns = [pa.array([rows[i][0] for i in index], pa.string()), *[pa.array(x, pa.int64()) for x in numbers], pa.array([period] * len(held), pa.int64()), pa.array([slots[i] for i in index], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["source", "turn", "slot", "release", "deadline", "period", "slots"])
-
-        for x in earliest_first(slots):
-            held.append(x)
-            if len(held) == _ROWS:
-                yield made()
-                held = []
-        if held:
-            yield made()
-
-    one = weights.select(F.col("source").cast("string"), F.col("slots").cast("long")).repartition(1)
-    return one.mapInArrow(run, "source string, turn bigint, slot bigint, release bigint, deadline bigint, period bigint, slots bigint")
-
-
-def source_ranks(docs: DataFrame, source: str, id_col: str, text: str, seed: int = SEED, per_source: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``_rank``, the place of a row in its source's mixed order, from 0.
+    ran = waves.select(F.explode(F.aggregate("w", zero, step, lambda acc: acc["out"])).alias("x"))
+    return ran.select(F.when(~F.col("x.job.none"), F.col("x.job.name")).alias("source"), "x.job.turn", "x.slot", "x.job.release", "x.job.deadline")
+
+
+def period_schedule(weights: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """``block_schedule`` of as many blocks as each source's slots: a period, after which whole-number shares repeat."""
+    return block_schedule(weights.select("source", "slots", F.col("slots").alias("blocks")), segment)
 
-    Columns of ``per_source(_source, ...)`` come along with the offsets; rows of sources it does not name go.
+
+def source_ranks(docs: DataFrame, source: str, id_col: str, text: str, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``_rank``, the place of a row in its source's mixed order, from 0.
 
     Order: a keyed draw, then the id.  The range of draws is cut into buckets; counts of (source, bucket) give each
     bucket its offset, rows are ranked inside a bucket only, and the number of buckets follows the number of rows.
@@ -162,17 +164,13 @@ def source_ranks(docs: DataFrame, source: str, id_col: str, text: str, seed: int
     drawn = docs.withColumn("_draw", seeded_uniform(seed, named)).withColumn("_bucket", F.floor(F.col("_draw") * buckets))
     counts = drawn.groupBy(F.col(f"`{source}`").alias("_s"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_s", "_b", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    carried = []
-    if per_source is not None:
-        carried = [c for c in per_source.columns if c != "_source"]
-        offsets = offsets.join(per_source, F.col("_s").eqNullSafe(F.col("_source"))).drop("_source")
     inside = Window.partitionBy(F.col(f"`{source}`"), "_bucket").orderBy("_draw", F.col(f"`{id_col}`"))
     placed = drawn.withColumn("_in", F.row_number().over(inside) - 1)
     on = F.col(f"`{source}`").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))
-    return placed.join(offsets, on, "inner" if carried else "left").withColumn("_rank", F.col("_before") + F.col("_in")).drop("_draw", "_bucket", "_s", "_b", "_before", "_in")
+    return placed.join(offsets, on).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_draw", "_bucket", "_s", "_b", "_before", "_in")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, keep: list[str] | None = None, segment: int = SEGMENT) -> DataFrame:
     """``keep`` columns of every document with its block and time: (mix_block, mix_slot, mix_release, mix_deadline,
     mix_place).  Sorting by (mix_slot, mix_place) gives the mixed stream; ``mix_place`` counts within the block.
 
@@ -183,22 +181,22 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     docs, own = masked(docs)
     source, id_col, text, keep = own[source], own[id_col], own[text], {own[c]: c for c in keep}
-    clock = written(period_schedule(written(size_weights(docs, source), "weights") if weights is None else weights), "schedule")
+    counts = written(_source_counts(docs, source), "sizes")
+    weights = _power_weights(counts, 0.5) if weights is None else weights.select("source", "slots")
+    there = counts.withColumnRenamed("source", "_there")
+    # weights of sources without documents still take their share of the time
+    sized = weights.join(there, F.col("source").eqNullSafe(F.col("_there")), "left").select("source", "slots", F.ceil(F.coalesce(F.col("n"), F.lit(0)) / F.lit(block_docs)).alias("blocks"))
+    clock = written(block_schedule(sized, segment), "schedule")
     need = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, source, id_col, text])])
     # texts take part in the draw by their hash alone and are not carried through the ranking unless asked for
     slim = need.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, source, id_col])], F.xxhash64(F.col(f"`{text}`")).alias("_key"))
-    names = ["source", "turn", "slot", "release", "deadline", "period", "slots"]
-    c = clock.select(*[F.col(n).alias(f"_{n}") for n in names])
-    # a counted schedule of bounded size is broadcast; a larger one is met by source and turn, over which documents spread
-    small = clock.count() <= BROADCAST_SLOTS
-    per_source = c.filter("_turn = 0").select("_source", "_slots")
-    ranked = source_ranks(slim, source, id_col, "_key", per_source=F.broadcast(per_source) if small else per_source)
-    block = F.floor(F.col("_rank") / block_docs)
-    timed = ranked.withColumn("mix_block", block).withColumn("mix_place", (F.col("_rank") - block * block_docs).cast("int"))
-    timed = timed.withColumn("_turn_of", (F.col("mix_block") % F.col("_slots")).cast("int")).withColumn("_round", F.call_function("div", F.col("mix_block"), F.col("_slots"))).drop("_slots")
-    out = timed.join(F.broadcast(c) if small else c, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_turn_of") == F.col("_turn")))
-    shift = F.col("_round") * F.col("_period")
+    ranked = source_ranks(slim, source, id_col, "_key")
+    block = F.call_function("div", F.col("_rank"), F.lit(block_docs))
+    timed = ranked.withColumn("mix_block", block).withColumn("mix_place", (F.col("_rank") - F.col("mix_block") * block_docs).cast("int"))
+    c = clock.select(*[F.col(n).alias(f"_{n}") for n in ("source", "turn", "slot", "release", "deadline")])
+    # written, so its size is known to the planner; many rows meet it by (source, block), over which a hot source spreads
+    out = timed.join(c, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("mix_block") == F.col("_turn")))
     return out.select(
-        *[F.col(k).alias(c) for k, c in keep.items()], "mix_block", (shift + F.col("_slot")).alias("mix_slot"), (shift + F.col("_release")).alias("mix_release"),
-        (shift + F.col("_deadline")).alias("mix_deadline"), "mix_place",
+        *[F.col(k).alias(c) for k, c in keep.items()], "mix_block", F.col("_slot").alias("mix_slot"), F.col("_release").alias("mix_release"),
+        F.col("_deadline").alias("mix_deadline"), "mix_place",
     )

@@ -107,25 +107,26 @@ select page_id, strlen(html)::bigint as payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(html), (5 * i) // 4 + 1, 2))::int >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '') as payload_digest,
        case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id < last then last end as refers_to from p"""
 
-# ---- 9: the schedule slot by slot ----------------------------------------------------------------------------------
+# ---- 9: the schedule slot by slot, in one segment, as these tables need ----------------------------------------------------------------------------------
 
 MIXING = f"""
-with recursive n as (select source, sqrt(count(*)::double) as size from documents group by source),
-q as (select source, greatest(round(size / (select sum(size) from n) * {mixing.PERIOD}), 1)::int as q from n),
-s as materialized (select list(source order by coalesce(source, ''), source is null) as names, list(q order by coalesce(source, ''), source is null) as q, sum(q)::int as p from q),
+with recursive n as (select source, count(*) as n from documents group by source),
+q as (select source, round(pow(n::double, 0.5) * {mixing.UNIT})::hugeint as q, ((n + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS})::hugeint as blocks from n),
+s as materialized (select list(source order by coalesce(source, ''), source is null) as names, list(q order by coalesce(source, ''), source is null) as q,
+                          list(blocks order by coalesce(source, ''), source is null) as blocks, sum(q)::hugeint as p from q),
+ends as materialized (select max((blocks * (select p from s) + q - 1) // q) as last from q),
 run as (
-  select -1 as slot, 0 as pick, list_transform(q, lambda x: 0) as nxt from s
+  select -1::bigint as slot, 0::bigint as pick, list_transform(q, lambda x: 0::hugeint) as nxt from s
   union all
   select slot, pick, list_transform(nxt, lambda x, i: case when i = pick then x + 1 else x end) from (
-    select r.slot + 1 as slot, r.nxt, list_min(list_filter(list_transform(range(1, len(s.q) + 1),
-             lambda i: case when r.nxt[i] < s.q[i] and r.nxt[i] * s.p // s.q[i] <= r.slot + 1 then (((r.nxt[i] + 1) * s.p + s.q[i] - 1) // s.q[i]) * 100000 + i end), lambda x: x is not null)) % 100000 as pick
-    from run r, s where r.slot + 1 < s.p)),
-clock as (select s.names[pick] as source, s.q[pick] as q, s.p as p, nxt[pick] - 1 as turn, slot from run, s where slot >= 0),
+    select r.slot + 1 as slot, r.nxt, (list_min(list_filter(list_transform(range(1, len(s.q) + 1),
+             lambda i: case when r.nxt[i] < s.blocks[i] and r.nxt[i] * s.p // s.q[i] <= r.slot + 1 then (((r.nxt[i] + 1) * s.p + s.q[i] - 1) // s.q[i]) * 100000 + i end), lambda x: x is not null)) % 100000)::bigint as pick
+    from run r, s, ends where r.slot + 1 < ends.last)),
+clock as (select s.names[pick] as source, nxt[pick] - 1 as turn, slot, ((nxt[pick] - 1) * s.p // s.q[pick])::bigint as release, ((nxt[pick] * s.p + s.q[pick] - 1) // s.q[pick])::bigint as deadline
+          from run, s where slot >= 0 and pick is not null),
 ranked as (select doc_id, source, row_number() over (partition by source order by cast('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', doc_id)), 1, 8) as bigint), doc_id) - 1 as k from documents)
-select doc_id, r.source as source, k // {mixing.BLOCK_DOCS} as mix_block, (k // {mixing.BLOCK_DOCS}) // q * p + slot as mix_slot,
-       (k // {mixing.BLOCK_DOCS}) // q * p + turn * p // q as mix_release, (k // {mixing.BLOCK_DOCS}) // q * p + ((turn + 1) * p + q - 1) // q as mix_deadline,
-       (k % {mixing.BLOCK_DOCS})::int as mix_place
-from ranked r join clock c on c.source is not distinct from r.source and c.turn = (k // {mixing.BLOCK_DOCS}) % q"""
+select doc_id, r.source as source, k // {mixing.BLOCK_DOCS} as mix_block, slot as mix_slot, release as mix_release, deadline as mix_deadline, (k % {mixing.BLOCK_DOCS})::int as mix_place
+from ranked r join clock c on c.source is not distinct from r.source and c.turn = k // {mixing.BLOCK_DOCS}"""
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY, "op2_suffix_dedup": SUFFIX, "op3_decontaminate": CONTAMINATION, "op4_chat_rotation": CHAT,

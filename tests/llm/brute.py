@@ -135,13 +135,16 @@ def url(value):
     return host, path, best[1], best[2]
 
 
-def schedule(slots):
-    """Earliest deadline first over one period: {(source, turn): slot} for {source: slots}."""
-    p, nxt, out = sum(slots.values()), dict.fromkeys(slots, 0), {}
+def schedule(slots, blocks=None):
+    """Earliest deadline first: {(source, turn): slot} for {source: slots} and as many blocks, by default a period's."""
+    p, nxt, out, slot = sum(slots.values()), dict.fromkeys(slots, 0), {}, 0
+    blocks = blocks or slots
     names = sorted(slots, key=lambda s: s or "")
-    for t in range(p):
-        ready = [(-(-(nxt[s] + 1) * p // slots[s]), i) for i, s in enumerate(names) if nxt[s] < slots[s] and nxt[s] * p // slots[s] <= t]
-        s = names[min(ready)[1]]
-        out[s, nxt[s]] = t
-        nxt[s] += 1
+    while len(out) < sum(blocks.values()):
+        ready = [(-(-(nxt[s] + 1) * p // slots[s]), i) for i, s in enumerate(names) if nxt[s] < blocks[s] and nxt[s] * p // slots[s] <= slot]
+        if ready:
+            s = names[min(ready)[1]]
+            out[s, nxt[s]] = slot
+            nxt[s] += 1
+        slot += 1
     return out

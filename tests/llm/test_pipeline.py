@@ -80,11 +80,9 @@ def test_pipeline(spark, tmp_path):
     sizes = {}
     for r in got:
         sizes[r["source"]] = sizes.get(r["source"], 0) + 1
-    total = sum(n**0.5 for n in sizes.values())
-    slots = {s: max(1, int(n**0.5 / total * mixing.PERIOD + 0.5)) for s, n in sizes.items()}
-    order, p = brute.schedule(slots), sum(slots.values())
-    for r in got:
-        assert r["mix_slot"] == r["mix_block"] // slots[r["source"]] * p + order[r["source"], r["mix_block"] % slots[r["source"]]]
+    slots = {s: round(n**0.5 * mixing.UNIT) for s, n in sizes.items()}
+    order = brute.schedule(slots, {s: -(-n // mixing.BLOCK_DOCS) for s, n in sizes.items()})
+    assert all(r["mix_slot"] == order[r["source"], r["mix_block"]] for r in got)
 
 
 def test_stages_return_the_columns_of_documents(spark, folder):
