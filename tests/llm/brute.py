@@ -6,6 +6,8 @@ import re
 
 import xxhash
 
+from dataprobe.llm import licenses
+
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,6 +108,52 @@ def licence(text):
     return len(own), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def expression(tokens, allowed):
+    """(labels, permitted) of the longest beginning that is an expression of known names, by recursive descent."""
+
+    def any_of(i, word, inner):
+        got = inner(i)
+        while got and got[0] < len(own) and own[got[0]] == word and (more := inner(got[0] + 1)):
+            got = more[0], got[1] | more[1], (got[2] or more[2]) if word == "or" else (got[2] and more[2])
+        return got
+
+    def single(i):
+        if i < len(own) and own[i] == "(":
+            got = any_of(i + 1, "or", conjunction)
+            return (got[0] + 1, *got[1:]) if got and got[0] < len(own) and own[got[0]] == ")" else None
+        label = licenses.label_of(own[i]) if i < len(own) else None
+        if label is None:
+            return None
+        if own[i + 1 : i + 2] == ["with"] and set(own[i + 2 : i + 3]) & licenses.EXCEPTIONS:
+            return i + 3, {f"{label} with {own[i + 2]}"}, label in allowed
+        return i + 1, {label}, label in allowed
+
+    def conjunction(i):
+        return any_of(i, "and", single)
+
+    for size in range(len(tokens), 0, -1):
+        own = [t.lower() for t in tokens[:size]]
+        got = any_of(0, "or", conjunction)
+        if got and got[0] == size:
+            return got[1:]
+    return set(), False
+
+
+def licence_labels(text):
+    """(labels, score): phrases one by one, tags by a pattern on the text."""
+    own, labels, score = " " + " ".join(words(text)) + " ", set(), 0.0
+    for phrases, weight in ((licenses.MORE_PHRASES, 0.6), (licenses.BASE_PHRASES, 0.9)):
+        for phrase, label in phrases.items():
+            if f" {phrase} " in own:
+                labels.add(label)
+                score = weight
+    for said in re.findall(r"(?i)(?<![a-z0-9])spdx[^a-z0-9\u0080-\U0010ffff]+license[^a-z0-9\u0080-\U0010ffff]+identifier:[ \t]*([^\r\n]*)", text or ""):
+        found, _ = expression(re.findall(r"[()]|[A-Za-z0-9.+:-]+", said), frozenset())
+        labels |= found
+        score = 1.0 if found else max(score, 0.3 if re.search(r"^[^a-z0-9]*[a-z0-9]", said, re.I) else 0.0)
+    return ",".join(sorted(labels)), score
+
+
 def warc(pages):
     """pages (page_id, html) with distinct ids -> {page_id: (bytes, digest, type, refers)}."""
     last = {}
