@@ -12,7 +12,7 @@ from dataprobe.functions import text as T
 from dataprobe.functions.draws import seeded_uniform
 from dataprobe.functions.labels import rule_label
 from dataprobe.functions.prompts import parse_response
-from dataprobe.operators import features, memo, noise, ordering, predict, wordfix
+from dataprobe.operators import features, memo, noise, ordering, predict, stored, wordfix
 from dataprobe.session import scratch_path, written
 
 CLASSES = ("anhedonia", "regular")
@@ -302,6 +302,17 @@ def cache_table_upsert(spark, d):
     return memo.cache_table_upsert(_first_memo(spark, d), memo.memo_rows(fresh.withColumn("output", T.keyboard_substitute("input")), 2))
 
 
+@query("cache_table_upsert_stored", with_(SQL_MEMO) + f"""select input_hash, input, output, version from memo where input_hash not in (select md5(text) from documents where lang = 'fr')
+       union all select distinct md5(text), text, {SLIPPED}, 2::bigint from documents where lang = 'fr'""")
+def cache_table_upsert_stored(spark, d):
+    """The same memo as a stored table of parts: only parts that hold a French text are written again."""
+    path, schema = scratch_path(spark, "memo_parts"), "input_hash string, input string, output string, version bigint"
+    stored.create(_first_memo(spark, d), path, "input_hash")
+    fresh = table(spark, d, "documents").filter(F.col("lang") == "fr").select(F.col("text").alias("input")).distinct()
+    stored.upsert(written(memo.memo_rows(fresh.withColumn("output", T.keyboard_substitute("input")), 2), "fresh"), path, "input_hash", schema)
+    return stored.read(spark, path, schema)
+
+
 @query("cache_table_read", f"select distinct md5(text) as input_hash, text as input, 'memo:' || {SLIPPED} as output, 1::bigint as version from documents")
 def cache_table_read(spark, d):
     path = scratch_path(spark, "memo.parquet")

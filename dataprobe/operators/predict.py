@@ -77,23 +77,31 @@ def parse_responses(responses: DataFrame, classes: Sequence[str], seed: int = 42
     return responses.select("prediction_id", parse_response("response", classes, seed, "prediction_id").alias("prediction"))
 
 
+def _known(fn: Callable[[list], list], values: pd.Series) -> pd.Series:
+    """``fn`` of what is not null, null for the rest."""
+    known, out = values.notna().to_numpy(), pd.Series([None] * len(values), index=values.index, dtype=object)
+    if known.any():
+        out.loc[known] = list(fn(values[known].tolist()))
+    return out
+
+
 def udf_text_transform(df: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[str]]) -> DataFrame:
-    """(key, text) through a plain batch function on lists of texts, one Arrow batch at a time."""
+    """(key, text) through a plain batch function on lists of texts, one Arrow batch at a time; ``fn`` sees no nulls."""
     narrow = df.select(key, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], text: fn(batch[text].tolist())})
+            yield pd.DataFrame({key: batch[key], text: _known(fn, batch[text])})
 
     return narrow.mapInPandas(run, narrow.schema)
 
 
 def udf_predictor(df: DataFrame, fn: Callable[[list], list[int]], feature: str, key: str = "prediction_id") -> DataFrame:
-    """(key, prediction) from a plain batch function on a feature or prompt column."""
+    """(key, prediction) from a plain batch function on a feature or prompt column; null features have null predictions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "prediction": fn(batch[feature].tolist())})
+            yield pd.DataFrame({key: batch[key], "prediction": _known(fn, batch[feature])})
 
     return df.select(key, feature).mapInPandas(run, f"{key} long, prediction int")
 
@@ -101,7 +109,6 @@ def udf_predictor(df: DataFrame, fn: Callable[[list], list[int]], feature: str,
 # Tokens per word and tokens per second of the estimated model and translation service.
 MODEL_TOKENS_PER_WORD, MODEL_TOKENS_PER_SECOND = 3, 500
 TRANSLATION_TOKENS_PER_WORD, TRANSLATION_TOKENS_PER_SECOND = 4, 6000
-WORDS_PER_TEXT = 13
 
 
 def service_seconds(words: Column, translation: bool = False) -> Column:
