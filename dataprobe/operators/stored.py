@@ -8,7 +8,7 @@ at a time.  What old pointers name stays readable; nothing here deletes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARTS = 64
@@ -27,10 +27,10 @@ def _pointers(spark: SparkSession, path: str, version: int | None) -> DataFrame:
     return every.filter(F.col("n") == F.lit(version))
 
 
-def _commit(rows: DataFrame, pointers: DataFrame | None, path: str, version: int, parts: int) -> None:
+def _commit(rows: DataFrame, pointers: DataFrame | None, path: str, version: int, parts: int, dealt: bool = False) -> None:
     """Write ``rows(part, ..)`` as a version and point their parts to it; other parts keep theirs."""
     spark = rows.sparkSession
-    rows.repartition("part").write.partitionBy("part").parquet(f"{path}/data/v={version}")
+    (rows if dealt else rows.repartition("part")).write.partitionBy("part").parquet(f"{path}/data/v={version}")
     new = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(version).cast("long").alias("v"))
     if pointers is not None:
         # a part that was touched is there: an upsert never empties one
@@ -73,9 +73,10 @@ def upsert(fresh: DataFrame, path: str, key: str, schema: str) -> int:
     fresh = fresh.withColumn("part", part_of(key, parts))
     touched = pointers.join(fresh.select("part").distinct(), "part", "left_semi")
     old = _rows(spark, path, touched, schema)
-    same = fresh.select(F.col("part").alias("_part"), F.col(f"`{key}`").alias("_key"))
-    kept = old.join(same, (F.col("part") == F.col("_part")) & F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left_anti")
-    _commit(kept.unionByName(fresh), pointers, path, last + 1, parts)
+    # one shuffle: a part's rows are together for the comparison and for the write
+    both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))).repartition("part")
+    newest = F.max("_new").over(Window.partitionBy("part", F.col(f"`{key}`")))
+    _commit(both.withColumn("_top", newest).filter("_new = _top").drop("_new", "_top"), pointers, path, last + 1, parts, dealt=True)
     return last + 1
 
 
