@@ -9,8 +9,8 @@
 3. Cuts.  The removed starts come back per document and become byte ranges.
 
 Copies of a whole text are one text with the smallest id from step 2 on; all others of the group are removed whole.
-Buckets follow the bytes of the corpus (about 5 MB each), and a bucket sorts at most ``_SORTED`` bytes at a time, or
-one name's texts.  A name holds only distinct texts around one 24-byte string.
+Buckets follow the bytes of the corpus (about 5 MB each).  A bucket takes its names in shares of about ``_SHARE`` bytes
+of run texts, and sorts at most ``_SORTED`` bytes at a time, or one name's texts.  A name holds only distinct texts around one 24-byte string.
 
 Null texts are empty; texts under 50 bytes lose nothing.  Rows with a null id are neither removed nor a reason to
 remove.  Rows that repeat id and text share one result.
@@ -35,6 +35,8 @@ from dataprobe.llm.suffixes import ranks
 _BLOCK = 8 << 20
 _BUCKET = 5 << 20
 _SORTED = 1 << 20
+# a bucket's run texts are compared share by share, about this many bytes at a time
+_SHARE = 1 << 20
 _PART = 1 << 20
 _TAIL = LENGTH - 1
 
@@ -252,66 +254,84 @@ def string_classes(texts: list[bytes], sizes: np.ndarray, owners: np.ndarray) ->
     return out
 
 
+def _shares(rows: pa.Table) -> Iterator[tuple]:
+    """(names, sizes, texts, text of each run, its (id, key), its first start) by shares of the names of a bucket.
+
+    Equal texts of a name are one, and all texts of a name are in one share.
+    """
+    columns = {k: _join(rows[k], t) for k, t in (("names", np.uint64), ("sizes", np.uint32), ("which", np.uint32), ("firsts", np.uint32))}
+    name, size, which, first = columns["names"], columns["sizes"].astype(np.int64), columns["which"].astype(np.int64), columns["firsts"]
+    raw = b"".join(_unpacked(v) for v in rows["texts"].to_pylist())
+    at = np.cumsum(size + _TAIL) - size - _TAIL
+    docs, before = [], 0
+    ran = 0
+    for names, who, met in zip(rows["names"].to_pylist(), rows["who"].to_pylist(), rows["docs"].to_pylist(), strict=True):
+        owner = _unpacked(who, np.uint32)
+        docs.append(_unpacked(met, np.int64).reshape(2, -1)[:, owner])
+        which[ran : ran + len(owner)] += before
+        ran, before = ran + len(owner), before + len(_unpacked(names, np.uint64))
+    docs = np.concatenate(docs, axis=1)
+    shares = 1 + len(raw) // _SHARE
+    share = (name % np.uint64(shares)).astype(np.int64)
+    of_text, of_run = np.argsort(share, kind="stable"), np.argsort(share[which], kind="stable")
+    edge, run_edge = np.searchsorted(share[of_text], np.arange(shares + 1)), np.searchsorted(share[which][of_run], np.arange(shares + 1))
+    place = np.empty(len(name), np.int64)
+    for k in range(shares):
+        here, runs_here = of_text[edge[k] : edge[k + 1]], of_run[run_edge[k] : run_edge[k + 1]]
+        seen: dict[tuple[int, bytes], int] = {}
+        met = ((n, raw[a : a + s + _TAIL]) for n, a, s in zip(name[here].tolist(), at[here].tolist(), size[here].tolist(), strict=True))
+        place[here] = np.fromiter((seen.setdefault(m, len(seen)) for m in met), np.int64, len(here))
+        lead = np.zeros(len(seen), np.int64)
+        lead[place[here]] = here
+        yield name[lead], size[lead], [m[1] for m in seen], place[which[runs_here]], docs[:, runs_here], first[runs_here].astype(np.int64)
+
+
+def _lost_starts(name_of: np.ndarray, size_of: np.ndarray, texts: list[bytes], text: np.ndarray, docs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, key, first start, starts) of the stretches that a share of names removes."""
+    ids, keys = docs
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, text, ids)
+    whole = least[text] < ids
+    out_run, out_first, out_size = [np.flatnonzero(whole)], [first[whole]], [size_of[text[whole]]]
+    # names with several texts: their first documents may lose single strings
+    order = np.argsort(name_of, kind="stable")
+    cut = _groups(name_of[order])
+    multi = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1]
+    keeper = np.flatnonzero(~whole)
+    keeper = keeper[np.argsort(text[keeper], kind="stable")]
+    kept = np.searchsorted(text[keeper], np.arange(len(texts) + 1))
+    group: list[np.ndarray] = []
+    held = 0
+    for k, members in enumerate(multi):
+        group.append(members)
+        held += int((size_of[members] + LENGTH).sum())
+        if held < _SORTED and k + 1 < len(multi):
+            continue
+        chosen = np.concatenate(group)
+        group, held = [], 0
+        found = string_classes([texts[m] for m in chosen], size_of[chosen], least[chosen])
+        lost = found < np.repeat(least[chosen], size_of[chosen])
+        ends = np.cumsum(size_of[chosen])
+        change = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])))
+        # stretches of lost starts, cut where one text ends and the next begins
+        inner = ends[:-1][(lost[ends[:-1] - 1] & lost[ends[:-1]])] if len(ends) > 1 else ends[:0]
+        begins = np.sort(np.concatenate([change[::2], inner]))
+        stops = np.sort(np.concatenate([change[1::2], inner]))
+        where = np.searchsorted(ends, begins, side="right")
+        # every run that keeps the text loses the stretch
+        member = chosen[where]
+        many = kept[member + 1] - kept[member]
+        run = keeper[np.repeat(kept[member] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        out_run.append(run)
+        out_first.append(first[run] + np.repeat(begins - ends[where] + size_of[member], many))
+        out_size.append(np.repeat(stops - begins, many))
+    run, start, count = np.concatenate(out_run), np.concatenate(out_first), np.concatenate(out_size)
+    return ids[run], keys[run], start, count
+
+
 def _removed_starts(buckets: int):
     def removed(_: tuple, rows: pa.Table) -> pa.Table:
-        seen: dict[tuple[int, bytes], int] = {}
-        texts, sizes, names, run_text, run_doc, run_first = [], [], [], [], [], []
-        for row in rows.to_pylist():
-            name, size, joined = _unpacked(row["names"], np.uint64).tolist(), _unpacked(row["sizes"], np.uint32).tolist(), _unpacked(row["texts"])
-            at, here = 0, []
-            for n, s in zip(name, size, strict=True):
-                text = joined[at : at + s + _TAIL]
-                at += s + _TAIL
-                index = seen.setdefault((n, text), len(texts))
-                if index == len(texts):
-                    texts.append(text)
-                    sizes.append(s)
-                    names.append(n)
-                here.append(index)
-            run_text.append(np.array(here, np.int64)[_unpacked(row["which"], np.uint32)])
-            run_doc.append(_unpacked(row["docs"], np.int64).reshape(2, -1)[:, _unpacked(row["who"], np.uint32)])
-            run_first.append(_unpacked(row["firsts"], np.uint32).astype(np.int64))
-        del seen
-        text, (ids, keys), first = np.concatenate(run_text), np.concatenate(run_doc, axis=1), np.concatenate(run_first)
-        size_of, name_of = np.array(sizes, np.int64), np.array(names, np.uint64)
-        least = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(least, text, ids)
-        whole = least[text] < ids
-        out_run, out_first, out_size = [np.flatnonzero(whole)], [first[whole]], [size_of[text[whole]]]
-        # names with several texts: their first documents may lose single strings
-        order = np.argsort(name_of, kind="stable")
-        cut = _groups(name_of[order])
-        multi = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1]
-        keeper: dict[int, list[int]] = {}
-        for i in np.flatnonzero(~whole):
-            keeper.setdefault(int(text[i]), []).append(int(i))
-        group: list[np.ndarray] = []
-        held = 0
-        for k, members in enumerate(multi):
-            group.append(members)
-            held += sum(sizes[m] + LENGTH for m in members.tolist())
-            if held < _SORTED and k + 1 < len(multi):
-                continue
-            chosen = np.concatenate(group)
-            group, held = [], 0
-            found = string_classes([texts[m] for m in chosen], size_of[chosen], least[chosen])
-            lost = found < np.repeat(least[chosen], size_of[chosen])
-            ends = np.cumsum(size_of[chosen])
-            change = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])))
-            # stretches of lost starts, cut where one text ends and the next begins
-            inner = ends[:-1][(lost[ends[:-1] - 1] & lost[ends[:-1]])] if len(ends) > 1 else ends[:0]
-            begins = np.sort(np.concatenate([change[::2], inner]))
-            stops = np.sort(np.concatenate([change[1::2], inner]))
-            where = np.searchsorted(ends, begins, side="right")
-            for b, e, w in zip(begins.tolist(), stops.tolist(), where.tolist(), strict=True):
-                member = int(chosen[w])
-                offset = b - int(ends[w] - size_of[member])
-                for i in keeper.get(member, ()):
-                    out_run.append(np.array([i]))
-                    out_first.append(first[i : i + 1] + offset)
-                    out_size.append(np.array([e - b]))
-        run, start, count = np.concatenate(out_run), np.concatenate(out_first), np.concatenate(out_size)
-        doc, key = ids[run], keys[run]
+        doc, key, start, count = (np.concatenate(c) for c in zip(*(_lost_starts(*share) for share in _shares(rows)), strict=True))
         place = (mixed(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         edges = _groups(place[order])
