@@ -1,15 +1,15 @@
-"""Exact nearest neighbours of many queries: cells around pivots on two levels, routed by the triangle inequality.
+"""Exact nearest neighbours of many queries: cells around pivots on two levels, pruned by the triangle inequality.
 
 The number of cells follows the table (about ``block_rows`` / 4 rows each), and each level has its square root: the
-first level's pivots are few and known to every task, a cell's own pivots travel to its rows only.  So nothing that
-grows with the table is broadcast, and routing prunes twice.
+first level's pivots are few and known to every task, a cell's own pivots travel to its rows only.
 
 1. Rows go to their nearest first-level pivot, then to the nearest pivot inside that cell; a cell keeps its number of
-   rows and its least and largest distance to the pivot.
-2. A query first learns how near k rows are at most: from pivots, which are rows, from cells (rows within ``far`` of
-   a pivot at distance d are within d + far), and from the rows of its home cell.  Then the first level tells which cells can
-   hold something that near, and these tell which of theirs can.
-3. Cells are dealt into blocks by a hash of the ids, on both sides, and compared block against block.
+   rows and its least and largest distance to the pivot.  Cells are dealt into portions of at most ``portion`` numbers.
+2. Queries are sorted by their nearest first-level pivot, so that queries of one batch need the same cells.
+3. Portion by portion, the cells are sent to every task and the queries stay where they are: no query travels to the cells
+   that it asks.  A query knows how near k rows are at most (from pivots, which are rows, from cells, whose rows within
+   ``far`` of a pivot at distance d are within d + far, and from the rows met so far), and so which cells it can leave out.
+   Disk holds k rows a query and portion, memory one portion.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.functions.draws import seeded_uniform
-from dataprobe.operators.vectors import _block_best, _hits, _ids, column_matrix, pair_distances
-from dataprobe.session import written
+from dataprobe.operators.vectors import _TILE, _hits, _ids, _keep_best, column_matrix, nearer_than, pair_distances
+from dataprobe.session import scratch_path, shuffles_removed, written
 
 _SLACK = 1e-6
+# Numbers of the index that are sent to every task at a time: 8M doubles = 64 MB.
+PORTION_NUMBERS = 8_000_000
 
 
 def _within(rows: np.ndarray, ceilings: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -46,7 +49,7 @@ def _kth(dist: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class PivotIndex:
-    """``rows`` (id, vector, c1, c2), ``cells`` (c1, c2, pivot, rows, near, far, blocks), and the first level's outline."""
+    """``rows`` (id, vector, c1, c2, portion), ``cells`` (c1, c2, pivot, rows, near, far), the first level's outline, and the number of portions."""
 
     rows: DataFrame
     cells: DataFrame
@@ -56,7 +59,7 @@ class PivotIndex:
     sizes: np.ndarray
     train_id: str
     vector: str
-    block_rows: int
+    portions: int
 
 
 def _shares(df: DataFrame, cell: str, rows: int) -> DataFrame:
@@ -64,7 +67,9 @@ def _shares(df: DataFrame, cell: str, rows: int) -> DataFrame:
     return df.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("shares"))
 
 
-def pivot_index(vectors: DataFrame, train_id: str = "train_id", vector: str = "embedding", block_rows: int = 4096) -> PivotIndex | None:
+def pivot_index(
+    vectors: DataFrame, train_id: str = "train_id", vector: str = "embedding", block_rows: int = 4096, portion: int = PORTION_NUMBERS
+) -> PivotIndex | None:
     """Index a stored table (id, vector) without null vectors; None if it is empty."""
     total = vectors.count()
     if total == 0:
@@ -117,18 +122,35 @@ def pivot_index(vectors: DataFrame, train_id: str = "train_id", vector: str = "e
     settled = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(settle, f"{train_id} long, {vector} {kind}, c1 int, c2 int, r2 double")
     rows = written(settled, "settled")
     sized = rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("rows"), F.min("r2").alias("near"), F.max("r2").alias("far"))
-    cells = written(sized.join(pivots, ["c1", "c2"]).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int")), "cells")
-    return PivotIndex(rows, cells, first, near, far, sizes, train_id, vector, block_rows)
-
-
-def pivot_routes(index: PivotIndex, queries: DataFrame, k: int, query_id: str = "prediction_id") -> DataFrame:
-    """(query, vector, c1, c2, rows, blocks): the second-level cells that can hold one of the query's k nearest rows.
-
-    ``queries`` is a stored table (query, vector) without null vectors.
-    """
-    vector, cells = index.vector, index.cells
+    cells = written(sized.join(pivots, ["c1", "c2"]), "cells")
+    dealt_rows, portions = _portions(rows, cells, train_id, max(1, portion // max(1, first.shape[1])))
+    return PivotIndex(dealt_rows, cells, first, near, far, sizes, train_id, vector, portions)
+
+
+def _portions(rows: DataFrame, cells: DataFrame, train_id: str, most: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``portion``, and the number of portions: neighbouring cells together, of about ``most`` rows; a larger cell is dealt over several."""
+    listed, number, held = [], 0, 0
+    for r in cells.select("c1", "c2", "rows").orderBy("c1", "c2").collect():  # one row a cell
+        if held and held + r["rows"] > most:
+            number, held = number + 1, 0
+        shares = -(-r["rows"] // most)
+        listed.append((r["c1"], r["c2"], number, shares))
+        number, held = (number, held + r["rows"]) if shares == 1 else (number + shares, 0)
+    total = number + bool(held)
+    if total == 1:
+        return rows.withColumn("portion", F.lit(0)), 1
+    where = rows.sparkSession.createDataFrame(listed, "c1 int, c2 int, first int, shares int")
+    placed = rows.join(F.broadcast(where), ["c1", "c2"]).withColumn("portion", (F.col("first") + F.pmod(F.xxhash64(train_id), "shares")).cast("int"))
+    path = scratch_path(rows.sparkSession, "portions")
+    narrow = placed.drop("first", "shares")
+    narrow.write.partitionBy("portion").parquet(path)
+    return rows.sparkSession.read.schema(narrow.schema).parquet(path), total
+
+
+def _at_home(index: PivotIndex, queries: DataFrame, k: int, query_id: str) -> DataFrame:
+    """(query, vector, bound), stored: queries of one neighbourhood together, each with a distance below which k rows are sure to lie."""
+    first, far, sizes, vector = index.first, index.far, index.sizes, index.vector
     kind = queries.schema[vector].dataType.simpleString()
-    first, near, far, sizes = index.first, index.near, index.far, index.sizes
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,98 +160,92 @@ def pivot_routes(index: PivotIndex, queries: DataFrame, k: int, query_id: str =
                 closest = np.where(sizes > 0, dist, np.inf).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(closest.astype(np.int32)), pa.array(bound)], names=[query_id, vector, "c1", "bound"])
 
-    at_home = written(queries.mapInArrow(home, f"{query_id} long, {vector} {kind}, c1 int, bound double"), "at_home")
-    key = ["c1", "share"]
+    asked = queries.mapInArrow(home, f"{query_id} long, {vector} {kind}, c1 int, bound double")
+    tasks = max(1, min(4 * queries.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // 512)))
+    sorted_ = asked.repartitionByRange(tasks, "c1", F.xxhash64(query_id)).sortWithinPartitions("c1")
+    with shuffles_removed(queries.sparkSession):
+        return written(sorted_.drop("c1"), "at_home")
 
-    def dealt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Queries by cell in bounded groups, and each group's copy of the cell's pivots."""
-        by = _shares(df, "c1", 2 * index.block_rows)
-        asking = df.join(by, "c1").withColumn("share", F.pmod(F.xxhash64(query_id), "shares").cast("int")).drop("shares")
-        around = cells.join(by, "c1").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-        return asking, around
-
-    floats = pa.list_(pa.float32() if "float" in kind else pa.float64())
-    homes = pa.schema([(query_id, pa.int64()), (vector, floats), ("bound", pa.float64()), ("c1", pa.int32()), ("c2", pa.int32()), ("blocks", pa.int32())])
-
-    def tighten(asking: pa.Table, around: pa.Table) -> pa.Table:
-        if not asking.num_rows or not around.num_rows:
-            return pa.Table.from_batches([], schema=homes)
-        dist = pair_distances(column_matrix(asking[vector]), column_matrix(around["pivot"]))
-        bound = np.minimum(asking["bound"].to_numpy(), _within(dist, dist + around["far"].to_numpy(), around["rows"].to_numpy(), k))
-        own = pa.array(dist.argmin(axis=1))
-        return pa.table([asking[query_id], asking[vector], pa.array(np.minimum(bound, _kth(dist, k))), *[around[c].take(own) for c in ("c1", "c2", "blocks")]], names=homes.names)
-
-    asking, around = dealt(at_home)
-    settled = asking.groupBy(key).cogroup(around.groupBy(key)).applyInArrow(tighten, f"{query_id} long, {vector} {kind}, bound double, c1 int, c2 int, blocks int")
-    settled = written(settled, "homes")
-    # the k-th row of the home cell: a bound that other cells are measured by
-    inside = _compared(index, settled, k, query_id).groupBy(query_id).agg(F.get(F.array_sort(F.collect_list("distance")), k - 1).alias("kth"))
-    bounded = settled.join(inside, query_id, "left").select(query_id, vector, F.least("bound", "kth").alias("bound"))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                dist = pair_distances(column_matrix(batch.column(1)), first)
-                reach = (batch.column(2).to_numpy() * (1 + _SLACK) + _SLACK)[:, None]
-                rows, cols = np.nonzero((sizes > 0) & (dist - far <= reach) & (near - dist <= reach))
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(cols.astype(np.int32))], names=[query_id, vector, "bound", "c1"])
 
-    routed = written(bounded.mapInArrow(route, f"{query_id} long, {vector} {kind}, bound double, c1 int"), "routed")
-    schema = f"{query_id} long, {vector} {kind}, c1 int, c2 int, rows long, blocks int"
-    shape = pa.schema([(query_id, pa.int64()), (vector, pa.list_(pa.float32() if "float" in kind else pa.float64())), ("c1", pa.int32()), ("c2", pa.int32()), ("rows", pa.int64()), ("blocks", pa.int32())])
+def _portion(index: PivotIndex, number: int) -> dict[str, np.ndarray]:
+    """The rows of a portion, cell by cell, and the outlines of its cells."""
+    table = index.rows.filter(F.col("portion") == number).select("c1", "c2", index.train_id, index.vector).toArrow()
+    c1, c2 = (table[c].to_numpy() for c in ("c1", "c2"))
+    order = np.lexsort((_ids(table[index.train_id]), c2, c1))
+    c1, c2 = c1[order], c2[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(c1) != 0) | (np.diff(c2) != 0)]))
+    here = index.rows.sparkSession.createDataFrame([(int(c1[s]), int(c2[s]), i) for i, s in enumerate(starts)], "c1 int, c2 int, at int")
+    cells = index.cells.join(F.broadcast(here), ["c1", "c2"]).select("at", "pivot", "near", "far").toArrow().sort_by("at")
+    return {
+        "ids": _ids(table[index.train_id])[order], "vectors": column_matrix(table[index.vector])[order], "starts": np.append(starts, len(c1)),
+        "pivots": column_matrix(cells["pivot"]), "near": cells["near"].to_numpy(), "far": cells["far"].to_numpy(),
+    }
 
-    def narrow(asking: pa.Table, around: pa.Table) -> pa.Table:
-        if not asking.num_rows or not around.num_rows:
-            return pa.Table.from_batches([], schema=shape)
-        dist = pair_distances(column_matrix(asking[vector]), column_matrix(around["pivot"]))
-        reach = (asking["bound"].to_numpy() * (1 + _SLACK) + _SLACK)[:, None]
-        rows, cols = np.nonzero((dist - around["far"].to_numpy() <= reach) & (around["near"].to_numpy() - dist <= reach))
-        at, of = pa.array(rows), pa.array(cols)
-        return pa.table([asking[query_id].take(at), asking[vector].take(at), *[around[c].take(of) for c in ("c1", "c2", "rows", "blocks")]], names=shape.names)
-
-    asking, around = dealt(routed)
-    return asking.groupBy(key).cogroup(around.groupBy(key)).applyInArrow(narrow, schema)
 
+def _search(index: PivotIndex, queries: DataFrame, k: int, query_id: str, number: int, counted: bool = False) -> DataFrame:
+    """(query, train_id, distance), stored: the rows of a portion that can be among the k nearest of a query, k at most.
 
-def _compared(index: PivotIndex, routes: DataFrame, k: int, query_id: str) -> DataFrame:
-    """(query, train_id, distance): the k nearest rows of every block of the cells that ``routes`` names.
-
-    ``routes`` is a stored table (query, vector, c1, c2, blocks).
+    ``counted`` gives (query, compared) instead: the rows that a query was compared with.  ``queries`` is what ``_at_home`` returns.
     """
-    train_id, vector = index.train_id, index.vector
-    cell = ["c1", "c2"]
-    asked = routes.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / index.block_rows).cast("int").alias("shares"), F.first("blocks").alias("blocks"))
-    known = (
-        index.rows.join(asked, cell)
-        .withColumn("block", F.pmod(F.xxhash64(train_id), "blocks").cast("int"))
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        .select(train_id, vector, *cell, "block", "share")
-    )
-    asking = (
-        routes.join(asked.select(*cell, "shares"), cell)
-        .withColumn("share", F.pmod(F.xxhash64(query_id), "shares").cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(query_id, vector, *cell, "block", "share")
-    )
-    key = [*cell, "block", "share"]
-    shape = pa.schema([(query_id, pa.int64()), (train_id, pa.int64()), ("distance", pa.float64())])
-
-    def compare(ask: pa.Table, known: pa.Table) -> pa.Table:
-        if not ask.num_rows or not known.num_rows:
-            return pa.Table.from_batches([], schema=shape)
-        found = _block_best(column_matrix(ask[vector]), _ids(known[train_id]), column_matrix(known[vector]), k)
-        return pa.Table.from_batches([_hits(_ids(ask[query_id]), found, (query_id, train_id))])
+    train_id = index.train_id
+    shared = queries.sparkSession.sparkContext.broadcast(_portion(index, number))
 
-    return asking.groupBy(key).cogroup(known.groupBy(key)).applyInArrow(compare, f"{query_id} long, {train_id} long, distance double")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            ids, every, bounds = _ids(batch.column(0)), column_matrix(batch.column(1)), batch.column(2).to_numpy()
+            for q0 in range(0, len(ids), _TILE):
+                part = slice(q0, q0 + _TILE)
+                best, compared = _near_cells(held, every[part], bounds[part], k)
+                if counted:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(compared)], names=[query_id, "compared"])
+                else:
+                    yield _hits(ids[part], best, (query_id, train_id))
+
+    schema = f"{query_id} long, compared long" if counted else f"{query_id} long, {train_id} long, distance double"
+    out = written(queries.mapInArrow(near, schema), "compared" if counted else "hits")
+    shared.destroy()
+    return out
+
+
+def _near_cells(held: dict[str, np.ndarray], asked: np.ndarray, bound: np.ndarray, k: int):
+    """((query, id, distance) of the k nearest rows, number of rows compared by query), nearest cells first."""
+    starts, near, far = held["starts"], held["near"], held["far"]
+    away = pair_distances(asked, held["pivots"])
+    reach = np.minimum(bound, _within(away, away + far, np.diff(starts), k))
+    compared = np.zeros(len(asked), np.int64)
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for c in np.argsort(away.mean(axis=0), kind="stable"):
+        for lo in range(starts[c], starts[c + 1], _TILE):
+            limit = reach * (1 + _SLACK) + _SLACK
+            asking = np.flatnonzero(~((away[:, c] - far[c] > limit) | (near[c] - away[:, c] > limit)))
+            if not len(asking):
+                break
+            rows = slice(lo, min(lo + _TILE, starts[c + 1]))
+            compared[asking] += rows.stop - lo
+            at, cols, dist = nearer_than(asked[asking], held["vectors"][rows], limit[asking], k)
+            if not len(at):
+                continue
+            best = _keep_best(*(np.concatenate(x) for x in zip(best, (asking[at], held["ids"][rows][cols], dist))), k)
+            last = np.flatnonzero(np.bincount(best[0], minlength=len(asked)) >= k)
+            ends = np.searchsorted(best[0], last, side="right") - 1
+            reach[last] = np.minimum(reach[last], best[2][ends])
+    return best, compared
 
 
 def pivot_hits(index: PivotIndex, queries: DataFrame, k: int, query_id: str = "prediction_id") -> DataFrame:
-    """(query, train_id, distance): at least the k nearest rows of every query, a few a block."""
-    return _compared(index, written(pivot_routes(index, queries, k, query_id), "routes"), k, query_id)
+    """(query, train_id, distance): at least the k nearest rows of every query, k a portion at most.
+
+    ``queries`` is a stored table (query, vector) without null vectors.
+    """
+    asked = _at_home(index, queries, k, query_id)
+    return reduce(DataFrame.unionByName, [_search(index, asked, k, query_id, number) for number in range(index.portions)])
 
 
 def compared_share(index: PivotIndex, queries: DataFrame, k: int, query_id: str = "prediction_id") -> DataFrame:
     """One row (compared, pairs, share): how many of all pairs a search for k rows compares."""
-    met = pivot_routes(index, queries, k, query_id).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("compared"))
+    asked = _at_home(index, queries, k, query_id)
+    each = reduce(DataFrame.unionByName, [_search(index, asked, k, query_id, number, True) for number in range(index.portions)])
+    met = each.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
     pairs = queries.agg(F.count(F.lit(1)).alias("q")).scalar() * F.lit(int(index.sizes.sum()))
     return met.select("compared", pairs.alias("pairs")).withColumn("share", F.col("compared") / F.col("pairs"))

@@ -6,8 +6,7 @@ Spark partitions.  A task keeps the k best rows per query and never emits the pa
 * Query side small (its size is counted first): one broadcast, the training table is read once where it
   lies and is not shuffled.
 * Otherwise: two levels of cells around pivots (``operators/pivots.py``).  The triangle inequality tells which
-  cells can hold a neighbour of a query; cells and query groups are split by a hash of the id until each
-  block is small, so one crowded cell spreads over many tasks.
+  cells can hold a neighbour of a query; cells are sent to the queries in portions of bounded size.
 Both ways give the same rows.
 """
 
@@ -89,6 +88,38 @@ def _block_best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: in
     return _keep_best(*(np.concatenate(x) for x in zip(*found)), k)
 
 
+def nearer_than(queries: np.ndarray, vectors: np.ndarray, limit: np.ndarray, k: int):
+    """(query position, row position, distance) of every pair within its query's ``limit``; of many, those up to the k-th.
+
+    Pairs are ruled out in single precision, with room for its error, by one matrix product and one comparison; what is
+    left is measured from differences.
+    """
+    asked, known = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", vectors, vectors)
+    total = asked + np.fmax.reduce(known, initial=0.0)
+    # NaN, and what single precision cannot hold, goes the slower way
+    kind, error = (np.float32, 2.4e-7) if 1e-20 < total.max(initial=0.0) < 1e20 else (np.float64, 1e-15)
+    room = error * (queries.shape[1] + 8) * total
+    left = np.concatenate([queries, np.ones((len(queries), 1))], axis=1).astype(kind)
+    right = np.concatenate([-2.0 * vectors, known[:, None]], axis=1).astype(kind)
+    apart = left @ right.T  # squared distance less the query's own square
+
+    def within(distance: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(apart <= (distance * distance - asked + room).astype(kind)[:, None])
+
+    found = within(limit) if np.isfinite(limit).all() else None
+    if len(vectors) > k and (found is None or len(found) > 16 * k * len(queries)):
+        kth = np.sqrt(np.maximum(np.partition(apart, k - 1, axis=1)[:, k - 1] + asked + room, 0.0)) + 2.0 * 10.0**-DISTANCE_DIGITS
+        found = within(np.fmin(limit, kth))
+    elif found is None:
+        found = within(limit)
+    rows, cols = np.divmod(found, max(1, len(vectors)))
+    dist = np.empty(len(rows))
+    for start in range(0, len(rows), 65536):
+        gap = queries[rows[start : start + 65536]] - vectors[cols[start : start + 65536]]
+        dist[start : start + 65536] = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), DISTANCE_DIGITS)
+    return rows, cols, dist
+
+
 def _hits(query_ids: np.ndarray, best, names: tuple[str, str]) -> pa.RecordBatch:
     query, ids, dist = best
     return pa.RecordBatch.from_pydict(
