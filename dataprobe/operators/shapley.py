@@ -12,13 +12,16 @@ enough.  Exact values read every rank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.operators.ordering import sum_after, topk_smallest
 from dataprobe.operators.scan import ROWS_PER_RANGE, ranged, with_next, with_rank, with_suffix
-from dataprobe.operators.vectors import every_distance, knn_retrieve
+from dataprobe.operators.vectors import RANKED_BYTES, _ids, _prepared, column_matrix, distances_to_all, every_distance, knn_retrieve, order_of, queries_at_once, sent_vectors
 from dataprobe.schemas import require
 from dataprobe.session import written
 
@@ -42,11 +45,90 @@ def knn_shapley(
     train = train.select(F.col(train_id).cast("long").alias("train_id"), vector, F.col(label).cast("int").alias("label"))
     test = test.select(F.col(test_id).cast("long").alias("test_id"), vector, F.col(label).cast("int").alias("label"))
     if epsilon <= 0:
-        return values_of_all_ranks(every_distance(test, train, "test_id", "train_id", vector), train, test, k)
+        return values_of_vectors(train, test, train, test, k, vector)
     last = last_rank(k, epsilon)
     return values_from_index(knn_retrieve(test, train, last, "test_id", "train_id", vector), train, test, k, last)
 
 
+def values_of_vectors(
+    train: DataFrame, test: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, vector: str = "embedding", max_bytes: int = RANKED_BYTES
+) -> DataFrame:
+    """Exact values from (train_id, vector) and (test_id, vector) and the labels as they are now.
+
+    The training side is sent to every task, which ranks all rows for one test point at a time and keeps a sum a row: pairs
+    are neither stored nor shuffled.  A training side of more than ``max_bytes`` goes through stored pairs (``values_of_all_ranks``).
+    """
+    labelled = train_labels.select("train_id", F.col("label").cast("double").alias("known"))
+    asked = test_labels.select("test_id", F.col("label").cast("double").alias("asked"))
+    rows, points = written(_prepared(train, "train_id", vector).join(labelled, "train_id"), "rows"), _prepared(test, "test_id", vector).join(asked, "test_id")
+    local = sent_vectors(rows, "train_id", vector, max_bytes, "known")
+    if local is None:
+        return values_of_all_ranks(every_distance(test, train, "test_id", "train_id", vector), train_labels, test_labels, k)
+    spark, last = train.sparkSession, train_labels.count()
+    shared = spark.sparkContext.broadcast(local)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        sums, step = np.zeros(len(held["ids"])), queries_at_once(len(held["ids"]))
+        for ids, vectors, labels in _whole_points(batches):
+            groups = np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1)
+            for start in range(0, len(ids), step):
+                dist = distances_to_all(vectors[start : start + step], held["vectors"]) if len(sums) else None
+                while dist is not None and groups and groups[0][0] < start + step:
+                    at = groups.pop(0)
+                    apart = dist[at[0] - start] if len(at) == 1 else distances_to_all(vectors[at], held["vectors"]).ravel()
+                    _add_scores(sums, apart, held["known"], labels[at], k, last)
+        if len(sums):
+            yield pa.RecordBatch.from_arrays([pa.array(held["ids"]), pa.array(sums)], names=["train_id", "score"])
+
+    points = written(points, "points")
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, points.count() // 16))
+    scores = points.repartition(tasks, "test_id").sortWithinPartitions("test_id").mapInArrow(add_up, "train_id long, score double")
+    return _mean_scores(written(scores, "scores"), train_labels, test_labels)
+
+
+def _whole_points(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, labels) of batches ordered by id, cut so that no id is in two of them; a null label is NaN."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = _ids(batch.column(0)), column_matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+        held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if cut:
+            yield tuple(x[:cut] for x in held)
+        held = tuple(x[cut:] for x in held)
+    if held is not None:
+        yield held
+
+
+def _add_scores(sums: np.ndarray, dist: np.ndarray, known: np.ndarray, asked: np.ndarray, k: int, last: int) -> None:
+    """Add one test point's scores to ``sums``; a row or point without a label counts as no neighbour and gets nothing.
+
+    ``dist`` and ``asked`` hold as many stretches of all rows as the point's id has rows.
+    """
+    place = np.tile(np.arange(len(known)), len(asked))
+    if len(asked) > 1:  # equal distances go by the row, whichever stretch it is in
+        by_row = np.argsort(place, kind="stable")
+        place, dist, eq = place[by_row], dist[by_row], np.where(np.isnan(np.repeat(asked, len(known))), np.nan, np.tile(known, len(asked)) - np.repeat(asked, len(known)))[by_row]
+    else:
+        eq = known - asked[0]
+    order = order_of(dist)
+    place, eq = place[order], np.where(np.isnan(eq), np.nan, eq == 0)[order]
+    rank = np.arange(1, len(eq) + 1)
+    weight = np.minimum(k, rank) / (k * rank)
+    if last <= len(weight):
+        weight[last - 1] = 1.0 / last
+    own = np.nan_to_num(eq)
+    steps = np.where(np.isnan(eq), 0.0, (own - np.append(own[1:], 0.0)) * weight)
+    scores = np.where(np.isnan(eq), 0.0, np.cumsum(steps[::-1])[::-1])
+    if len(asked) > 1:
+        np.add.at(sums, place, scores)
+    else:
+        sums[place] += scores
+
+
 def values_of_all_ranks(pairs: DataFrame, train_labels: DataFrame, test_labels: DataFrame, k: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Exact values from (test_id, train_id, distance) of every pair.
 

@@ -26,6 +26,8 @@ from dataprobe.session import written
 
 # Largest query side (in numbers) that is sent to every executor: 4M doubles = 32 MB.
 BROADCAST_NUMBERS = 4_000_000
+# Largest training side (in bytes) that is sent to every executor when every rank of every query is asked for.
+RANKED_BYTES = 128 << 20
 _TILE = 2048
 
 
@@ -45,14 +47,14 @@ def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(np.maximum(squares, 0.0)), DISTANCE_DIGITS)
 
 
-def column_matrix(column) -> np.ndarray:
-    """An Arrow list column as a float64 matrix."""
+def column_matrix(column, kind=np.float64) -> np.ndarray:
+    """An Arrow list column as a matrix, of float64 unless said otherwise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
     if rows == 0:
-        return np.zeros((0, 0))
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+        return np.zeros((0, 0), kind)
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=kind)
     if len(flat) % rows or not np.all(np.diff(column.offsets.to_numpy()) == len(flat) // rows):
         raise ValueError("vectors differ in length")
     return flat.reshape(rows, -1)
@@ -215,6 +217,74 @@ def every_distance(
     return asking.groupBy(key).cogroup(known.groupBy(key)).applyInArrow(measure, f"{query_id} long, {train_id} long, distance double")
 
 
+def sent_vectors(vectors: DataFrame, train_id: str, vector: str, max_bytes: int, *keep: str) -> dict[str, np.ndarray] | None:
+    """A stored table (id, vector, kept columns) on the driver, ordered by id, if its vectors take at most ``max_bytes``, else None.
+
+    Vectors stay as wide as they are stored.
+    """
+    width = 4 if "float" in vectors.schema[vector].dataType.simpleString() else 8
+    if vectors.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0] * width > max_bytes:
+        return None
+    table = vectors.select(train_id, vector, *keep).toArrow()
+    order = np.argsort(_ids(table[train_id]), kind="stable")
+    matrix = column_matrix(table[vector], np.float32 if width == 4 else np.float64)[order]
+    return {"ids": _ids(table[train_id])[order], "vectors": matrix} | {c: table[c].to_numpy().astype(np.float64)[order] for c in keep}
+
+
+def distances_to_all(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """``pair_distances`` to stored rows of any width, a tile of rows at a time."""
+    out = np.empty((len(queries), len(vectors)))
+    for start in range(0, len(vectors), _TILE):
+        out[:, start : start + _TILE] = pair_distances(queries, vectors[start : start + _TILE].astype(np.float64))
+    return out
+
+
+def order_of(dist: np.ndarray) -> np.ndarray:
+    """Positions in ascending order of rounded distances, equal ones as they stand."""
+    bits = max(1, int(len(dist) - 1).bit_length())
+    if len(dist) and dist.max() * 10.0**DISTANCE_DIGITS < 2.0 ** min(53, 62 - bits):  # distance and position fit one number
+        keys = (np.rint(dist * 10.0**DISTANCE_DIGITS).astype(np.int64) << bits) | np.arange(len(dist))
+        keys.sort()
+        return keys & ((1 << bits) - 1)
+    return np.argsort(dist, kind="stable")
+
+
+def queries_at_once(rows: int) -> int:
+    """How many queries' distances to so many rows are held at a time: 2M numbers."""
+    return max(1, 2_000_000 // max(1, rows))
+
+
+def distances_in_order(
+    queries: DataFrame, vectors: DataFrame, query_id: str = "prediction_id", train_id: str = "train_id", vector: str = "embedding", max_bytes: int = RANKED_BYTES
+) -> tuple[DataFrame, bool]:
+    """(``every_distance``, in order): whether the rows of one query follow each other in one task, by distance and then id.
+
+    They do as long as the training side can be sent to every task; then nothing is stored or shuffled but the vectors.
+    """
+    queries, vectors = written(_prepared(queries, query_id, vector), "queries"), written(_prepared(vectors, train_id, vector), "vectors")
+    local = None
+    if queries.select(query_id).distinct().count() == queries.count():  # a query is one row
+        local = sent_vectors(vectors, train_id, vector, max_bytes)
+    if local is None:
+        return every_distance(queries, vectors, query_id, train_id, vector), False
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast(local)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        step = queries_at_once(len(held["ids"]))
+        for batch in batches:
+            ids, asked = _ids(batch.column(0)), column_matrix(batch.column(1))
+            for start in range(0, len(ids) if len(held["ids"]) else 0, step):
+                for i, dist in zip(ids[start : start + step], distances_to_all(asked[start : start + step], held["vectors"])):
+                    order = order_of(dist)
+                    for at in (order[x : x + 100_000] for x in range(0, len(order), 100_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(held["ids"][at]), pa.array(dist[at])], names=[query_id, train_id, "distance"])
+
+    tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, queries.count() // 16))
+    return queries.repartition(tasks).mapInArrow(measure, f"{query_id} long, {train_id} long, distance double"), True
+
+
 def pairwise_distance(
     pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "embedding"
 ) -> DataFrame:

@@ -5,8 +5,9 @@ import pytest
 from test_neighbours import brute, vectors
 
 from dataprobe.catalog import registry
-from dataprobe.operators import pivots
-from dataprobe.operators.vectors import nearer_than, pair_distances
+from dataprobe.operators import pivots, shapley
+from dataprobe.operators.vectors import every_distance, nearer_than, order_of, pair_distances
+from dataprobe.plans import mislabel
 from dataprobe.session import written
 
 
@@ -59,3 +60,37 @@ def test_texts_stay_where_they_are_read(spark, folder):
             assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_exact_values_store_no_pairs(spark, k):
+    """Values in place are those of stored pairs, with copies, ids that come twice, and missing labels and vectors."""
+    rng = np.random.default_rng(5)
+    train, test = rng.normal(size=(150, 4)), rng.normal(size=(40, 4))
+    train[20:60] = train[0]
+    y, z = rng.integers(0, 2, 150), rng.integers(0, 2, 40)
+    known = [(i, [float(x) for x in v], int(l)) for i, (v, l) in enumerate(zip(train, y))]
+    asked = [(i, [float(x) for x in v], int(l)) for i, (v, l) in enumerate(zip(test, z))]
+    known += known[5:8] + [(500, None, 1), (501, known[3][1], None)]
+    asked += asked[:2] + [(600, asked[4][1], None), (601, None, 0)]
+    t = spark.createDataFrame(known, "train_id long, embedding array<double>, label int").repartition(3)
+    q = spark.createDataFrame(asked, "test_id long, embedding array<double>, label int").repartition(3)
+    want = shapley.values_of_all_ranks(every_distance(q, t, "test_id"), t, q, k).collect()
+    got = shapley.values_of_vectors(t, q, t, q, k).collect()
+    assert [i for i, _ in sorted(map(tuple, got))] == [i for i, _ in sorted(map(tuple, want))]
+    assert np.allclose([v for _, v in sorted(map(tuple, got))], [v for _, v in sorted(map(tuple, want))], atol=1e-12)
+    stored = shapley.values_of_vectors(t, q, t, q, k, max_bytes=0).collect()  # too many to send
+    assert np.allclose([v for _, v in sorted(map(tuple, stored))], [v for _, v in sorted(map(tuple, want))], atol=1e-12)
+
+
+def test_a_value_index_follows_its_vectors_and_not_their_pairs(spark):
+    rng = np.random.default_rng(6)
+    t, q = vectors(spark, rng.normal(size=(200, 4)), "train_id"), vectors(spark, rng.normal(size=(50, 4)), "prediction_id")
+    index = mislabel.value_index(t, q)
+    assert index.rows.count() + index.points.count() == 250
+
+
+def test_order_of_distances_keeps_ties_in_place():
+    rng = np.random.default_rng(7)
+    for dist in (np.round(rng.random(500), 1), np.round(rng.random(500), 1) * 1e9, np.array([0.5, np.nan, 0.25]), np.zeros(3)):
+        assert order_of(dist).tolist() == np.argsort(dist, kind="stable").tolist()
