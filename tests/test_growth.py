@@ -1,12 +1,18 @@
 """What keeps disk and memory in proportion to the tables: no query and no text is copied for what it meets."""
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.ml.feature import Word2Vec
+from pyspark.sql import functions as F
 from test_neighbours import brute, vectors
 
 from dataprobe.catalog import registry
-from dataprobe.operators import pivots, shapley
-from dataprobe.operators.vectors import every_distance, nearer_than, order_of, pair_distances
+from dataprobe.functions.draws import digest_above, uniform_from_digest
+from dataprobe.functions.text import char_delete
+from dataprobe.operators import models, ordering, pivots, shapley
+from dataprobe.operators.vectors import distances_in_order, every_distance, nearer_than, order_of, pair_distances
 from dataprobe.plans import mislabel
 from dataprobe.session import written
 
@@ -94,3 +100,55 @@ def test_order_of_distances_keeps_ties_in_place():
     rng = np.random.default_rng(7)
     for dist in (np.round(rng.random(500), 1), np.round(rng.random(500), 1) * 1e9, np.array([0.5, np.nan, 0.25]), np.zeros(3)):
         assert order_of(dist).tolist() == np.argsort(dist, kind="stable").tolist()
+
+
+def test_ranks_and_differences_of_rows_in_order_need_no_exchange(spark):
+    rng = np.random.default_rng(9)
+    train, test = rng.integers(0, 3, (130, 3)).astype(float), rng.integers(0, 3, (25, 3)).astype(float)
+    t, q = vectors(spark, train, "train_id", rng.integers(0, 2, 130)), vectors(spark, test, "prediction_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # groups reach over batches
+    try:
+        pairs, in_order = distances_in_order(q, t)
+        ranked = ordering.rank_by_distance(pairs, "prediction_id", "distance", "train_id", in_order=True)
+        valued = ranked.withColumn("v", (F.col("train_id") % 5).cast("double")).withColumn("v", F.when(F.col("v") != 2, F.col("v")))
+        got = ordering.adjacent_diff(valued, "prediction_id", "v", in_order=True)
+        assert in_order and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["prediction_id"], r["rank"], r["train_id"], r["distance"]) for r in found) == sorted((p, r, i, d) for p, r, i, d in brute(test, train, 130))
+    by = {(r["prediction_id"], r["rank"]): r["v"] for r in found}
+    for r in found:
+        a, b = r["v"], by.get((r["prediction_id"], r["rank"] + 1))
+        assert r["diff"] == (None if a is None or b is None else a - b)
+    many, in_order = distances_in_order(q, t, max_bytes=0)
+    assert not in_order and many.count() == 130 * 25
+    assert not distances_in_order(q.unionByName(q.limit(1)), t)[1]  # an id that comes twice
+
+
+def test_draws_of_deleted_characters_are_made_once(spark):
+    texts = [(1, "some words to lose letters from " * 8), (2, ""), (3, None), (4, "x"), (5, "ab")]
+    df = spark.createDataFrame(texts, "i long, t string")
+    made = df.select("i", char_delete("t", 42, "i", 0.3).alias("t"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 1
+    got = dict(map(tuple, made.collect()))
+    for i, t in texts:
+        draw = lambda at: int(hashlib.md5(f"42:{i}:del:{at}".encode()).hexdigest()[:8], 16) / 2**32
+        kept = None if t is None else [c for at, c in enumerate(t or [""]) if draw(at) > 0.3]
+        assert got[i] == ("".join(kept) if kept else None), i
+    for rate in (0.0, 0.02, 0.5, 1.0, -0.1):
+        same = df.select(F.md5(F.col("i").cast("string")).alias("h")).filter(digest_above(F.col("h"), rate) != (uniform_from_digest(F.col("h")) > rate))
+        assert same.count() == 0
+
+
+def test_word_vectors_train_on_as_many_partitions_as_run_at_a_time(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "Word2Vec", lambda **options: seen.append(options) or Word2Vec(**options))
+    docs = spark.createDataFrame([("one two three " * 5,)] * 8, "text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        found = models.word_vectors(spark.createDataFrame([("one",), ("four",)], "token string"), docs, "text", size=4).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0]["numPartitions"] == spark.sparkContext.defaultParallelism
+    assert {r["token"]: any(r["vector"]) for r in found} == {"one": True, "four": False}
