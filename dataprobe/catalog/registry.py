@@ -79,7 +79,7 @@ def table(spark: SparkSession, d: str, name: str, spread_by: str | None = None)
 SENT_LABELS = 2_000_000
 
 
-def _sent(labels: DataFrame) -> DataFrame:
+def sent(labels: DataFrame) -> DataFrame:
     return F.broadcast(labels) if labels.count() <= SENT_LABELS else labels
 
 
@@ -93,7 +93,7 @@ def tweets(spark, d) -> DataFrame:
 
 def doc_train(spark, d) -> DataFrame:
     """Documents nobody judged, with rule columns, boolean ``weak`` and 0/1 ``label`` (1 = not positive)."""
-    judged = _sent(table(spark, d, "labels").select("doc_id"))
+    judged = sent(table(spark, d, "labels").select("doc_id"))
     rows = table(spark, d, "documents", "doc_id").join(judged, "doc_id", "left_anti")
     labelled = weak_label(rows, "text", DOC_RULES, "weak")
     return labelled.withColumn("label", binarize("weak", (True, False))).withColumnRenamed("doc_id", "train_id")
@@ -101,7 +101,7 @@ def doc_train(spark, d) -> DataFrame:
 
 def doc_test(spark, d) -> DataFrame:
     """Judged documents: boolean ``judged`` and 0/1 ``truth`` (1 = not positive)."""
-    rows = table(spark, d, "documents", "doc_id").join(_sent(table(spark, d, "labels")), "doc_id")
+    rows = table(spark, d, "documents", "doc_id").join(sent(table(spark, d, "labels")), "doc_id")
     out = rows.withColumn("judged", F.col("quality") == 1)
     return out.withColumn("truth", binarize("judged", (True, False))).withColumnRenamed("doc_id", "prediction_id")
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from dataprobe.catalog.registry import (
     DOC_RULES, EDITED_INDEX, EDITED_RULE, SEED, SQL_DOC_INDEX, SQL_VEC_INDEX, SQL_VEC_SPLIT, SQL_VEC_VOTE, doc_features, doc_test,
-    doc_train, packed, query, sql_features, sql_index, sql_packed, sql_vote, table, vec_split, with_,
+    doc_train, packed, query, sent, sql_features, sql_index, sql_packed, sql_vote, table, vec_split, with_,
 )
 from dataprobe.functions.labels import class_name
 from dataprobe.functions.prompts import prompt_parts
 from dataprobe.functions.vectors import array_distance
 from dataprobe.operators import collection, impact, keyed, lsh, ordering, predict
-from dataprobe.operators.vectors import every_distance, knn_retrieve, pairwise_distance, retrieval_index_long, retrieval_index_wide
+from dataprobe.operators.vectors import distances_in_order, every_distance, knn_retrieve, pairwise_distance, retrieval_index_long, retrieval_index_wide
 from dataprobe.plans.retrieval import changed_labels, edited_labels
 from dataprobe.session import written
 
@@ -153,23 +153,33 @@ def rank_by_distance(spark, d):
 _EQ = "eq as (select i.prediction_id, i.rank::int as rank, (t.label = q.truth)::int::double as eq from idx i join tr t using (train_id) join te q using (prediction_id))"
 
 
-def _eq_ranked(spark, d) -> DataFrame:
+def _eq_ranked(spark, d) -> tuple[DataFrame, bool]:
+    """(rows, whether they know ``next_eq``, that of the next rank)."""
     train, test = vec_split(spark, d)
-    index = ordering.rank_by_distance(every_distance(test, train), "prediction_id", "distance", "train_id")
-    joined = index.join(train.select("train_id", F.col("label").alias("known")), "train_id").join(test.select("prediction_id", "label"), "prediction_id")
-    return joined.select("prediction_id", F.col("rank").cast("int").alias("rank"), (F.col("known") == F.col("label")).cast("double").alias("eq"))
+    pairs, in_order = distances_in_order(test, train)
+    index = ordering.rank_by_distance(pairs, "prediction_id", "distance", "train_id", in_order=in_order)
+    # written, so that the draw that splits the vectors is not made again for every pair
+    known, asked = written(train.select("train_id", F.col("label").alias("known")), "known"), written(test.select("prediction_id", "label"), "asked")
+    joined = index.join(sent(known), "train_id").join(sent(asked), "prediction_id")
+    eq = lambda c: (F.col(c) == F.col("label")).cast("double")
+    columns = ["prediction_id", F.col("rank").cast("int").alias("rank"), eq("known").alias("eq")]
+    if not in_order:
+        return joined.select(*columns), False
+    joined = joined.join(sent(known.select(F.col("train_id").alias("next_id"), F.col("known").alias("next_known"))), "next_id", "left")
+    return joined.select(*columns, eq("next_known").alias("next_eq")), True
 
 
 @query("adjacent_diff", with_(SQL_VEC_SPLIT, SQL_ALL_RANKS, _EQ)
        + "select prediction_id, rank, eq, eq - lead(eq) over (partition by prediction_id order by rank) as diff from eq")
 def adjacent_diff(spark, d):
-    return ordering.adjacent_diff(_eq_ranked(spark, d), "prediction_id", "eq")
+    ranked, knows = _eq_ranked(spark, d)
+    return ordering.adjacent_diff(ranked, "prediction_id", "eq", later="next_eq" if knows else None)
 
 
 @query("suffix_sum", with_(SQL_VEC_SPLIT, SQL_ALL_RANKS, _EQ)
        + "select prediction_id, rank, eq, sum(eq) over (partition by prediction_id order by rank rows between current row and unbounded following) as suffix from eq")
 def suffix_sum(spark, d):
-    return ordering.suffix_sum(_eq_ranked(spark, d), "prediction_id", "eq")
+    return ordering.suffix_sum(_eq_ranked(spark, d)[0].select("prediction_id", "rank", "eq"), "prediction_id", "eq")
 
 
 @query("knn_vote", with_(SQL_VEC_SPLIT, sql_index("idx", "te", "tr", 5), sql_vote("pred", "idx", "tr", tie="lowest")) + "select prediction_id, prediction from pred")

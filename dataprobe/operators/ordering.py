@@ -66,14 +66,26 @@ def assign_row_id(df: DataFrame, key: str, name: str = "row_id", rows_per_bucket
     return ranked.join(offsets, "_range").select(*df.columns, (F.col("_offset") + F.col("_nth") - 1).cast("long").alias(name))
 
 
-def rank_by_distance(index: DataFrame, query: str, distance: str, row: str, rows_per_range: int = scan.ROWS_PER_RANGE) -> DataFrame:
-    """Rank rows per query by (distance, row id), starting at 1; the rows of one query may be any number."""
+def rank_by_distance(index: DataFrame, query: str, distance: str, row: str, rows_per_range: int = scan.ROWS_PER_RANGE, in_order: bool = False) -> DataFrame:
+    """Rank rows per query by (distance, row id), starting at 1; the rows of one query may be any number.
+
+    ``in_order``: the rows of a query follow each other in one task in this order and know their ``place``
+    (``vectors.distances_in_order``), which is their rank; they stay as they are.
+    """
+    if in_order:
+        return index.withColumnRenamed("place", "rank")
     order = [distance, row]
     return scan.with_rank(scan.ranged(written(index, "index"), query, order, rows_per_range), query, order).drop("_range")
 
 
-def adjacent_diff(ranked: DataFrame, query: str, value: str, rows_per_range: int = scan.ROWS_PER_RANGE) -> DataFrame:
-    """value[i] - value[i+1] in rank order; null on the last rank."""
+def adjacent_diff(ranked: DataFrame, query: str, value: str, rows_per_range: int = scan.ROWS_PER_RANGE, later: str | None = None) -> DataFrame:
+    """value[i] - value[i+1] in rank order; null on the last rank.
+
+    ``later`` names the column that holds value[i+1] if rows know it (``vectors.distances_in_order`` tells them the next
+    one); then no row moves.
+    """
+    if later is not None:
+        return ranked.withColumn("diff", F.col(value) - F.col(later)).drop(later)
     cut = scan.ranged(written(ranked, "ranked"), query, ["rank"], rows_per_range)
     return scan.with_next(cut, query, ["rank"], value, "_next").withColumn("diff", F.col(value) - F.col("_next")).drop("_next", "_range")
 

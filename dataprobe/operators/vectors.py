@@ -254,17 +254,22 @@ def queries_at_once(rows: int) -> int:
     return max(1, 2_000_000 // max(1, rows))
 
 
+def _unique(df: DataFrame, key: str) -> bool:
+    """Whether the table has neither a null nor a repeated key."""
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys")).first()
+    return n["rows"] == n["keys"]
+
+
 def distances_in_order(
     queries: DataFrame, vectors: DataFrame, query_id: str = "prediction_id", train_id: str = "train_id", vector: str = "embedding", max_bytes: int = RANKED_BYTES
 ) -> tuple[DataFrame, bool]:
     """(``every_distance``, in order): whether the rows of one query follow each other in one task, by distance and then id.
 
-    They do as long as the training side can be sent to every task; then nothing is stored or shuffled but the vectors.
+    They do as long as ids are unique and the training side can be sent to every task; then nothing is stored or shuffled
+    but the vectors, ``place`` is a row's place in its query, from 1, and ``next_id`` the row after it, null on the last.
     """
     queries, vectors = written(_prepared(queries, query_id, vector), "queries"), written(_prepared(vectors, train_id, vector), "vectors")
-    local = None
-    if queries.select(query_id).distinct().count() == queries.count():  # a query is one row
-        local = sent_vectors(vectors, train_id, vector, max_bytes)
+    local = sent_vectors(vectors, train_id, vector, max_bytes) if _unique(queries, query_id) and _unique(vectors, train_id) else None
     if local is None:
         return every_distance(queries, vectors, query_id, train_id, vector), False
     spark = queries.sparkSession
@@ -278,11 +283,15 @@ def distances_in_order(
             for start in range(0, len(ids) if len(held["ids"]) else 0, step):
                 for i, dist in zip(ids[start : start + step], distances_to_all(asked[start : start + step], held["vectors"])):
                     order = order_of(dist)
-                    for at in (order[x : x + 100_000] for x in range(0, len(order), 100_000)):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(held["ids"][at]), pa.array(dist[at])], names=[query_id, train_id, "distance"])
+                    for x in range(0, len(order), 100_000):
+                        at = order[x : x + 100_000]
+                        later = held["ids"][np.append(order[x + 1 : x + 1 + len(at)], at[-1:])[: len(at)]]
+                        columns = [np.full(len(at), i), held["ids"][at], dist[at], np.arange(x + 1, x + 1 + len(at))]
+                        after = pa.array(later, mask=np.arange(x + 1, x + 1 + len(at)) == len(order))
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), after], names=[query_id, train_id, "distance", "place", "next_id"])
 
     tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, queries.count() // 16))
-    return queries.repartition(tasks).mapInArrow(measure, f"{query_id} long, {train_id} long, distance double"), True
+    return queries.repartition(tasks).mapInArrow(measure, f"{query_id} long, {train_id} long, distance double, place long, next_id long"), True
 
 
 def pairwise_distance(

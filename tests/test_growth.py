@@ -106,16 +106,13 @@ def test_ranks_and_differences_of_rows_in_order_need_no_exchange(spark):
     rng = np.random.default_rng(9)
     train, test = rng.integers(0, 3, (130, 3)).astype(float), rng.integers(0, 3, (25, 3)).astype(float)
     t, q = vectors(spark, train, "train_id", rng.integers(0, 2, 130)), vectors(spark, test, "prediction_id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # groups reach over batches
-    try:
-        pairs, in_order = distances_in_order(q, t)
-        ranked = ordering.rank_by_distance(pairs, "prediction_id", "distance", "train_id", in_order=True)
-        valued = ranked.withColumn("v", (F.col("train_id") % 5).cast("double")).withColumn("v", F.when(F.col("v") != 2, F.col("v")))
-        got = ordering.adjacent_diff(valued, "prediction_id", "v", in_order=True)
-        assert in_order and "Window" not in got._jdf.queryExecution().executedPlan().toString()
-        found = got.collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs, in_order = distances_in_order(q, t)
+    ranked = ordering.rank_by_distance(pairs, "prediction_id", "distance", "train_id", in_order=in_order)
+    value = lambda c: F.when(F.col(c) % 5 != 2, (F.col(c) % 5).cast("double"))
+    got = ordering.adjacent_diff(ranked.withColumns({"v": value("train_id"), "later": value("next_id")}), "prediction_id", "v", later="later")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert in_order and "Window" not in plan and "hashpartitioning" not in plan
+    found = got.collect()
     assert sorted((r["prediction_id"], r["rank"], r["train_id"], r["distance"]) for r in found) == sorted((p, r, i, d) for p, r, i, d in brute(test, train, 130))
     by = {(r["prediction_id"], r["rank"]): r["v"] for r in found}
     for r in found:
@@ -123,7 +120,8 @@ def test_ranks_and_differences_of_rows_in_order_need_no_exchange(spark):
         assert r["diff"] == (None if a is None or b is None else a - b)
     many, in_order = distances_in_order(q, t, max_bytes=0)
     assert not in_order and many.count() == 130 * 25
-    assert not distances_in_order(q.unionByName(q.limit(1)), t)[1]  # an id that comes twice
+    for ids in (q.limit(1), q.limit(1).withColumn("prediction_id", F.lit(None).cast("long"))):  # an id that comes twice, or is missing
+        assert not distances_in_order(q.unionByName(ids), t)[1]
 
 
 def test_draws_of_deleted_characters_are_made_once(spark):
