@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from dataprobe.functions.prompts import example_block, parse_response, prompt
 from dataprobe.operators.vectors import knn_retrieve
 from dataprobe.schemas import require
+from dataprobe.session import written
+
+# Rows of a retrieval index that are sent to every task (about 60 bytes each).
+SENT_INDEX = 1_000_000
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -61,9 +65,14 @@ def rag_classify(
 
 
 def prompts(index: DataFrame, queries: DataFrame, train: DataFrame, classes: Sequence[str], text: str = "text") -> DataFrame:
-    """(prediction_id, prompt) for an external model: examples in rank order, then the question."""
+    """(prediction_id, prompt) for an external model: examples in rank order, then the question.
+
+    An index of up to ``SENT_INDEX`` rows is sent to the training texts, so that these move once, to their questions.
+    """
     require(train, "prompts", "train_id", text, "class_name")
-    examples = index.join(train.select("train_id", example_block(text, "class_name").alias("example")), "train_id")
+    index = written(index.select("train_id", "prediction_id", "rank"), "index")
+    used = F.broadcast(index) if index.count() <= SENT_INDEX else index
+    examples = train.select("train_id", example_block(text, "class_name").alias("example")).join(used, "train_id")
     ordered = F.sort_array(F.collect_list(F.struct("rank", "example")))  # k entries per query
     context = examples.groupBy("prediction_id").agg(
         F.array_join(F.transform(ordered, lambda e: e["example"]), "\n\n").alias("context")

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from conftest import rows
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import functions as F
 from test_neighbours import brute, vectors
@@ -11,7 +12,7 @@ from test_neighbours import brute, vectors
 from dataprobe.catalog import registry
 from dataprobe.functions.draws import digest_above, uniform_from_digest
 from dataprobe.functions.text import char_delete
-from dataprobe.operators import models, ordering, pivots, shapley
+from dataprobe.operators import models, ordering, pivots, predict, shapley
 from dataprobe.operators.vectors import distances_in_order, every_distance, nearer_than, order_of, pair_distances
 from dataprobe.plans import mislabel
 from dataprobe.session import written
@@ -150,3 +151,20 @@ def test_word_vectors_train_on_as_many_partitions_as_run_at_a_time(spark, monkey
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0]["numPartitions"] == spark.sparkContext.defaultParallelism
     assert {r["token"]: any(r["vector"]) for r in found} == {"one": True, "four": False}
+
+
+def test_training_texts_move_once_to_their_questions(spark, monkeypatch):
+    train = spark.createDataFrame([(i, f"text {i}", "ab"[i % 2]) for i in range(6)], "train_id long, text string, class_name string")
+    asked = spark.createDataFrame([(10, "which"), (11, "what")], "prediction_id long, text string")
+    index = spark.createDataFrame([(10, 1, 3), (10, 2, 0), (11, 1, 3), (11, 2, 5)], "prediction_id long, rank int, train_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        got = predict.prompts(index, asked, train, ("a", "b"))
+        assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(train_id") == 0
+        monkeypatch.setattr(predict, "SENT_INDEX", 0)
+        assert rows(got) == rows(predict.prompts(index, asked, train, ("a", "b")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shown = dict(map(tuple, got.collect()))
+    assert shown[10].index("text 3") < shown[10].index("text 0") < shown[10].index("```which```") and "text 5" in shown[11]
